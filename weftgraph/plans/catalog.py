@@ -1,19 +1,387 @@
-"""Registered queries over the test tables, and the same in SQL."""
+"""Registered queries over the test tables, and the same in SQL. Each runs over all texts as a whole."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftgraph.functions import hashes as H
+from weftgraph.functions import kmers as K
+from weftgraph.operators import correct as C
+from weftgraph.operators import evaluate as E
+from weftgraph.operators import graph as G
+from weftgraph.operators import reads as R
+from weftgraph.operators import tables as T
+from weftgraph.operators.durable import keep
+from weftgraph.sources import dot
+
+from . import sql as S
+from .dna import reads
+
+#: k of the exact queries (nodes of even length, so palindromes occur), and k and hash bits of the lossy ones.
+EXACT, LOSSY, BITS = 9, 11, 22
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _edge(k: int = EXACT):
+    return K.unpack(F.col("edge"), k).alias("edge")
+
+
+def _node(k: int = EXACT, name: str = "node"):
+    return K.unpack(F.col(name), k - 1).alias(name)
+
+
+def _edges(spark: SparkSession, d: str, table: str = "documents", k: int = EXACT) -> DataFrame:
+    return R.exact_counts(reads(spark, d, table), k)
+
+
+def _ends(spark: SparkSession, d: str, k: int = EXACT) -> DataFrame:
+    return R.end_counts(reads(spark, d), k)
+
+
+def _inc(spark: SparkSession, d: str) -> DataFrame:
+    return G.incidence(_edges(spark, d), EXACT)
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    return df.select(F.col("edge").alias("key"), "cnt")
+
+
+def _named(df: DataFrame) -> DataFrame:
+    return df.select(K.unpack(F.col("key"), EXACT).alias("edge"), "cnt")
+
+
+EDGES = "WITH " + S.edges(EXACT)
+INC = EDGES + S.incidence(EXACT)
+ALL = INC + S.ends(EXACT)
+THREE = "WITH " + S.edges(EXACT) + "," + S.edges(EXACT, "benchmark", "_b") + "," + S.edges(EXACT, "conversations", "_c")
+SEEDS = f"seeds AS (SELECT DISTINCT node FROM inc WHERE {S.duplex('node')})"
+
+
+# generators and counts
+
+
+@_query("WITH " + S.kmers(EXACT) + " SELECT read_id, frag, seq FROM frags")
+def fragments(spark, d):
+    return R.fragments(reads(spark, d)).select("read_id", F.col("frag").cast("bigint").alias("frag"), "seq")
+
+
+@_query(EDGES + " SELECT edge, cnt FROM edges")
+def kmer_count(spark, d):
+    return _edges(spark, d).select(_edge(), "cnt")
+
+
+@_query(EDGES + " SELECT count(*) AS n_distinct, sum(cnt)::BIGINT AS total, max(cnt) AS max_count, count(*) FILTER (cnt > 1) AS n_repeated FROM edges")
+def kmer_stats(spark, d):
+    return T.statistics(_edges(spark, d))
+
+
+@_query(EDGES + " SELECT cnt, count(*) AS n_keys FROM edges GROUP BY cnt")
+def kmer_histogram(spark, d):
+    return T.histogram(_edges(spark, d))
+
+
+@_query("WITH " + S.kmers(EXACT) + " SELECT read_id, count(*) AS n_kmers, count(DISTINCT edge) AS n_edges, count(*) FILTER (edge = kmer) AS n_forward FROM kmers GROUP BY read_id")
+def occurrences(spark, d):
+    return R.occurrences(reads(spark, d), EXACT).groupBy("read_id").agg(F.count("*").alias("n_kmers"), F.count_distinct("edge").alias("n_edges"), F.count_if(F.col("edge") == F.col("kmer")).alias("n_forward"))
+
+
+@_query("WITH " + S.kmers(EXACT) + S.ends(EXACT) + " SELECT * FROM ends")
+def read_ends(spark, d):
+    return _ends(spark, d).select(_node(), "left_ends", "right_ends")
+
+
+@_query("WITH " + S.kmers(EXACT) + S.ends(EXACT) + " SELECT DISTINCT node FROM ends")
+def end_nodes(spark, d):
+    return G.end_nodes(_ends(spark, d)).select(_node())
+
+
+# scalar functions
+
+
+@_query(EDGES + f" SELECT edge, translate(edge, 'ACGT', 'TGCA') AS complement, {S.rc('edge')} AS reversed, {S.canon(S.rc('edge'))} AS canonical, left(edge, 4) AS head, right(edge, 4) AS tail, right(edge || 'GA', {EXACT}) AS in_right, left('GA' || edge, {EXACT}) AS in_left, {S.packed('edge', EXACT)} AS packed FROM edges")
+def canonical_scalars(spark, d):
+    e = F.col("edge")
+    rows = _edges(spark, d).select(_edge(), e.alias("packed"))
+    return rows.select("edge", K.complement(e).alias("complement"), K.reverse_complement(e).alias("reversed"), K.canonical(K.reverse_complement(e)).alias("canonical"), K.prefix(e, 4).alias("head"), K.suffix(e, 4).alias("tail"), K.shift_in_right(e, F.lit("GA")).alias("in_right"), K.shift_in_left(F.lit("GA"), e).alias("in_left"), K.pack(e).alias("packed"))
+
+
+_PERIODS = " ".join(f"WHEN left(edge, {EXACT - p}) = right(edge, {EXACT - p}) THEN {p}" for p in range(1, EXACT))
+
+
+@_query(EDGES + f" SELECT edge, CASE {_PERIODS} ELSE {EXACT} END AS period FROM edges")
+def kmer_period(spark, d):
+    return _edges(spark, d).select(_edge()).select("edge", K.period(F.col("edge")).alias("period"))
+
+
+_STEPS = [f"s0 AS (SELECT edge, {S.packed('edge', EXACT)} AS v FROM edges)"] + [f"s{i + 1} AS (SELECT *, {x} AS {n} FROM s{i})" for i, (n, x) in enumerate(S.mix("v", 2 * EXACT))]
+
+
+@_query(EDGES + ", " + ", ".join(_STEPS) + f" SELECT edge, hash, v AS back FROM s{len(_STEPS) - 1}")
+def hash64_invertible(spark, d):
+    rows = _edges(spark, d).select("edge", H.mix(F.col("edge"), 2 * EXACT).alias("hash"))
+    return rows.select(_edge(), "hash", H.unmix(F.col("hash"), 2 * EXACT).alias("back"))
+
+
+@_query()
+def murmur_hashes(spark, d):
+    e = F.col("edge")
+    return _edges(spark, d).select(_edge(), H.murmur64a(e).alias("a"), H.murmur64b(e).alias("b"))
+
+
+# graph
+
+
+@_query(INC + " SELECT node, edge, side, w FROM inc")
+def edge_sides(spark, d):
+    return _inc(spark, d).select(_node(), _edge(), "side", "w")
+
+
+@_query(INC + " SELECT edge, cnt FROM ends2 WHERE l = r")
+def loops(spark, d):
+    return G.loops(_edges(spark, d), EXACT).select(_edge(), "cnt")
+
+
+@_query(INC + f" SELECT DISTINCT node, {S.constant('node')} AS is_constant FROM inc WHERE {S.duplex('node')}")
+def duplex_nodes(spark, d):
+    nodes = _inc(spark, d).select("node").distinct().where(K.packed_can_have_duplex_edges(F.col("node"), EXACT)).select(_node())
+    return nodes.select("node", K.is_constant(F.col("node")).alias("is_constant"))
+
+
+DEGREES = "SELECT node, count(*) FILTER (side = 'L') AS \"left\", count(*) FILTER (side = 'R') AS \"right\", count(*) FILTER (side = 'D') AS duplex, count(*) AS total FROM inc GROUP BY node"
+
+
+@_query(INC + " " + DEGREES)
+def degrees(spark, d):
+    return G.degrees(_inc(spark, d)).select(_node(), "left", "right", "duplex", "total")
+
+
+@_query(INC + " SELECT node, count(*) AS total FROM inc GROUP BY node HAVING count(*) < 2")
+def leaf_nodes(spark, d):
+    return G.leaf_nodes(_inc(spark, d)).select(_node(), "total")
+
+
+@_query(INC + ", leaf AS (SELECT node FROM inc GROUP BY node HAVING count(*) < 2) SELECT DISTINCT edge FROM inc WHERE node IN (SELECT node FROM leaf)")
+def leaf_edges(spark, d):
+    return G.leaf_edges(_inc(spark, d)).select(_edge())
+
+
+@_query(INC + " SELECT node, coalesce(sum(cnt) FILTER (side = 'L'), 0)::BIGINT AS \"left\", coalesce(sum(cnt) FILTER (side = 'R'), 0)::BIGINT AS \"right\", coalesce(sum(cnt) FILTER (side = 'D'), 0)::BIGINT AS duplex FROM inc GROUP BY node")
+def side_abundance(spark, d):
+    edges = _edges(spark, d)
+    return G.side_abundance(G.incidence(edges, EXACT), edges).select(_node(), "left", "right", "duplex")
+
+
+FLOW = """, flow AS (SELECT node, coalesce(sum(w * cnt) FILTER (side = 'L'), 0)::BIGINT AS lv, coalesce(sum(w * cnt) FILTER (side = 'R'), 0)::BIGINT AS rv FROM inc GROUP BY node),
+inv AS (SELECT node, lv - coalesce(left_ends, 0) AS left_value, rv - coalesce(right_ends, 0) AS right_value FROM flow LEFT JOIN ends USING (node))"""
+
+
+@_query(ALL + FLOW + " SELECT node, left_value, right_value, right_value - left_value AS discrepancy FROM inv")
+def invariant(spark, d):
+    edges = _edges(spark, d)
+    return G.invariant(G.incidence(edges, EXACT), edges, _ends(spark, d)).select(_node(), "left_value", "right_value", "discrepancy")
+
+
+@_query(INC + " SELECT DISTINCT node, side, neighbor FROM inc")
+def neighbors(spark, d):
+    return G.neighbors(_inc(spark, d)).select(_node(), "side", _node(name="neighbor"))
+
+
+def _seeds(inc: DataFrame) -> DataFrame:
+    return inc.select("node").distinct().where(K.packed_can_have_duplex_edges(F.col("node"), EXACT))
+
+
+BALL = "".join(f", b{i} AS (SELECT node, min(d) AS d FROM (SELECT node, d FROM b{i - 1} UNION ALL SELECT neighbor, {i} FROM inc JOIN b{i - 1} USING (node)) GROUP BY node)" for i in range(1, 4))
+NEAR = INC + ", " + SEEDS + ", b0 AS (SELECT node, 0 AS d FROM seeds)" + BALL
+
+
+@_query(NEAR + " SELECT node, d FROM b3")
+def nearby_nodes_3(spark, d):
+    inc = keep(_inc(spark, d), "incidence")
+    return G.ball(_seeds(inc), inc, 3).select(_node(), "d")
+
+
+@_query(NEAR + " SELECT edge, cnt FROM ends2 WHERE l IN (SELECT node FROM b3)")
+def nearby_edges_3(spark, d):
+    edges = keep(_edges(spark, d), "edges")
+    inc = keep(G.incidence(edges, EXACT), "incidence")
+    return G.edges_of(G.ball(_seeds(inc), inc, 3), edges, EXACT).select(_edge(), "cnt")
+
+
+@_query("WITH RECURSIVE " + ALL.removeprefix("WITH ") + ", step AS (SELECT DISTINCT node, neighbor FROM inc), walk AS (SELECT node FROM ends UNION SELECT step.neighbor FROM step JOIN walk USING (node)) SELECT node FROM walk")
+def reachable_nodes(spark, d):
+    return G.reachable_nodes(_inc(spark, d), _ends(spark, d)).select(_node())
+
+
+@_query("WITH RECURSIVE " + ALL.removeprefix("WITH ") + ", step AS (SELECT DISTINCT node, neighbor FROM inc), walk AS (SELECT node FROM ends UNION SELECT step.neighbor FROM step JOIN walk USING (node)) SELECT edge, cnt FROM ends2 WHERE l IN (SELECT node FROM walk)")
+def reachable_edges(spark, d):
+    edges = keep(_edges(spark, d), "edges")
+    return G.edges_of(G.reachable_nodes(G.incidence(edges, EXACT), _ends(spark, d)), edges, EXACT).select(_edge(), "cnt")
+
+
+@_query()
+def components(spark, d):
+    return G.components(_inc(spark, d)).select(_node(), _node(name="component"))
+
+
+@_query(
+    ALL + " SELECT node, format('  {} [ label=\"{}\\n({}, {})\", style=filled, fillcolor={}, shape={} ];', node, node, coalesce(left_ends, 0), coalesce(right_ends, 0), CASE WHEN coalesce(left_ends + right_ends, 0) > 0 THEN 'grey' ELSE 'white' END, CASE WHEN " + S.duplex("node") + " THEN 'diamond' ELSE 'ellipse' END) AS line FROM (SELECT DISTINCT node FROM inc) LEFT JOIN ends USING (node)"
+)
+def dot_nodes(spark, d):
+    return dot.dot_nodes(_inc(spark, d), _ends(spark, d), EXACT)
+
+
+@_query(INC + " SELECT e.edge, format('  {} -> {} [ label=\"({}, {})\", tailport={}, headport={} ];', l, r, e.edge, e.cnt, CASE a.side WHEN 'L' THEN 'w' WHEN 'R' THEN 'e' ELSE 's' END, CASE b.side WHEN 'L' THEN 'w' WHEN 'R' THEN 'e' ELSE 's' END) AS line FROM ends2 e JOIN inc a ON a.edge = e.edge AND a.node = e.l JOIN inc b ON b.edge = e.edge AND b.node = e.r")
+def dot_edges(spark, d):
+    return dot.dot_edges(_edges(spark, d), EXACT)
+
+
+# algebra of tables
+
+
+@_query(THREE + " SELECT edge, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM edges UNION ALL SELECT * FROM edges_b) GROUP BY edge")
+def merge_tables(spark, d):
+    return _named(T.merge(_keyed(_edges(spark, d)), _keyed(_edges(spark, d, "benchmark"))))
+
+
+@_query(THREE + " SELECT edge, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM edges UNION ALL SELECT * FROM edges_b UNION ALL SELECT * FROM edges_c) GROUP BY edge")
+def multi_merge(spark, d):
+    return _named(T.merge(*[_keyed(_edges(spark, d, t)) for t in ("documents", "benchmark", "conversations")]))
+
+
+@_query(THREE + " SELECT edge, cnt - coalesce(b, 0) AS cnt FROM edges LEFT JOIN (SELECT edge, cnt AS b FROM edges_b) USING (edge) WHERE cnt > coalesce(b, 0)")
+def remove_counts(spark, d):
+    return _named(T.decrement(_keyed(_edges(spark, d)), _keyed(_edges(spark, d, "benchmark"))))
+
+
+@_query(THREE + " SELECT edge, cnt FROM edges WHERE edge NOT IN (SELECT edge FROM edges_b)")
+def delete_keys(spark, d):
+    return _named(T.delete_keys(_keyed(_edges(spark, d)), _keyed(_edges(spark, d, "benchmark"))))
+
+
+@_query(EDGES + f" SELECT {S.packed('edge', EXACT)} % 4096 AS key, sum(cnt)::BIGINT AS cnt FROM edges GROUP BY 1")
+def replace_keys(spark, d):
+    return T.replace_keys(_keyed(_edges(spark, d)), F.pmod("key", F.lit(4096)))
+
+
+@_query(THREE + " SELECT coalesce(sum(a.cnt * b.cnt), 0)::BIGINT AS inner_product FROM edges a JOIN edges_b b USING (edge)")
+def inner_product(spark, d):
+    return T.inner_product(_keyed(_edges(spark, d)), _keyed(_edges(spark, d, "benchmark")))
+
+
+@_query(EDGES + " SELECT floor(sqrt(sum(cnt * cnt)))::BIGINT AS magnitude FROM edges")
+def magnitude(spark, d):
+    return T.magnitude(_edges(spark, d))
+
+
+@_query(THREE + " SELECT edge, coalesce(e.cnt, 0) AS cnt FROM edges_b LEFT JOIN edges e USING (edge)")
+def point_lookup(spark, d):
+    return _named(T.lookup(_keyed(_edges(spark, d, "benchmark")).select("key"), _keyed(_edges(spark, d))))
+
+
+# lossy tables
+
+
+def _hash(edge):
+    return H.multiply_shift(edge, BITS)
+
+
+@_query("WITH " + S.edges(LOSSY) + f" SELECT (({S.packed('edge', LOSSY)} * 2654435761) % 4294967296) // {1 << (32 - BITS)} AS hash, sum(cnt)::BIGINT AS cnt FROM edges GROUP BY 1")
+def sketch_count(spark, d):
+    return R.sketch_counts(_edges(spark, d, k=LOSSY), _hash)
+
+
+def _lossy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(exact edges, ends, reachable incidence of the lossy table)"""
+    counted = keep(R.scan(reads(spark, d), LOSSY).groupBy("is_end", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counted")
+    exact = counted.where("not is_end").select(F.col("key").alias("edge"), F.col("a").alias("cnt"))
+    ends = counted.where("is_end and a + b > 0").select(F.col("key").alias("node"), F.col("a").alias("left_ends"), F.col("b").alias("right_ends"))
+    sketch = keep(R.sketch_counts(exact, _hash), "sketch")
+    return exact, ends, G.reachable_in_sketch(sketch, ends, LOSSY, _hash)
+
+
+def _found(inc: DataFrame) -> DataFrame:
+    return inc.select("edge", F.col("occ").alias("cnt")).distinct()
+
+
+@_query()
+def false_positives(spark, d):
+    exact, _, inc = _lossy(spark, d)
+    return E.false_positives(_found(inc), exact).select(_edge(LOSSY), "cnt")
+
+
+@_query()
+def abundance_errors(spark, d):
+    exact, _, inc = _lossy(spark, d)
+    return E.abundance_errors(_found(inc), exact).select(_edge(LOSSY), "cnt", "exact")
+
+
+@_query("WITH RECURSIVE " + (("WITH " + S.edges(LOSSY) + S.incidence(LOSSY) + S.ends(LOSSY)).removeprefix("WITH ")) + ", step AS (SELECT DISTINCT node, neighbor FROM inc), walk AS (SELECT node FROM ends UNION SELECT step.neighbor FROM step JOIN walk USING (node)) SELECT edge, cnt FROM ends2 WHERE l NOT IN (SELECT node FROM walk)")
+def false_negatives(spark, d):
+    exact, _, inc = _lossy(spark, d)
+    return E.false_negatives(_found(inc), exact).select(_edge(LOSSY), "cnt")
+
+
+@_query()
+def correction_result(spark, d):
+    _, ends, inc = _lossy(spark, d)
+    return C.correct(inc, ends, LOSSY).where("cnt > 0").select(_edge(LOSSY), "cnt", "unresolved")
+
+
+@_query()
+def correction_errors(spark, d):
+    exact, ends, inc = _lossy(spark, d)
+    return E.errors(C.correct(inc, ends, LOSSY).select("edge", "cnt"), exact)
+
+
+@_query()
+def local_correction(spark, d):
+    _, ends, inc = _lossy(spark, d)
+    probes = E.random_probes(spark, 10_000, LOSSY)
+    centres = probes.select(K.left_node(F.col("edge"), LOSSY).alias("node")).distinct()
+    near = keep(G.ball(centres, inc, C.RADIUS).select("node").distinct(), "near")
+    return C.correct(inc, ends, LOSSY, near, hash_rules=False).where("amount > 0").select(_edge(LOSSY), "cnt", "amount")
+
+
+@_query()
+def random_lookups(spark, d):
+    table = _keyed(_edges(spark, d, k=LOSSY))
+    return T.lookup(E.random_probes(spark, 1_000_000, LOSSY).select(F.col("edge").alias("key")), table).select(K.unpack(F.col("key"), LOSSY).alias("edge"), "cnt")
+
+
+WHP = ALL + FLOW + ", off AS (SELECT node FROM inv WHERE left_value <> right_value), b0 AS (SELECT node, 0 AS d FROM off)" + BALL
+_SHORT = " OR ".join(f"left(edge, {EXACT - p}) = right(edge, {EXACT - p})" for p in range(1, C.SHORT_PERIOD + 1))
+
+
+@_query(WHP + f" SELECT edge FROM ends2 WHERE l NOT IN (SELECT node FROM b3) AND NOT ({_SHORT})")
+def whp_correct(spark, d):
+    edges = keep(_edges(spark, d), "edges")
+    inc = keep(G.incidence(edges, EXACT), "incidence")
+    return C.correct_with_high_probability(inc, edges, _ends(spark, d), EXACT).select(_edge())
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Flow invariant and degrees of every node."""
+    return invariant(spark, sf_dir).join(degrees(spark, sf_dir), "node")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
