@@ -3,7 +3,6 @@ import re
 
 import pytest
 
-from weftgraph.llm import setjoin
 from weftgraph.llm.ngram_join import keep_one, near_duplicates
 
 
@@ -53,11 +52,10 @@ def corpus(seed, n=120):
 
 
 @pytest.mark.parametrize("cold", [64, 3, 0])
-def test_against_brute_force(spark, monkeypatch, cold):
-    monkeypatch.setattr(setjoin, "COLD", cold)
+def test_against_brute_force(spark, cold):
     rows = corpus(cold) + [(1001, None), (1002, ""), (1003, " \n "), (1004, "é ü"), (1005, "É ü"), (1006, "é ü")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect())
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, cold=cold).collect())
     assert got == brute(rows)
 
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .setjoin import Rule, components, links, unit_keys
+from .setjoin import COLD, Rule, components, links, unit_keys
 from .shared import staged
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row.
 
     Null or empty texts and texts without words: no shingles, linked with nothing, their own component. A text of
     fewer than `size` words is one shingle. Repeated rows each come back. Rows with a null id are grouped by their
     text but give no id to a component. Texts are equal or linked by 64-bit hashes of words and shingles.
     """
-    rule = Rule(percent, size)
+    rule = Rule(percent, size, cold=cold)
     units = staged(unit_keys(docs, rule, id_col, text_col), "units")
     edges = links(docs, rule, id_col, text_col)
     labels = components(edges)

@@ -5,10 +5,11 @@
 2. Prefixes. Units whose Jaccard similarity is T or more share a token among the first n - ceil(T n) + 1 of
    each, so only these are posted. Copies share one key and count once.
 3. Candidates. Postings of a token with a small counter meet in one block, as packed arrays; the counter is an
-   upper bound of their number. The other tokens stay rows that Spark can pre-aggregate and split: each unit
+   upper bound of their number. Overlaps of prefixes add up over the blocks, and pairs below the bound that
+   their sizes give are dropped. The other tokens stay rows that Spark can pre-aggregate and split: each unit
    is first held against the token's leader only.
-4. Blocked product. Candidates' rows of the incidence matrix are dealt to cells (row block, column block);
-   a cell accumulates the overlap counts of its pairs and drops those below the bound that their sizes give.
+4. Blocked product. Candidates' rows of the incidence matrix are dealt to cells (row block, column block), units
+   with common partners together; a cell counts the overlaps of its pairs.
 5. Rest of hot tokens. Pairs that a leader already connected need no work; a pair whose distances from a common
    leader differ by more than 1 - T can't link, as the Jaccard distance is a metric. All others are counted.
 """
@@ -24,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import block_count, columns, input_bytes, small_batches, staged
+from .shared import block_count, input_bytes, small_batches, staged
 from .words import NOT_SPACE, Words, mix, pieces
 
 U = np.uint64
@@ -32,6 +33,8 @@ FLUSH = 1 << 20
 #: Postings of a token meet in one block only if its counter allows no more than these.
 COLD = 64
 BLOOM_BITS = 26
+#: Units of one block of the product.
+CELL = 512
 
 
 @dataclass(frozen=True)
@@ -41,6 +44,7 @@ class Rule:
     percent: int = 75
     size: int = 5
     lines: bool = False
+    cold: int = COLD
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
         return n - -(-n * self.percent // 100) + 1
@@ -142,7 +146,7 @@ def token_counters(docs: DataFrame, rule: Rule, bits: int) -> np.ndarray:
 
 
 def _prefixes(w: Words, rule: Rule, counters: np.ndarray, bits: int):
-    """(unit, set size, position, token, counter) of each unit's prefix tokens."""
+    """(unit, set size, position, token, counter, number of hot tokens) of the units' prefixes; sizes and numbers by unit."""
     unit, h = _sets(w, rule)
     seen = counters[(h >> U(64 - bits)).astype(np.int64)]
     rank = (np.minimum(seen, 0xFFFFF).astype(np.uint64) << U(44)) | (mix(h) >> U(20))
@@ -153,7 +157,8 @@ def _prefixes(w: Words, rule: Rule, counters: np.ndarray, bits: int):
     first = np.cumsum(size) - size
     at = np.arange(len(h)) - first[unit]
     keep = at < rule.prefix(size)[unit]
-    return unit[keep], size, at[keep], h[keep], seen[keep]
+    unit, at, h, seen = unit[keep], at[keep], h[keep], seen[keep]
+    return unit, size, at, h, seen, np.bincount(unit[seen > rule.cold], minlength=n_units)
 
 
 POSTING = [("block", pa.int32()), ("postings", pa.binary()), ("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("doc", pa.int64())]
@@ -173,24 +178,24 @@ def postings(docs: DataFrame, rule: Rule, counters: np.ndarray, bits: int, block
 
         def flush() -> pa.RecordBatch:
             nonlocal held, n
-            h, key, size, pos = (np.concatenate([x[i] for x in held]) for i in range(4))
+            h, key, size, hot_n = (np.concatenate([x[i] for x in held]) for i in range(4))
             held, n = [], 0
             order = np.argsort(h)
-            h, key, size, pos = h[order], key[order], size[order], pos[order]
+            h, key, size, hot_n = h[order], key[order], size[order], hot_n[order]
             block = (h >> U(64 - top)).astype(np.int64) if top else np.zeros(len(h), np.int64)
             cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(h))
             blobs, ids = [], []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                 keys, back = np.unique(key[lo:hi], return_inverse=True)
-                sizes = np.zeros(len(keys), np.uint32)
-                sizes[back] = size[lo:hi]
-                blobs.append(pack(h[lo:hi], back.astype(np.uint32), pos[lo:hi].astype(np.uint32), keys, sizes))
+                sizes, hots = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)
+                sizes[back], hots[back] = size[lo:hi], hot_n[lo:hi]
+                blobs.append(pack(h[lo:hi], back.astype(np.uint32), keys, sizes, hots))
                 ids.append(block[lo])
             none = [None] * len(ids)
             return _table(POSTING, ids, blobs, none, none, none, none, none)
 
         for ids, w in _units(batches, rule):
-            unit, size, pos, h, count = _prefixes(w, rule, table, bits)
+            unit, size, pos, h, count, hot_n = _prefixes(w, rule, table, bits)
             keys = w.sequence_keys()
             # copies within this task are posted once; what is remembered is bounded
             fresh = np.zeros(len(keys), bool)
@@ -199,12 +204,12 @@ def postings(docs: DataFrame, rule: Rule, counters: np.ndarray, bits: int, block
             seen = np.concatenate([seen[-(1 << 18) :], keys[fresh]])
             keep = fresh[unit]
             unit, pos, h, count = unit[keep], pos[keep], h[keep], count[keep]
-            hot = count > COLD
+            hot = count > rule.cold
             if hot.any():
                 u = unit[hot]
                 yield _table(POSTING, pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.binary()), _long(h[hot]), _long(keys[u]), size[u].astype(np.int32), pos[hot].astype(np.int32), ids[w.row[u]])
             u = unit[~hot]
-            held.append((h[~hot], keys[u], size[u], pos[~hot]))
+            held.append((h[~hot], keys[u], size[u], hot_n[u]))
             n += len(u)
             if n > FLUSH:
                 yield flush()
@@ -228,46 +233,60 @@ def _expand(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, i + 1 + np.arange(len(i)) - np.repeat(begin, later)
 
 
+PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
+
+
 def cold_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of keys that share a cold prefix token and pass the size and position bounds. A token has at most COLD postings here."""
+    """Pairs of keys whose prefixes overlap enough. A token has at most rule.cold postings here.
+
+    Of two linked sets, the one whose prefix ends first in the order of tokens has all common tokens in both
+    prefixes or behind its own. So the overlap is at most that of the prefixes plus the longer rest, and hot tokens,
+    which aren't counted here, add the smaller of their numbers at most.
+    """
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py()) for x in table.column("postings")]
         h = np.concatenate([p[0] for p in parts])
-        k = np.concatenate([p[3][p[1]] for p in parts])
-        n = np.concatenate([p[4][p[1]] for p in parts]).astype(np.int64)
-        pos = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        k = np.concatenate([p[2][p[1]] for p in parts])
+        n = np.concatenate([p[3][p[1]] for p in parts]).astype(np.int64)
+        hot = np.concatenate([p[4][p[1]] for p in parts]).astype(np.int64)
         del parts
-        many = np.bincount((h >> U(36)).astype(np.int64) & 0xFFFFF, minlength=1 << 20)[(h >> U(36)).astype(np.int64) & 0xFFFFF] > 1
-        h, k, n, pos = h[many], k[many], n[many], pos[many]
-        if not len(h):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        order = np.lexsort((k, h))
-        h, k, n, pos = h[order], k[order], n[order], pos[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-        h, k, n, pos = h[new], k[new], n[new], pos[new]
-        cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        lengths = np.diff(np.append(cut, len(h)))
-        found = np.empty(0, [("a", np.uint64), ("b", np.uint64)])
-        # groups are dealt so that no step expands more than a few million pairs
-        work = np.cumsum(lengths.astype(np.int64) ** 2)
-        step = np.searchsorted(work, np.arange(0, int(work[-1]) + 1, 4_000_000))
-        for lo, hi in zip(step, np.append(step[1:], len(lengths)), strict=True):
-            if hi <= lo:
-                continue
-            base = int(cut[lo])
-            i, j = _expand(lengths[lo:hi])
-            i, j = i + base, j + base
-            least = rule.needed(n[i], n[j])
-            fits = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least
-            pair = np.empty(int(fits.sum()), found.dtype)
-            pair["a"], pair["b"] = k[i[fits]], k[j[fits]]
-            found = np.unique(np.concatenate([found, pair]))
-        return pa.table({"a": _long(found["a"]), "b": _long(found["b"])})
+        slot = (h >> U(36)).astype(np.int64) & 0xFFFFF
+        many = np.bincount(slot, minlength=1 << 20)[slot] > 1
+        h, k, n, hot = h[many], k[many], n[many], hot[many]
+        found, counts, needs = np.empty(0, PAIR), np.empty(0, np.int64), np.empty(0, np.int64)
+        if len(h):
+            order = np.lexsort((k, h))
+            h, k, n, hot = h[order], k[order], n[order], hot[order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+            h, k, n, hot = h[new], k[new], n[new], hot[new]
+            cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            lengths = np.diff(np.append(cut, len(h)))
+            # groups are dealt so that no step expands more than a few million pairs
+            work = np.cumsum(lengths.astype(np.int64) ** 2)
+            step = np.searchsorted(work, np.arange(0, int(work[-1]) + 1, 2_000_000))
+            for lo, hi in zip(step, np.append(step[1:], len(lengths)), strict=True):
+                if hi <= lo:
+                    continue
+                i, j = _expand(lengths[lo:hi])
+                i, j = i + int(cut[lo]), j + int(cut[lo])
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                fits = small * 100 >= large * rule.percent
+                i, j, large = i[fits], j[fits], large[fits]
+                need = rule.needed(n[i], n[j]) - (large - rule.prefix(large)) - np.minimum(hot[i], hot[j])
+                pair = np.empty(len(i), PAIR)
+                pair["a"], pair["b"] = k[i], k[j]
+                all_pairs, weights = np.concatenate([found, pair]), np.concatenate([counts, np.ones(len(i), np.int64)])
+                found, first, back = np.unique(all_pairs, return_index=True, return_inverse=True)
+                needs = np.concatenate([needs, need])[first]
+                counts = np.bincount(back.reshape(-1), weights, len(found)).astype(np.int64)
+        a, b = found["a"].astype(np.uint64).view(np.int64), found["b"].astype(np.uint64).view(np.int64)
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "c": pa.array(counts, pa.int64()), "need": pa.array(needs, pa.int64())})
 
     packed = posted.where("block is not null").select("block", "postings")
-    return packed.groupBy("block").applyInArrow(meet, "a bigint, b bigint")
+    met = packed.groupBy("block").applyInArrow(meet, "a bigint, b bigint, c bigint, need bigint")
+    return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
 
 
 # 4. blocked product
@@ -332,8 +351,13 @@ def unit_sets(docs: DataFrame, rule: Rule, keys: DataFrame) -> DataFrame:
 
 def overlaps(pairs: DataFrame, sets: DataFrame, rule: Rule, blocks: int) -> DataFrame:
     """(a, b, na, nb, common) of pairs, which hold each (a, b) once. A cell gets the sets of its own row and column block only."""
-    cell = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    placed = pairs.select(cell("a").alias("i"), cell("b").alias("j"), "a", "b")
+    sides = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    home = sides.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.min("a")).alias("home"))
+    crowd = home.groupBy("home").agg(F.ceil(F.count("*") / CELL).alias("salts"))
+    # units with a common partner share a block; a crowd of them is dealt to several
+    salted = F.when(F.col("salts") > 1, F.xxhash64("home", F.pmod(F.xxhash64("key"), F.col("salts")))).otherwise(F.pmod(F.xxhash64("home"), F.lit(blocks)))
+    block = staged(home.join(crowd, "home").select("key", salted.alias("block")), "blocks")
+    placed = pairs.join(block.select(F.col("key").alias("a"), F.col("block").alias("i")), "a").join(block.select(F.col("key").alias("b"), F.col("block").alias("j")), "b").select("i", "j", "a", "b")
     wanted = placed.select("i", "j", F.explode(F.array("a", "b")).alias("key")).distinct()
     rows = wanted.join(sets, "key").select("i", "j", "key", F.lit(None).cast("bigint").alias("other"), "tokens")
     both = rows.unionByName(placed.select("i", "j", F.col("a").alias("key"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("tokens")))
@@ -373,9 +397,10 @@ def ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def links(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", first: DataFrame | None = None) -> DataFrame:
     """(a, b): keys of different word sequences that link. Every connection is kept: of pairs inside one hot group that
-    a chain of returned links connects already, only that chain is certain to be returned.
+    a chain of returned links connects already, only that chain is certain to be returned. With first (key, at), every key
+    that links with any key of a smaller `at` has at least one such link returned.
 
     Rows without words have no key and no link; nulls count as empty; repeated rows and exact copies share a key.
     """
@@ -391,36 +416,51 @@ def links(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "
     leaders = hot.groupBy("token").agg(F.min(F.struct("doc", "key", "n", "pos")).alias("l"), F.max("key").alias("hi"), F.min("key").alias("lo")).where("hi > lo").select("token", F.col("l.key").alias("leader"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
     led = hot.join(leaders, "token").where("key <> leader").select("token", "key", "n", "pos", "leader", "ln", "lpos")
     to_leader = led.where((F.least("n", "ln") * 100 >= F.greatest("n", "ln") * rule.percent)).select(*ordered(F.col("key"), F.col("leader")))
-    first = staged(cold_pairs(posted, rule).unionByName(to_leader).distinct(), "pairs")
-    keys = first.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    return _rest(docs, rule, hot, leaders, first, keys, fits)
+    pairs = staged(cold_pairs(posted, rule).unionByName(to_leader).distinct(), "pairs")
+    return _counted(docs, rule, hot, leaders, pairs, fits, first)
 
 
-def _rest(docs, rule, hot, leaders, first, keys, fits) -> DataFrame:
+def _counted(docs: DataFrame, rule: Rule, hot: DataFrame, leaders: DataFrame, pairs: DataFrame, fits, first: DataFrame | None) -> DataFrame:
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     # every key with a hot posting may come up again in the last step, so sets are gathered once for all
     shared_hot = hot.join(leaders, "token", "left_semi")
     keys = staged(keys.unionByName(shared_hot.select("key")).distinct(), "keys")
-    cells = max(1, keys.count() // 512)
+    cells = max(1, keys.count() // CELL)
     sets = staged(unit_sets(docs, rule, keys), "sets")
-    known = staged(overlaps(first, sets, rule, cells), "overlaps")
+    known = staged(overlaps(pairs, sets, rule, cells), "overlaps")
     good = known.where(linked(rule)).select("a", "b")
     if shared_hot.isEmpty():
         return good
-    # labels: the least key two links away at most; only a way to skip pairs that are connected anyhow
+    # what makes a pair superfluous: two keys of one label are connected anyhow; a late key has a link with an earlier one
     both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
-    near2 = both.join(near.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("label"))
-    near = staged(near2, "labels")
+    if first is None:
+        near = both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
+        near = both.join(near.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("label"))
+        marks = staged(near, "labels")
+    else:
+        own, other = first.select(F.col("key").alias("a"), F.col("at").alias("at_a")), first.select(F.col("key").alias("b"), F.col("at").alias("at_b"))
+        late = both.join(own, "a").join(other, "b").where("at_b < at_a").select(F.col("a").alias("key"), F.lit(True).alias("late")).distinct()
+        marks = staged(first.join(keys, "key", "left_semi").join(late, "key", "left").select("key", "at", F.coalesce("late", F.lit(False)).alias("late")), "late")
     distance = known.where("common >= 0").select("a", "b", (F.lit(1.0) - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
     rows = hot.groupBy("token", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos")).join(leaders.select("token", "leader"), "token")
-    rows = rows.join(near, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    if first is None:
+        rows = rows.join(marks, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+    else:
+        rows = rows.join(marks, "key")
+        mixed = rows.groupBy("token").agg(F.max(~F.col("late")).alias("open")).where("open").select("token")
     rows = rows.join(mixed, "token", "left_semi").withColumns({"a": F.least("key", "leader"), "b": F.greatest("key", "leader")})
-    rows = rows.join(distance, ["a", "b"], "left").withColumn("d", F.when(F.col("key") == F.col("leader"), 0.0).otherwise(F.col("d"))).select("token", "key", "n", "pos", "label", "d")
-    rows = staged(rows, "hot")
-    left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "pos", "label", "d")]) for s in "xy")
-    more = left.join(right, "token").where((F.col("key_x") < F.col("key_y")) & (F.col("label_x") != F.col("label_y")) & fits("n_x", "pos_x", "n_y", "pos_y") & F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 1 - rule.percent / 100 + 1e-9, F.lit(True)))
-    more = more.select(F.col("key_x").alias("a"), F.col("key_y").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
+    rows = rows.join(distance, ["a", "b"], "left").withColumn("d", F.when(F.col("key") == F.col("leader"), 0.0).otherwise(F.col("d")))
+    kept = ["key", "n", "pos", "d", *(["label"] if first is None else ["at", "late"])]
+    rows = staged(rows.select("token", *kept), "hot")
+    left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in kept]) for s in "xy")
+    if first is None:
+        worth = (F.col("key_x") < F.col("key_y")) & (F.col("label_x") != F.col("label_y"))
+    else:
+        left = left.where("not late_x")
+        worth = (F.col("key_x") != F.col("key_y")) & (F.col("at_y") < F.col("at_x"))
+    worth = worth & fits("n_x", "pos_x", "n_y", "pos_y") & F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 1 - rule.percent / 100 + 1e-9, F.lit(True))
+    more = left.join(right, "token").where(worth).select(*ordered(F.col("key_x"), F.col("key_y"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     more = staged(more, "more")
     return good.unionByName(overlaps(more, sets, rule, cells).where(linked(rule)).select("a", "b"))
 
@@ -440,13 +480,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = labels.select("key", "label")
 
 
-UNIT = [("doc_id", pa.int64()), ("unit", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("n_words", pa.int64())]
+UNIT = [("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("n_words", pa.int64())]
 
 
 def unit_keys(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", sizes: bool = True) -> DataFrame:
-    """(doc_id, unit, key, n, n_words) of every unit with words, and for documents of every row: key null without words."""
+    """(doc_id, row, unit, key, n, n_words) of every unit with words, and for documents of every row: key null without words.
+
+    row is a hash of the text: rows of one id with different texts differ in it. unit is the line's number from 0.
+    """
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -455,9 +498,9 @@ def unit_keys(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str
                 count = w.counts()
                 n = np.bincount(_sets(w, rule)[0], minlength=len(count)) if sizes else count
                 key = pa.array(w.sequence_keys().view(np.int64), pa.int64(), mask=count == 0)
-                ids = batch.column(0).slice(lo, hi - lo).cast(pa.int64()).take(pa.array(w.row))
+                ids, rows = (batch.column(c).slice(lo, hi - lo).cast(pa.int64()).take(pa.array(w.row)) for c in (0, 2))
                 unit = w.line if rule.lines else np.zeros(len(count), np.int64)
-                out = _table(UNIT, ids, unit, key, n, count)
+                out = _table(UNIT, ids, rows, unit, key, n, count)
                 yield out.filter(pa.array(count > 0)) if rule.lines else out
 
-    return docs.mapInArrow(keys, "doc_id bigint, unit bigint, key bigint, n bigint, n_words bigint")
+    return docs.mapInArrow(keys, "doc_id bigint, row bigint, unit bigint, key bigint, n bigint, n_words bigint")
