@@ -52,7 +52,12 @@ class _Block:
     def __init__(self, ids: list[pa.Array], data: list[np.ndarray], lengths: list[np.ndarray], pattern: str):
         text, length = np.concatenate(data), np.concatenate(lengths)
         start, end, first = split(text, np.concatenate([[0], np.cumsum(length)]), pattern)
-        word, self.length, self.hash, self.code = distinct(text, start, end)
+        word, length_of, h, code = distinct(text, start, end)
+        # frequent pre-tokens get small numbers, which pack well
+        order = np.argsort(-np.bincount(code, minlength=len(word)), kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order))
+        word, self.length, self.hash, self.code = word[order], length_of[order], h[order], rank[code] if len(code) else code
         self.ids = pa.chunked_array(ids).combine_chunks()
         self.counts = np.diff(first).astype(np.uint32)
         self.text, self.word = text, word
@@ -64,7 +69,7 @@ class _Block:
         return self.length[which].astype(np.uint32), gather(self.text, self.word[which], self.length[which])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[_Block]:
+def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, most: int | None = None) -> Iterator[_Block]:
     ids, data, lengths, size = [], [], [], 0
     for batch in batches:
         for lo, hi, text, offsets in pieces(batch.column(1)):
@@ -72,7 +77,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[_Block]
             data.append(text)
             lengths.append(np.diff(offsets))
             size += len(text)
-            if size >= BLOCK_BYTES:
+            if size >= (most or BLOCK_BYTES):
                 yield _Block(ids, data, lengths, pattern)
                 ids, data, lengths, size = [], [], [], 0
     if ids:
