@@ -137,12 +137,14 @@ def reachable_in_sketch(sketch: DataFrame, ends: DataFrame, k: int, hash_of) ->
 
     A lossy graph has no list of nodes, so this walks level by level: rounds grow with the longest way from an end.
     """
-    seen = keep(end_nodes(ends), "seen")
-    front, found = seen, None
+    front = seen = keep(end_nodes(ends), "seen")
+    found, rounds = None, 0
     while True:
         rows = keep(probe(front, sketch, k, hash_of), "probed")
         found = rows if found is None else found.unionByName(rows)
         front = keep(rows.select(F.col("neighbor").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
         if front.isEmpty():
             return found
-        seen = keep(seen.unionByName(front), "seen")
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % 16 == 0:  # plans stay short
+            seen, found = keep(seen, "seen"), keep(found, "found")

@@ -21,7 +21,7 @@ from . import sql as S
 from .dna import reads
 
 #: k of the exact queries (nodes of even length, so palindromes occur), and k and hash bits of the lossy ones.
-EXACT, LOSSY, BITS = 9, 11, 22
+EXACT, LOSSY, BITS = 9, 10, 20
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -239,13 +239,13 @@ def components(spark, d):
 
 
 @_query(
-    ALL + " SELECT node, format('  {} [ label=\"{}\\n({}, {})\", style=filled, fillcolor={}, shape={} ];', node, node, coalesce(left_ends, 0), coalesce(right_ends, 0), CASE WHEN coalesce(left_ends + right_ends, 0) > 0 THEN 'grey' ELSE 'white' END, CASE WHEN " + S.duplex("node") + " THEN 'diamond' ELSE 'ellipse' END) AS line FROM (SELECT DISTINCT node FROM inc) LEFT JOIN ends USING (node)"
+    ALL + " SELECT node, format('  {}[ label=\"{}\\n({}, {})\", style=filled, fillcolor={}, shape={} ];', node, node, coalesce(left_ends, 0), coalesce(right_ends, 0), CASE WHEN coalesce(left_ends + right_ends, 0) > 0 THEN 'grey' ELSE 'white' END, CASE WHEN " + S.duplex("node") + " THEN 'diamond' ELSE 'ellipse' END) AS line FROM (SELECT DISTINCT node FROM inc) LEFT JOIN ends USING (node)"
 )
 def dot_nodes(spark, d):
     return dot.dot_nodes(_inc(spark, d), _ends(spark, d), EXACT)
 
 
-@_query(INC + " SELECT e.edge, format('  {} -> {} [ label=\"({}, {})\", tailport={}, headport={} ];', l, r, e.edge, e.cnt, CASE a.side WHEN 'L' THEN 'w' WHEN 'R' THEN 'e' ELSE 's' END, CASE b.side WHEN 'L' THEN 'w' WHEN 'R' THEN 'e' ELSE 's' END) AS line FROM ends2 e JOIN inc a ON a.edge = e.edge AND a.node = e.l JOIN inc b ON b.edge = e.edge AND b.node = e.r")
+@_query(INC + " SELECT e.edge, format('  {} -> {}[ label=\"({}, {})\", tailport={}, headport={} ];', l, r, e.edge, e.cnt, CASE a.side WHEN 'L' THEN 'w' WHEN 'R' THEN 'e' ELSE 's' END, CASE b.side WHEN 'L' THEN 'w' WHEN 'R' THEN 'e' ELSE 's' END) AS line FROM ends2 e JOIN inc a ON a.edge = e.edge AND a.node = e.l JOIN inc b ON b.edge = e.edge AND b.node = e.r")
 def dot_edges(spark, d):
     return dot.dot_edges(_edges(spark, d), EXACT)
 

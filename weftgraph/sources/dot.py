@@ -25,8 +25,8 @@ def dot_nodes(nodes: DataFrame, ends: DataFrame, k: int) -> DataFrame:
 
 def dot_edges(edges: DataFrame, k: int) -> DataFrame:
     """(edge, line): from left to right node, labelled with k-mer and count, ports by side."""
-    e = F.col("edge")
-    left, right = K.left_node(e, k), K.right_node(e, k)
+    e, left, right = F.col("edge"), F.col("l"), F.col("r")
+    edges = edges.select("edge", "cnt", K.left_node(e, k).alias("l"), K.right_node(e, k).alias("r"))
     line = F.format_string('  %s -> %s[ label="(%s, %d)", tailport=%s, headport=%s ];', K.unpack(left, k - 1), K.unpack(right, k - 1), K.unpack(e, k), "cnt", _port(left, e, k), _port(right, e, k))
     return edges.select(K.unpack(e, k).alias("edge"), line.alias("line"))
 
