@@ -19,14 +19,14 @@ def later_matches(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str
     rule = Rule(percent, size, lines=True, cold=cold)
     units = staged(unit_keys(docs, rule, id_col, text_col, sizes=False).where("doc_id is not null").select("doc_id", "row", "unit", "key"), "lines")
     at = F.struct("doc_id", "unit").alias("at")
-    first = staged(units.groupBy("key").agg(F.min(at).alias("at")), "first")  # copies come together before the shuffle
-    edges = links(docs.where(F.col(f"`{id_col}`").isNotNull()), rule, id_col, text_col, first)
+    first = staged(units.groupBy("key").agg(F.min(at).alias("at"), F.count("*").alias("n")), "first")  # copies come together before the shuffle
+    edges = links(docs.where(F.col(f"`{id_col}`").isNotNull()), rule, id_col, text_col, first.select("key", "at"))
     own, other = first.select(F.col("key").alias("a"), F.col("at").alias("at_a")), first.select(F.col("key").alias("b"), F.col("at").alias("at_b"))
     ends = edges.join(own, "a").join(other, "b")
     late = ends.select(F.when(F.col("at_b") < F.col("at_a"), F.col("a")).otherwise(F.col("b")).alias("key")).distinct().withColumn("late", F.lit(True))
-    judged = first.join(late, "key", "left").select("key", F.col("at").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
+    judged = first.join(late, "key", "left").where("late or n > 1").select("key", F.col("at").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
     # a frequent line has many units but one row in judged; Spark splits such partitions of the larger side
-    return units.join(judged, "key").where(F.col("late") | (F.col("first") < F.struct("doc_id", "unit"))).select("doc_id", "row", "unit")
+    return units.join(judged.hint("shuffle_hash"), "key").where(F.col("late") | (F.col("first") < F.struct("doc_id", "unit"))).select("doc_id", "row", "unit")
 
 
 def drop_later_lines(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD) -> DataFrame:
@@ -37,10 +37,11 @@ def drop_later_lines(docs: DataFrame, percent: int = 75, size: int = 5, id_col:
     """
     gone = later_matches(docs, percent, size, id_col, text_col, cold).groupBy("doc_id", "row").agg(F.collect_set("unit").alias("units"))
     key = [F.col(f"`{id_col}`").cast("bigint").alias("__id"), F.xxhash64(F.col(f"`{text_col}`")).alias("__row")]
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"), *key)
+    rows = docs.select(F.struct("*").alias("row"), *key)
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "units")
-    joined = rows.join(gone, ["__id", "__row"], "left")
-    lines = F.split("text", "\n", -1)
+    joined = rows.join(gone.hint("shuffle_hash"), ["__id", "__row"], "left")
+    old = F.col(f"row.`{text_col}`")
+    lines = F.split(old, "\n", -1)
     left = F.filter(lines, lambda x, i: ~F.array_contains(F.col("units"), i.cast("bigint")))
-    text = F.when(F.col("units").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    text = F.when(F.col("units").isNull(), old).otherwise(F.array_join(left, "\n"))
     return joined.select("row", text.alias("text"), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("units"), F.lit(0)).alias("n_removed"))

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-from .words import _BYTE, segment_hash
+from .words import byte_hash
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -86,7 +86,7 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
 
 def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, length, hash) of the distinct pre-tokens in order of appearance, and the number of each; compared byte by byte."""
-    h = segment_hash(_BYTE[data], start, end)
+    h = byte_hash(data, start, end)
     code, found = pd.factorize(h)
     where = np.zeros(len(found), np.int64)
     where[code[::-1]] = np.arange(len(code))[::-1]

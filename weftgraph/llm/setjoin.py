@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import block_count, input_bytes, small_batches, staged
-from .words import NOT_SPACE, Words, mix, pieces
+from .words import NOT_SPACE, Words, by_unit, mix, pieces
 
 U = np.uint64
 FLUSH = 1 << 20
@@ -82,10 +82,12 @@ def _units(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[np.n
             yield ids[lo:hi], Words(data, offsets, NOT_SPACE, rule.lines)
 
 
-def _sets(w: Words, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(unit, token) without repeats, sorted by unit and token."""
+def _sets(w: Words, rule: Rule, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(unit, token) without repeats, sorted by unit and token; of the units that `only` marks."""
     unit, h = w.shingles(rule.size)
-    order = np.lexsort((h, unit))
+    if only is not None:
+        unit, h = unit[only[unit]], h[only[unit]]
+    order = by_unit(unit, h, len(w.bounds))
     unit, h = unit[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
@@ -144,14 +146,20 @@ def token_counters(docs: DataFrame, rule: Rule, bits: int) -> np.ndarray:
 
 # 2. prefixes
 
+_STEPS = (np.log2(np.arange(1 << 20) + 1.0) * 64).astype(np.uint64)
+
 
 def _prefixes(w: Words, rule: Rule, counters: np.ndarray, bits: int):
     """(unit, set size, position, token, counter, number of hot tokens) of the units' prefixes; sizes and numbers by unit."""
-    unit, h = _sets(w, rule)
+    unit, h = w.shingles(rule.size)
     seen = counters[(h >> U(64 - bits)).astype(np.int64)]
-    rank = (np.minimum(seen, 0xFFFFF).astype(np.uint64) << U(44)) | (mix(h) >> U(20))
-    order = np.lexsort((rank, unit))
+    # a scale of 64 steps for each doubling, then the hash: equal tokens have equal ranks
+    rank = ((_STEPS[np.minimum(seen, len(_STEPS) - 1)]) << U(53)) | (mix(h) >> U(11))
+    order = by_unit(unit, rank, len(w.bounds))
     unit, h, seen = unit[order], h[order], seen[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
+    unit, h, seen = unit[new], h[new], seen[new]
     n_units = len(w.bounds) - 1
     size = np.bincount(unit, minlength=n_units)
     first = np.cumsum(size) - size
@@ -233,7 +241,15 @@ def _expand(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, i + 1 + np.arange(len(i)) - np.repeat(begin, later)
 
 
-PAIR = np.dtype([("a", np.uint64), ("b", np.uint64)])
+def _add_up(parts: list[np.ndarray]) -> np.ndarray:
+    """Columns a, b, count, need, a row for each pair: counts add up."""
+    rows = np.concatenate(parts, axis=1)
+    order = np.lexsort((rows[1], rows[0]))
+    rows = rows[:, order]
+    first = np.flatnonzero(np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
+    out = rows[:, first]
+    out[2] = np.add.reduceat(rows[2], first)
+    return out
 
 
 def cold_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
@@ -254,7 +270,8 @@ def cold_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
         slot = (h >> U(36)).astype(np.int64) & 0xFFFFF
         many = np.bincount(slot, minlength=1 << 20)[slot] > 1
         h, k, n, hot = h[many], k[many], n[many], hot[many]
-        found, counts, needs = np.empty(0, PAIR), np.empty(0, np.int64), np.empty(0, np.int64)
+        found: list[np.ndarray] = []
+        waiting = 0
         if len(h):
             order = np.lexsort((k, h))
             h, k, n, hot = h[order], k[order], n[order], hot[order]
@@ -263,9 +280,9 @@ def cold_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
             h, k, n, hot = h[new], k[new], n[new], hot[new]
             cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             lengths = np.diff(np.append(cut, len(h)))
-            # groups are dealt so that no step expands more than a few million pairs
+            # groups are dealt so that no step expands more than some hundred thousand pairs
             work = np.cumsum(lengths.astype(np.int64) ** 2)
-            step = np.searchsorted(work, np.arange(0, int(work[-1]) + 1, 2_000_000))
+            step = np.searchsorted(work, np.arange(0, int(work[-1]) + 1, 400_000))
             for lo, hi in zip(step, np.append(step[1:], len(lengths)), strict=True):
                 if hi <= lo:
                     continue
@@ -275,14 +292,13 @@ def cold_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
                 fits = small * 100 >= large * rule.percent
                 i, j, large = i[fits], j[fits], large[fits]
                 need = rule.needed(n[i], n[j]) - (large - rule.prefix(large)) - np.minimum(hot[i], hot[j])
-                pair = np.empty(len(i), PAIR)
-                pair["a"], pair["b"] = k[i], k[j]
-                all_pairs, weights = np.concatenate([found, pair]), np.concatenate([counts, np.ones(len(i), np.int64)])
-                found, first, back = np.unique(all_pairs, return_index=True, return_inverse=True)
-                needs = np.concatenate([needs, need])[first]
-                counts = np.bincount(back.reshape(-1), weights, len(found)).astype(np.int64)
-        a, b = found["a"].astype(np.uint64).view(np.int64), found["b"].astype(np.uint64).view(np.int64)
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64()), "c": pa.array(counts, pa.int64()), "need": pa.array(needs, pa.int64())})
+                x, y = k[i].view(np.int64), k[j].view(np.int64)
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(i), np.int64), need]))
+                waiting += len(i)
+                if waiting > 1_000_000:
+                    found, waiting = [_add_up(found)], 0
+        pairs = _add_up(found) if sum(x.shape[1] for x in found) else np.empty((4, 0), np.int64)
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "c", "need"), pairs, strict=True)})
 
     packed = posted.where("block is not null").select("block", "postings")
     met = packed.groupBy("block").applyInArrow(meet, "a bigint, b bigint, c bigint, need bigint")
@@ -341,7 +357,7 @@ def unit_sets(docs: DataFrame, rule: Rule, keys: DataFrame) -> DataFrame:
             seen = np.concatenate([seen[-(1 << 18) :], k[hit]])
             if not hit.any():
                 continue
-            unit, h = _sets(w, rule)
+            unit, h = _sets(w, rule, hit)
             lo, hi = np.searchsorted(unit, np.flatnonzero(hit)), np.searchsorted(unit, np.flatnonzero(hit), "right")
             yield _table(schema, _long(k[hit]), [h[a:b].tobytes() for a, b in zip(lo, hi, strict=True)])
 

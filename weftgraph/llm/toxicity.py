@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import small_batches, staged
-from .words import _BYTE, LETTERS, Words, mix, pieces, segment_hash
+from .words import LETTERS, Words, byte_hash, pieces
 
 U = np.uint64
 #: Labelled rows that learning reads at most.
@@ -76,11 +76,10 @@ def _features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(unit, hash) of every word and word beginning, with repeats."""
     units, hashes = [w.unit], [w.hash]
     length = w.end - w.start
-    coded = _BYTE[w.data]
     for n in BEGINNINGS:
         at = np.flatnonzero(length > n)
         units.append(w.unit[at])
-        hashes.append(mix(segment_hash(coded, w.start[at], w.start[at] + n) + U(n)))
+        hashes.append(byte_hash(w.data, w.start[at], w.start[at] + n) ^ U(n * 0x9E3779B97F4A7C15 % 2**64))
     return np.concatenate(units), np.concatenate(hashes)
 
 

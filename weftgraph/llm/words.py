@@ -10,12 +10,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 PIECE = 2 << 20
 HASHED_AT_ONCE = 1 << 20
 U = np.uint64
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _R = U(0x9E3779B97F4A7C15)
@@ -67,6 +66,49 @@ def segment_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return out
 
 
+_MASK = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+#: Longer stretches of bytes are hashed one by one.
+LONG = 512
+
+
+def byte_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of data[start[i]:end[i]], eight bytes of all at a time."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = end - start
+    h = left.astype(np.uint64) * U(0x9E3779B97F4A7C15)
+    which = None
+    at = start
+    while len(at):
+        x = eight[at] & _MASK[np.minimum(left, 8)]
+        x = ((h if which is None else h[which]) ^ x) * U(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> U(29))) * U(0x94D049BB133111EB)
+        x ^= x >> U(32)
+        if which is None:
+            h = x
+            which = np.flatnonzero((left > 8) & (left <= LONG))
+            at, left = start[which] + 8, left[which] - 8
+        else:
+            h[which] = x
+            more = left > 8
+            which, at, left = which[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(end - start > LONG):
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return h
+
+
+def by_unit(unit: np.ndarray, value: np.ndarray, units: int) -> np.ndarray:
+    """An order by unit and value."""
+    shift = U(64 - max(1, units.bit_length()))
+    top = (unit.astype(np.uint64) << shift) | (value >> (U(64) - shift))
+    order = np.argsort(top)
+    tied = top[order]
+    if ((tied[1:] == tied[:-1]) & (value[order][1:] != value[order][:-1])).any():
+        return np.lexsort((value, unit))
+    return order
+
+
 def pieces(col: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of consecutive rows with about `size` bytes; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -121,7 +163,7 @@ class Words:
         after[inner - 1] = False
         self.start = np.flatnonzero(word & ~before)
         self.end = np.flatnonzero(word & ~after) + 1
-        self.hash = segment_hash(_BYTE[data], self.start, self.end)
+        self.hash = byte_hash(data, self.start, self.end)
         #: first[i]:first[i + 1] are the words of unit i
         self.first = np.searchsorted(self.start, self.bounds)
         self.unit = np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.first))
