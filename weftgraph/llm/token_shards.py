@@ -28,6 +28,8 @@ U = np.uint64
 #: Rows of the block table that may be sent to every executor; beyond them it is joined by a shuffle. 16 bytes each.
 BROADCAST_ROWS = 1 << 20
 ROUNDS = 6
+#: Bytes of text of one block, which is one row of the table of tokens.
+BLOCK_BYTES = 2 << 20
 
 
 def permute(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -66,12 +68,12 @@ def sequences(docs: DataFrame, rank_path: str, pattern: str, stride: int = 256,
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, known = bpe._encoder(rank_path, pattern), {}
-        for block in bpe._blocks(batches, pattern):
+        for block in bpe._blocks(batches, pattern, BLOCK_BYTES):
             found = []
             for x in bpe._cut(*block.spelt(np.arange(len(block.length)))):
                 if (y := known.get(x)) is None:
                     y = one(x)
-                    if len(known) < 1 << 20:  # what is remembered is bounded
+                    if len(known) < 1 << 18:  # what is remembered is bounded
                         known[x] = y
                 found.append(y)
             size = np.array([len(y) for y in found], np.int64)
