@@ -25,11 +25,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import block_count, input_bytes, small_batches, staged
+from .shared import block_count, give_back, input_bytes, small_batches, staged
 from .words import NOT_SPACE, Words, by_unit, mix, pieces
 
 U = np.uint64
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 #: Postings of a token meet in one block only if its counter allows no more than these.
 COLD = 64
 BLOOM_BITS = 26
@@ -80,6 +80,7 @@ def _units(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[np.n
         ids = batch.column(0).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
         for lo, hi, data, offsets in pieces(batch.column(1)):
             yield ids[lo:hi], Words(data, offsets, NOT_SPACE, rule.lines)
+        give_back()
 
 
 def _sets(w: Words, rule: Rule, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +125,7 @@ def token_counters(docs: DataFrame, rule: Rule, bits: int) -> np.ndarray:
             _, h = w.shingles(rule.size)
             held.append((h >> U(64 - bits)).astype(np.int64))
             n += len(h)
-            if n > 2 * FLUSH:
+            if n > FLUSH:
                 add()
         add()
         if total is not None:
@@ -146,15 +147,14 @@ def token_counters(docs: DataFrame, rule: Rule, bits: int) -> np.ndarray:
 
 # 2. prefixes
 
-_STEPS = (np.log2(np.arange(1 << 20) + 1.0) * 64).astype(np.uint64)
-
 
 def _prefixes(w: Words, rule: Rule, counters: np.ndarray, bits: int):
     """(unit, set size, position, token, counter, number of hot tokens) of the units' prefixes; sizes and numbers by unit."""
     unit, h = w.shingles(rule.size)
     seen = counters[(h >> U(64 - bits)).astype(np.int64)]
-    # a scale of 64 steps for each doubling, then the hash: equal tokens have equal ranks
-    rank = ((_STEPS[np.minimum(seen, len(_STEPS) - 1)]) << U(53)) | (mix(h) >> U(11))
+    # a scale of 62 steps for each doubling, then the hash: equal tokens have equal ranks
+    scale = (np.log2(seen.astype(np.float32) + np.float32(1)) * np.float32(62)).astype(np.uint64)
+    rank = (scale << U(53)) | (mix(h) >> U(11))
     order = by_unit(unit, rank, len(w.bounds))
     unit, h, seen = unit[order], h[order], seen[order]
     new = np.ones(len(h), bool)

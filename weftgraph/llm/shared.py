@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -65,11 +66,18 @@ def block_count(df: DataFrame, each: int = 8 << 20, least: int = 16, most: int =
     return n
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Documents vary from empty to megabytes; Python workers get few rows at a time so their memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def give_back() -> None:
+    """Returns freed memory of this Python worker to the system, where its C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns; extra columns and their names never matter."""
     return df.select(*[F.col(f"`{n}`") for n in names])

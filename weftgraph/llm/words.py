@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-PIECE = 2 << 20
-HASHED_AT_ONCE = 1 << 20
+PIECE = 1 << 19
+HASHED_AT_ONCE = 1 << 16
 U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
