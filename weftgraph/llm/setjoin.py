@@ -95,6 +95,18 @@ def _sets(w: Words, rule: Rule, only: np.ndarray | None = None) -> tuple[np.ndar
     return unit[new], h[new]
 
 
+def _unseen(keys: np.ndarray, asked: np.ndarray, seen: set) -> np.ndarray:
+    """Which of the keys asked for weren't seen before; remembers them, but no more than some 100,000."""
+    out = asked.copy()
+    at = np.flatnonzero(asked)
+    own = keys[at].tolist()
+    out[at] = [x not in seen for x in own]
+    if len(seen) > 1 << 17:
+        seen.clear()
+    seen.update(own)
+    return out
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64, copy=False).view(np.int64), pa.int64())
 
@@ -182,7 +194,7 @@ def postings(docs: DataFrame, rule: Rule, counters: np.ndarray, bits: int, block
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = counted.value
         held: list[tuple[np.ndarray, ...]] = []
-        n, seen = 0, np.empty(0, np.uint64)
+        n, seen = 0, set()
 
         def flush() -> pa.RecordBatch:
             nonlocal held, n
@@ -208,8 +220,7 @@ def postings(docs: DataFrame, rule: Rule, counters: np.ndarray, bits: int, block
             # copies within this task are posted once; what is remembered is bounded
             fresh = np.zeros(len(keys), bool)
             fresh[np.unique(keys, return_index=True)[1]] = True
-            fresh &= ~np.isin(keys, seen)
-            seen = np.concatenate([seen[-(1 << 18) :], keys[fresh]])
+            fresh &= _unseen(keys, fresh, seen)
             keep = fresh[unit]
             unit, pos, h, count = unit[keep], pos[keep], h[keep], count[keep]
             hot = count > rule.cold
@@ -346,15 +357,15 @@ def unit_sets(docs: DataFrame, rule: Rule, keys: DataFrame) -> DataFrame:
     schema = [("key", pa.int64()), ("tokens", pa.binary())]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen = sketch.value, np.empty(0, np.uint64)
+        bits, seen = sketch.value, set()
         for _, w in _units(batches, rule):
             k = w.sequence_keys()
             one, two = _bloom_bits(k)
             hit = ((bits[one >> 3] >> (7 - (one & 7))) & (bits[two >> 3] >> (7 - (two & 7))) & 1).astype(bool) & (w.counts() > 0)
             first = np.zeros(len(k), bool)
             first[np.unique(k, return_index=True)[1]] = True
-            hit &= first & ~np.isin(k, seen)
-            seen = np.concatenate([seen[-(1 << 18) :], k[hit]])
+            hit &= first
+            hit &= _unseen(k, hit, seen)
             if not hit.any():
                 continue
             unit, h = _sets(w, rule, hit)
