@@ -30,6 +30,15 @@ def test_every_template_finds_itself():
             assert licenses.judge_region("Some words before it. " + t + " And some after.")[0][0] == name
 
 
+def test_every_pair_of_templates_in_one_region():
+    all_of = [(name, t) for name, texts in licenses.TEMPLATES.items() for t in texts]
+    for a, one in all_of:
+        for b, two in all_of:
+            text = f"Some words before it. {one} And some between. {two} And some after."
+            assert len(list(licenses.regions(text))) == 1
+            assert {x[0] for x in licenses.judge_region(text)} == {a, b}, (one, two)
+
+
 # toxicity
 
 

@@ -1,14 +1,15 @@
 """License scan by conditional compression.
 
 Regions of a text around licence words are compressed without help and with each template as a raw zstandard
-dictionary. Templates are ranked by the size they save; the best are confirmed by their exact wording differences from
-the region, so a text that only looks alike is refused.
+dictionary. Templates are ranked by the size they save; each is confirmed by its exact wording differences from the
+region, so a text that only looks alike is refused.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,8 +64,8 @@ MARK = re.compile(r"licen[cs]|spdx|copyright|warrant|redistribut|permission|publ
 WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
 #: Words before and after a mark that belong to its region; regions are cut into windows of so many words.
 BEFORE, AFTER, WINDOW = 24, 60, 320
-#: Templates confirmed for each region, and the share of a template's words that the region must have in order.
-BEST, SHARE = 6, 0.9
+#: The share of a template's words that the region must have in order.
+SHARE = 0.9
 KEPT = 4096
 
 
@@ -84,10 +85,12 @@ def judge_region(region: str) -> list[tuple[str, float, int, list[str]]]:
     plain, templates = _compressors()
     raw = region.lower().encode()
     alone = len(plain.compress(raw))
-    saved = sorted(((1 - len(c.compress(raw)) / alone, name, words) for name, words, c in templates), key=lambda x: (-x[0], x[1]))[:BEST]
+    saved = sorted(((1 - len(c.compress(raw)) / alone, name, words) for name, words, c in templates), key=lambda x: (-x[0], x[1]))
     have, found, confirmed = WORD.findall(region.lower()), {}, []
+    bag = Counter(have)
     for share, name, words in saved:
-        if share <= 0:
+        # the words in order can't be more than the words at all
+        if (Counter(words) & bag).total() < SHARE * len(words):
             continue
         match = difflib.SequenceMatcher(None, words, have, autojunk=False)
         blocks = [b for b in match.get_matching_blocks() if b.size]
