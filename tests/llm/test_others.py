@@ -105,6 +105,25 @@ def test_pages(spark):
     assert html_text.main_text(df.where("false")).count() == 0
 
 
+P1, P2, P3 = ("This is paragraph number " + n + " of the story, and it has some words more than others do." for n in ("one", "two", "three"))
+
+
+@pytest.mark.parametrize("inside", ["<svg/>", "<svg class='i' />", "<svg class='i'>", "<svg><path d='M0'/><title/><g></svg>", "<svg><title>", "<math/>", "<math><mi>", "<button>", "<object data='x'>", "<select>", "<noscript>", "<iframe src='x'>", "<video src='x'>", "<audio>", "<canvas>", "<template>", "<button>Share</button>", "<svg><style/><style>a{}</style></svg>"])
+def test_embedded_elements_do_not_take_the_page(inside):
+    model = html_text.train()
+    for page in (f"<article><p>{P1}</p>{inside}<p>{P2}</p><p>{P3}</p></article>", f"{inside}<article><p>{P1}</p><p>{P2}</p><p>{P3}</p></article>", f"<article><p>{P1}</p><p>{inside}{P2}</p><p>{P3}</p></article>"):
+        found = html_text.extract(page, model)
+        assert all(p in found for p in (P1, P2, P3)), (page, found)
+
+
+def test_math_and_fallback_text():
+    model = html_text.train()
+    page = f"<article><p>{P1} Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, so. {P2}</p><object data='x'><p>{P3}</p></object><p>{P2}</p></article>"
+    assert html_text.extract(page, model) == f"{P1} Let x=2, so. {P2} {P3} {P2}"
+    page = html_text.Page(f"<p>{P1}</p><script>a<p>b</p></script><style>c</style><textarea>d</textarea><svg><text>e</text><text>f</text></svg><script>g<p>{P2}</p>")
+    assert page.text(np.ones(len(page.tag), bool)) == f"{P1} e f"
+
+
 def test_pages_held_out_accuracy():
     model, r = html_text.train(), random.Random(77)
     hit = wrong = missed = 0

@@ -26,12 +26,16 @@ TRAINING_PAGES = 600
 
 #: Kinds of HTML elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe textarea title svg math object select button canvas video audio".split())
+RAW = set("script style textarea title".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody thead tr td th blockquote pre figure figcaption nav header footer aside form fieldset address details summary dialog menu".split()
-FURNITURE_TAGS = set("nav footer aside form fieldset menu dialog address".split())
+FURNITURE_TAGS = set("nav footer aside form fieldset menu dialog address button select template".split())
 FURNITURE = set("ad ads adv advert advertisement banner breadcrumb breadcrumbs button caption comment comments cookie cookies consent copyright disqus footer form gdpr header hidden legal links login masthead menu meta modal nav navbar navigation newsletter notice notices pagination popup promo promoted reader reply related replies rss search share sharing sidebar signup site social sponsor sponsored subscribe tags toolbar topbar widget alert respond discussion feedback".split())
+#: Elements inside a line or a block: nodes that don't end a paragraph. Those of the other languages, and what ends these.
+EMBEDDED = set("noscript template iframe object select button canvas video audio svg".split())
+FOREIGN, HTML_INSIDE, MATH_TEXT = {"svg", "math"}, {"foreignobject", "desc", "annotation-xml"}, set("mi mo mn ms mtext".split())
+BREAKOUT = (set(TAGS) | INLINE | VOID) - {"a", "font"}
 CONTENT = set("article body content entry main post story text prose maincontent articlebody postcontent".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
@@ -40,6 +44,7 @@ HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\
 PARTS = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
 SHUT = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+NEXT = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in EMBEDDED}
 
 
 class Page:
@@ -52,6 +57,7 @@ class Page:
         names, stack, links, at, block = ["html"], [0], 0, 0, 0
         find = TOKEN.finditer(source) if source else iter(())
         skip_to = 0
+        unclosed: set[str] = set()
         for m in find:
             if m.start() < skip_to:
                 continue
@@ -66,16 +72,38 @@ class Page:
                 if name == "a":
                     links = max(0, links - 1)
                 elif name not in INLINE and name not in VOID:
-                    block += 1
+                    # math is part of its line
+                    block += not ("math" in names and name in names[names.index("math") :] or name == "math")
                     if name in names:
                         while len(names) > 1:
                             stack.pop()
                             if names.pop() == name:
                                 break
                 continue
+            empty = m.group(3).endswith("/")
+            foreign = next((x for x in reversed(names) if x in FOREIGN or x in HTML_INSIDE), None)
+            if foreign in FOREIGN and name in BREAKOUT and names[-1] not in MATH_TEXT:
+                # HTML in an svg or math that wasn't closed: it ends there
+                while foreign in FOREIGN:
+                    block += foreign == "svg"
+                    while names.pop() not in FOREIGN:
+                        stack.pop()
+                    stack.pop()
+                    foreign = next((x for x in reversed(names) if x in FOREIGN or x in HTML_INSIDE), None)
+            inside = foreign in FOREIGN
             if name in RAW:
+                if inside and empty:
+                    continue
                 end = SHUT[name].search(source, at)
-                at = skip_to = end.end() if end else len(source)
+                at = skip_to = end.end() if end else at if inside else len(source)
+                continue
+            if empty and (inside or name in FOREIGN):
+                continue
+            if inside and name not in INLINE and name not in VOID or name == "math":
+                # elements of the other languages aren't nodes; their text belongs to the svg, or to what the math is in
+                block += foreign == "svg" and name != "math"
+                names.append(name)
+                stack.append(stack[-1])
                 continue
             if name in VOID:
                 if name == "br":
@@ -88,9 +116,21 @@ class Page:
                 links += name == "a"
                 self.n_tags[stack[-1]] += 1
                 continue
+            if name in EMBEDDED:
+                # one without an end tag before the next of its kind holds nothing: what follows is the page's
+                end = None if name in unclosed else NEXT[name].search(source, at)
+                if not end:
+                    unclosed.add(name)
+                if not end or not end.group(1):
+                    self.n_tags[stack[-1]] += 1
+                    if name == "svg":
+                        names.append(name)
+                        stack.append(stack[-1])
+                    continue
             block += 1
-            links = 0
-            if "p" in names and names[-1] == "p":
+            if name not in EMBEDDED:
+                links = 0
+            if names[-1] == "p" and name not in EMBEDDED:
                 names.pop()
                 stack.pop()
             shuts = CLOSES.get(name)
