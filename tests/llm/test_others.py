@@ -84,6 +84,17 @@ def test_toxicity_without_rows(spark):
     assert toxicity.drop_toxic(docs, labels).columns == docs.columns
 
 
+@pytest.mark.parametrize("labels", [[], [(1, None), (None, 1)], [(77, 1), (78, 0)], [(1, 1), (2, 1), (3, 1), (4, 1)], [(1, 0), (2, 0), (3, 0)], [(1, 1), (2, 0), (3, 0), (4, 0), (6, 0)]])
+def test_toxicity_rejects_nothing_without_evidence(spark, tmp_path, labels):
+    rows = [(i, f"some words of text {i}") for i in range(1, 9)] + [(8, "some words of text 8"), (9, None), (10, ""), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert sorted(map(str, toxicity.drop_toxic(docs, labels).collect())) == sorted(map(str, docs.collect()))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    assert [r.predicted for r in op3_toxicity(spark, str(tmp_path)).collect()] == [0] * len(rows)
+
+
 def test_toxicity_query(spark, tmp_path):
     rows = labelled(400)
     spark.createDataFrame([(i, t, "score") for i, t, _ in rows], "doc_id long, text string, score string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -27,9 +27,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model)
     held_out = F.coalesce(toxicity.is_held_out(F.col("row.doc_id")), F.lit(False)).alias("held_out")
-    return found.select("row.doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("row.doc_id", held_out, "score", model.toxic(F.col("score")).cast("int").alias("predicted"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

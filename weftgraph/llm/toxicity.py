@@ -52,13 +52,24 @@ IDENTITY = (
 
 @dataclass
 class Model:
-    """Score = logistic(bias + sum of weights of the features that a text has)."""
+    """Score = logistic(bias + sum of weights of the features that a text has).
+
+    Where the labelled rows gave it nothing to tell texts apart by (`judges` is false), no score is evidence of anything.
+    """
 
     features: np.ndarray
     weights: np.ndarray
     bias: float
     terms: int = 0
 
+    @property
+    def judges(self) -> bool:
+        return len(self.features) > 0
+
+    def toxic(self, score: Column, threshold: float = 0.5) -> Column:
+        """Whether a text with this score is to be taken as toxic; never by a model that doesn't judge."""
+        return score >= threshold if self.judges else F.lit(False)
+
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         unit, h = _features(Words(data, offsets, LETTERS))
         return _logistic(self.bias + np.bincount(*self._hits(unit, h), minlength=len(offsets) - 1))
@@ -119,7 +130,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_c
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float = SWAP, **columns) -> Model:
-    """A model of the labelled rows; without rows of both labels, one that scores all texts alike."""
+    """A model of the labelled rows; without rows of both labels, one that scores all texts alike and rejects none."""
     small_batches(docs.sparkSession)
     rows = staged(training_rows(docs, labels, sample, **columns), "labelled")
     groups = [[t.encode() for t in g] for g in IDENTITY]
@@ -158,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float
     y = (got.column(0).to_numpy() > 0).astype(float)
     cols = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in got.column(1)]
     if not len(y) or y.min() == y.max():
-        return Model(np.empty(0, np.uint64), np.empty(0), 0.0 if not len(y) else (-3.0 if y.max() == 0 else 3.0))
+        return Model(np.empty(0, np.uint64), np.empty(0), -3.0 if len(y) and y.max() == 0 else 0.0)
     row = np.repeat(np.arange(len(y)), [len(c) for c in cols])
     col = np.concatenate(cols)
     # how far a feature's share of toxic rows is from that of all rows, in standard deviations
@@ -248,5 +259,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, unchanged."""
-    return score(docs, learn(docs, labels)).where(F.col("score") < threshold).select("row.*")
+    """The rows of docs that score below the threshold, unchanged; all of them if the labels don't teach what is toxic."""
+    model = learn(docs, labels)
+    return score(docs, model).where(~model.toxic(F.col("score"), threshold)).select("row.*")
