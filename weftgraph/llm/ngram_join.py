@@ -29,7 +29,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
 
 
 def keep_one(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that link, directly or by a chain, to a smaller id; of rows with one id and the same group, all stay."""
-    found = near_duplicates(docs, percent, size, id_col, text_col)
-    gone = found.where(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    """One row of docs of each group of rows that link, directly or by a chain: the one with the smallest id.
+
+    Rows are told apart by (id, xxhash64 of the text), so another text of a removed row's id stays if it isn't linked
+    itself. Of texts with one id the one with the smallest hash stays, of equal rows any one. A null id is no larger
+    than another: of a group's rows with a null id one stays, beside the one with the smallest id.
+    """
+    rule = Rule(percent, size)
+    units = staged(unit_keys(docs, rule, id_col, text_col).where("key is not null").select("key", F.col("doc_id").isNull().alias("none"), "doc_id", "row"), "units")
+    labels = components(links(docs, rule, id_col, text_col))
+    # per distinct text, then per component: partial aggregation takes copies together before any shuffle
+    texts = units.groupBy("key", "none").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.count("*").alias("n"))
+    grouped = texts.join(labels, "key", "left").select("key", "none", F.coalesce("label", "key").alias("label"), "at", "n")
+    heads = grouped.groupBy("label", "none").agg(F.min("at").alias("head"), F.sum("n").alias("rows")).where("rows > 1")
+    member = grouped.join(heads, ["label", "none"]).select("key", "none", "head")
+    stays = (F.struct("doc_id", "row").eqNullSafe(F.col("head"))).alias("stays")
+    judged = units.join(member, ["key", "none"]).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), stays)
+    judged = staged(judged.groupBy("__id", "__row").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "judged")
+    own, text = F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`"))
+    same = own.eqNullSafe(F.col("__id")) & (text == F.col("__row"))
+    out = docs.join(judged.select("__id", "__row"), same, "left_anti")
+    repeated = judged.where("stays").select("__id", "__row")
+    if repeated.isEmpty():
+        return out
+    once = docs.join(repeated, same, "left_semi").groupBy(own, text).agg(F.first(F.struct("*")).alias("__kept"))
+    return out.unionByName(once.select("__kept.*"))
