@@ -164,3 +164,22 @@ def test_probes(spark):
     p = E.random_probes(spark, 1000, 28, 3)
     assert p.count() == 1000 and p.where((F.col("edge") < 0) | (F.col("edge") >= 1 << 56)).count() == 0
     assert p.where(F.col("edge") < K.packed_reverse_complement(F.col("edge"), 28)).count() == 0
+
+
+def test_probe_queries_draw_the_whole_workload(monkeypatch):
+    from weftgraph.plans import catalog
+
+    class Drawn(Exception):
+        pass
+
+    def probes(spark, n, k, seed=1):
+        raise Drawn(n)
+
+    monkeypatch.setattr(catalog, "_lossy", lambda spark, d: (None, None, None))
+    monkeypatch.setattr(catalog, "_edges", lambda *a, **k: None)
+    monkeypatch.setattr(catalog, "_keyed", lambda df: None)
+    monkeypatch.setattr(catalog.E, "random_probes", probes)
+    for query in (catalog.local_correction, catalog.random_lookups):
+        with pytest.raises(Drawn) as drawn:
+            query(None, "")
+        assert drawn.value.args == (1_000_000,)

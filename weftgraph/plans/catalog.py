@@ -352,7 +352,7 @@ def correction_errors(spark, d):
 @_query()
 def local_correction(spark, d):
     _, ends, inc = _lossy(spark, d)
-    probes = E.random_probes(spark, 10_000, LOSSY)
+    probes = E.random_probes(spark, 1_000_000, LOSSY)
     centres = probes.select(K.left_node(F.col("edge"), LOSSY).alias("node")).distinct()
     near = keep(G.ball(centres, inc, C.RADIUS).select("node").distinct(), "near")
     return C.correct(inc, ends, LOSSY, near, hash_rules=False).where("amount > 0").select(_edge(LOSSY), "cnt", "amount")
