@@ -10,23 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .setjoin import COLD, Rule, links, unit_keys
+from .setjoin import COLD, Rule, link
 from .shared import staged
 
 
 def later_matches(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD) -> DataFrame:
     """(doc_id, row, unit): the lines that go; row is the xxhash64 of the text, unit the line's number from 0."""
     rule = Rule(percent, size, lines=True, cold=cold)
-    units = staged(unit_keys(docs, rule, id_col, text_col, sizes=False).where("doc_id is not null").select("doc_id", "row", "unit", "key"), "lines")
-    at = F.struct("doc_id", "unit").alias("at")
-    first = staged(units.groupBy("key").agg(F.min(at).alias("at"), F.count("*").alias("n")), "first")  # copies come together before the shuffle
-    edges = links(docs.where(F.col(f"`{id_col}`").isNotNull()), rule, id_col, text_col, first.select("key", "at"))
+    found = link(docs.where(F.col(f"`{id_col}`").isNotNull()), rule, id_col, text_col)
+    at = F.struct("doc_id", "unit")
+    # copies: only lines whose key may come again are listed; they come together before the shuffle
+    copies = staged(found.units.groupBy("key").agg(F.min(at).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "copies")
+    again = found.units.join(copies, "key").where(F.col("first") < at)
+    # near copies: a key is late if it links with one first seen earlier
+    first = staged(found.members.groupBy("key").agg(F.min(at).alias("at")), "first")
     own, other = first.select(F.col("key").alias("a"), F.col("at").alias("at_a")), first.select(F.col("key").alias("b"), F.col("at").alias("at_b"))
-    ends = edges.join(own, "a").join(other, "b")
-    late = ends.select(F.when(F.col("at_b") < F.col("at_a"), F.col("a")).otherwise(F.col("b")).alias("key")).distinct().withColumn("late", F.lit(True))
-    judged = first.join(late, "key", "left").where("late or n > 1").select("key", F.col("at").alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
-    # a frequent line has many units but one row in judged; Spark splits such partitions of the larger side
-    return units.join(judged.hint("shuffle_hash"), "key").where(F.col("late") | (F.col("first") < F.struct("doc_id", "unit"))).select("doc_id", "row", "unit")
+    ends = found.links.join(own, "a").join(other, "b")
+    late = staged(ends.select(F.when(F.col("at_b") < F.col("at_a"), F.col("a")).otherwise(F.col("b")).alias("key")).distinct(), "late")
+    gone = again.select("doc_id", "row", "unit").unionByName(found.members.join(late, "key").select("doc_id", "row", "unit"))
+    return gone
 
 
 def drop_later_lines(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "doc_id", text_col: str = "text", cold: int = COLD) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .setjoin import COLD, Rule, components, links, unit_keys
+from .setjoin import COLD, Rule, components, link
 from .shared import staged
 
 
@@ -17,9 +17,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, size: int = 5, id_col: s
     text but give no id to a component. Texts are equal or linked by 64-bit hashes of words and shingles.
     """
     rule = Rule(percent, size, cold=cold)
-    units = staged(unit_keys(docs, rule, id_col, text_col), "units")
-    edges = links(docs, rule, id_col, text_col)
-    labels = components(edges)
+    found = link(docs, rule, id_col, text_col)
+    units, labels = found.units, components(found.links)
     # per distinct text, then per component: partial aggregation takes copies together before any shuffle
     texts = units.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
     grouped = texts.join(labels, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "least")
@@ -36,8 +35,9 @@ def keep_one(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "d
     than another: of a group's rows with a null id one stays, beside the one with the smallest id.
     """
     rule = Rule(percent, size)
-    units = staged(unit_keys(docs, rule, id_col, text_col).where("key is not null").select("key", F.col("doc_id").isNull().alias("none"), "doc_id", "row"), "units")
-    labels = components(links(docs, rule, id_col, text_col))
+    found = link(docs, rule, id_col, text_col)
+    units = found.units.where("key is not null").select("key", F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    labels = components(found.links)
     # per distinct text, then per component: partial aggregation takes copies together before any shuffle
     texts = units.groupBy("key", "none").agg(F.min(F.struct("doc_id", "row")).alias("at"), F.count("*").alias("n"))
     grouped = texts.join(labels, "key", "left").select("key", "none", F.coalesce("label", "key").alias("label"), "at", "n")

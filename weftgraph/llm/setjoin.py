@@ -1,22 +1,22 @@
 """Exact Jaccard links between the shingle sets of many units (documents, or lines), without all-pairs work.
 
-1. Rarity. One pass counts all tokens of all units in a fixed number of hashed counters. The order
+1. Rarity. One pass counts the tokens of all units in hashed counters, kept as logarithms in a byte each. The order
    (counter, hash) is a total order over tokens, rare ones first; any total order gives right results.
 2. Prefixes. Units whose Jaccard similarity is T or more share a token among the first n - ceil(T n) + 1 of
    each, so only these are posted. Copies share one key and count once.
-3. Candidates. Postings of a token with a small counter meet in one block, as packed arrays; the counter is an
-   upper bound of their number. Overlaps of prefixes add up over the blocks, and pairs below the bound that
-   their sizes give are dropped. The other tokens stay rows that Spark can pre-aggregate and split: each unit
-   is first held against the token's leader only.
+3. Candidates. Postings meet in one block for each range of tokens, as packed arrays: a sparse product of units by prefix
+   tokens. Overlaps add up over the blocks; pairs whose sizes or positions exclude a link are dropped. Tokens whose
+   counter is far above the mean stay rows that Spark can pre-aggregate and split, and so do tokens that turn out to have
+   more than `cold` units where they meet: each of their units is first held against the token's leader only.
 4. Blocked product. Candidates' rows of the incidence matrix are dealt to cells (row block, column block), units
-   with common partners together; a cell counts the overlaps of its pairs.
+   with common partners together; a cell multiplies its blocks where candidates are and adds up their overlaps.
 5. Rest of hot tokens. Pairs that a leader already connected need no work; a pair whose distances from a common
    leader differ by more than 1 - T can't link, as the Jaccard distance is a metric. All others are counted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,16 +25,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import block_count, give_back, input_bytes, small_batches, staged
+from .shared import block_count, forget, give_back, input_bytes, merged, small_batches, staged
 from .words import NOT_SPACE, Words, by_unit, mix, pieces
 
 U = np.uint64
 FLUSH = 1 << 19
-#: Postings of a token meet in one block only if its counter allows no more than these.
+#: A token with no more units than these has all its pairs looked at where its postings meet.
 COLD = 64
-BLOOM_BITS = 26
+#: Counters: one for so many bytes of input files, a power of two between these. A byte each in every Python worker.
+BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 32, 16, 26
 #: Units of one block of the product.
 CELL = 512
+RANGES = 64
 
 
 @dataclass(frozen=True)
@@ -74,31 +76,30 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[np.ndarray, Words]]:
-    """(ids, words) of pieces of the batches' columns doc_id, text."""
+def _units(batches: Iterator[pa.RecordBatch], rule: Rule) -> Iterator[tuple[np.ndarray, np.ndarray, Words]]:
+    """(ids, hashes of the texts, words) of pieces of the batches' columns doc_id, text, row."""
     for batch in batches:
-        ids = batch.column(0).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        ids, rows = (batch.column(c).cast(pa.int64()).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False) for c in (0, 2))
         for lo, hi, data, offsets in pieces(batch.column(1)):
-            yield ids[lo:hi], Words(data, offsets, NOT_SPACE, rule.lines)
+            yield ids[lo:hi], rows[lo:hi], Words(data, offsets, NOT_SPACE, rule.lines)
         give_back()
 
 
-def _sets(w: Words, rule: Rule, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(unit, token) without repeats, sorted by unit and token; of the units that `only` marks."""
-    unit, h = w.shingles(rule.size)
-    if only is not None:
-        unit, h = unit[only[unit]], h[only[unit]]
-    order = by_unit(unit, h, len(w.bounds))
-    unit, h = unit[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
-    return unit[new], h[new]
+def _unique(unit: np.ndarray, value: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, unit, value): sorted by unit and value, without repeats; order tells where they were."""
+    order = by_unit(unit, value, units)
+    unit, value = unit[order], value[order]
+    new = np.ones(len(value), bool)
+    new[1:] = (value[1:] != value[:-1]) | (unit[1:] != unit[:-1])
+    return order[new], unit[new], value[new]
 
 
-def _unseen(keys: np.ndarray, asked: np.ndarray, seen: set) -> np.ndarray:
-    """Which of the keys asked for weren't seen before; remembers them, but no more than some 100,000."""
-    out = asked.copy()
-    at = np.flatnonzero(asked)
+def _first_of(keys: np.ndarray, asked: np.ndarray, seen: set) -> np.ndarray:
+    """Which units are the first of their key, of those asked for; keys are remembered over calls, but no more than some 100,000."""
+    out = np.zeros(len(keys), bool)
+    out[np.unique(keys, return_index=True)[1]] = True
+    out &= asked
+    at = np.flatnonzero(out)
     own = keys[at].tolist()
     out[at] = [x not in seen for x in own]
     if len(seen) > 1 << 17:
@@ -115,127 +116,180 @@ def _table(schema: list[tuple[str, pa.DataType]], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(cols, schema, strict=True)], names=[n for n, _ in schema])
 
 
+def _some(schema: list[tuple[str, pa.DataType]], n: int, /, **cols) -> pa.RecordBatch:
+    """n rows; columns that aren't given are null."""
+    return _table(schema, *[cols[c] if c in cols else pa.nulls(n, t) for c, t in schema])
+
+
 # 1. rarity
 
 
-def token_counters(docs: DataFrame, rule: Rule, bits: int) -> np.ndarray:
-    """Counts of all tokens of all rows in 2**bits hashed counters: a table of fixed size, whatever the input."""
-    ranges = 64
-    schema = [("part", pa.int32()), ("counts", pa.binary())]
+def _level(count):
+    """A counter as eight steps for each doubling."""
+    return np.minimum(np.ceil(8 * np.log2(np.asarray(count, np.float64) + 1)), 255).astype(np.uint8)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, held, n = None, [], 0
 
-        def add():
-            nonlocal total, held, n
-            if held:
-                c = np.bincount(np.concatenate(held), minlength=1 << bits).astype(np.uint32)
-                total = c if total is None else total + c
-            held, n = [], 0
+@dataclass
+class Census:
+    """What every worker gets: the level of each token counter, and for lines a bit for each slot that more than one line's
+    key fell on. hot: the highest level at which a token's postings may all meet in one block."""
+
+    bits: int
+    levels: np.ndarray
+    repeated: np.ndarray | None
+    hot: int
+
+    def of(self, token: np.ndarray) -> np.ndarray:
+        return self.levels[(token >> U(64 - self.bits)).astype(np.int64)]
+
+    def may_repeat(self, key: np.ndarray) -> np.ndarray:
+        at = (key >> U(63 - self.bits)).astype(np.int64)
+        return (self.repeated[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
 
-        for _, w in _units(batches, rule):
-            _, h = w.shingles(rule.size)
-            held.append((h >> U(64 - bits)).astype(np.int64))
-            n += len(h)
-            if n > FLUSH:
-                add()
-        add()
-        if total is not None:
-            yield _table(schema, range(ranges), [pack(x) for x in np.split(total, ranges)])
-
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // ranges, np.uint64)
-        for blob in table.column("counts"):
-            total += unpack(blob.as_py())[0]
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([pack(np.minimum(total, U(0xFFFFFFFF)).astype(np.uint32))], pa.binary())})
-
-    parts = docs.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(1 << bits, np.uint32)
-    for row in parts:
-        step = (1 << bits) // ranges
-        out[row["part"] * step : (row["part"] + 1) * step] = unpack(bytes(row["counts"]))[0]
-    return out
+
+class _Sparse:
+    """Counts of slots below 2**bits, sent as (part, packed slots and counts); part numbers start from `base`."""
+
+    def __init__(self, bits: int, base: int):
+        self.width, self.base, self.held, self.n = bits - RANGES.bit_length() + 1, base, [], 0
+
+    def add(self, slots: np.ndarray) -> None:
+        self.held.append(slots.astype(np.uint32))
+        self.n += len(slots)
+
+    def sent(self) -> Iterator[tuple[int, bytes]]:
+        slots = np.sort(np.concatenate(self.held)) if self.held else np.empty(0, np.uint32)
+        self.held, self.n = [], 0
+        if len(slots):
+            first = np.flatnonzero(np.append(True, slots[1:] != slots[:-1]))
+            count, slots = np.diff(np.append(first, len(slots))), slots[first]
+            cut = np.append(0, np.searchsorted(slots, np.arange(1, RANGES + 1, dtype=np.uint64) << U(self.width)))
+            for part, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                if a < b:
+                    yield self.base + part, _pack_counts(slots[a:b] & np.uint32((1 << self.width) - 1), count[a:b])
+
+
+def _pack_counts(slots: np.ndarray, counts: np.ndarray) -> bytes:
+    return pack(np.diff(slots.astype(np.uint32), prepend=np.uint32(0)), counts.astype(np.uint32))
+
+
+def census(docs: DataFrame, rule: Rule) -> Census:
+    """Counts of the tokens of all units; a line that comes again in one task counts once."""
+    size = input_bytes(docs)
+    bits = int(np.clip(np.ceil(np.log2(max(1, size) / BYTES_PER_COUNTER)), LEAST_BITS, MOST_BITS))
+    schema = [("part", pa.int32()), ("blob", pa.binary())]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, keys, seen = _Sparse(bits, 0), _Sparse(bits + 1, RANGES), set()
+        for _, _, w in _units(batches, rule):
+            unit, h = w.shingles(rule.size)
+            if rule.lines:
+                k, some = w.sequence_keys(), w.counts() > 0
+                keys.add(k[some] >> U(63 - bits))
+                h = h[_first_of(k, some, seen)[unit]]
+            tokens.add(h >> U(64 - bits))
+            if tokens.n + keys.n > 4 * FLUSH:
+                yield from ([_table(schema, *map(list, zip(*rows, strict=True)))] if (rows := [*tokens.sent(), *keys.sent()]) else [])
+        if rows := [*tokens.sent(), *keys.sent()]:
+            yield _table(schema, *map(list, zip(*rows, strict=True)))
+
+    def add(part: int, blobs: list[bytes], last: bool) -> bytes:
+        total = np.zeros((1 << (bits + (part >= RANGES))) // RANGES, np.uint32)
+        for blob in blobs:
+            step, n = unpack(blob)
+            at = np.cumsum(step, dtype=np.uint32)
+            total[at] = np.minimum(total[at].astype(np.uint64) + n, U(0xFFFFFFFF))
+        if not last:
+            at = np.flatnonzero(total)
+            return _pack_counts(at, total[at])
+        return pack(np.packbits(total > 1)) if part >= RANGES else pack(_level(total), np.array([total.sum(dtype=np.uint64)]))
+
+    levels, repeated, total = np.zeros(1 << bits, np.uint8), np.zeros(1 << (bits - 2), np.uint8) if rule.lines else None, 0
+    for part, blob in merged(docs.mapInArrow(count, "part int, blob binary"), add, size >> 24):
+        out, at = (levels, part) if part < RANGES else (repeated, part - RANGES)
+        own = unpack(blob)
+        step = len(out) // RANGES
+        out[at * step : (at + 1) * step] = own[0]
+        total += int(own[1][0]) if part < RANGES else 0
+    # a counter of a rare token holds some others; only tokens well above that are hot
+    return Census(bits, levels, repeated, int(_level(rule.cold + 2 * total / (1 << bits))) if rule.cold else 0)
 
 
 # 2. prefixes
 
 
-def _prefixes(w: Words, rule: Rule, counters: np.ndarray, bits: int):
-    """(unit, set size, position, token, counter, number of hot tokens) of the units' prefixes; sizes and numbers by unit."""
+def _prefixes(w: Words, rule: Rule, known: Census, only: np.ndarray):
+    """(unit, set size, position, token, is hot, number of hot tokens) of the prefixes of the units that `only` marks; sizes and numbers by unit."""
     unit, h = w.shingles(rule.size)
-    seen = counters[(h >> U(64 - bits)).astype(np.int64)]
-    # a scale of 62 steps for each doubling, then the hash: equal tokens have equal ranks
-    scale = (np.log2(seen.astype(np.float32) + np.float32(1)) * np.float32(62)).astype(np.uint64)
-    rank = (scale << U(53)) | (mix(h) >> U(11))
-    order = by_unit(unit, rank, len(w.bounds))
-    unit, h, seen = unit[order], h[order], seen[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (unit[1:] != unit[:-1])
-    unit, h, seen = unit[new], h[new], seen[new]
+    if not only.all():
+        unit, h = unit[only[unit]], h[only[unit]]
+    level = known.of(h)
+    # rare tokens first, then by hash: equal tokens have equal ranks
+    order, unit, _ = _unique(unit, (level.astype(np.uint64) << U(56)) | (mix(h) >> U(8)), len(w.bounds))
     n_units = len(w.bounds) - 1
     size = np.bincount(unit, minlength=n_units)
-    first = np.cumsum(size) - size
-    at = np.arange(len(h)) - first[unit]
+    at = np.arange(len(unit)) - (np.cumsum(size) - size)[unit]
     keep = at < rule.prefix(size)[unit]
-    unit, at, h, seen = unit[keep], at[keep], h[keep], seen[keep]
-    return unit, size, at, h, seen, np.bincount(unit[seen > rule.cold], minlength=n_units)
+    unit, at, order = unit[keep], at[keep], order[keep]
+    hot = level[order] > known.hot
+    return unit, size, at, h[order], hot, np.bincount(unit[hot], minlength=n_units)
 
 
-POSTING = [("block", pa.int32()), ("postings", pa.binary()), ("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("doc", pa.int64())]
-POSTING_DDL = "block int, postings binary, token bigint, key bigint, n int, pos int, doc bigint"
+#: kind 0: packed postings of a block; 1: a posting of a hot token; 2: a unit.
+POSTED = [("kind", pa.int8()), ("block", pa.int32()), ("postings", pa.binary()), ("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int64())]
+POSTED_DDL = "kind byte, block int, postings binary, token bigint, key bigint, n int, pos int, doc_id bigint, row bigint, unit bigint"
 
 
-def postings(docs: DataFrame, rule: Rule, counters: np.ndarray, bits: int, blocks: int) -> DataFrame:
-    """Packed postings of cold tokens by block, and a row for each posting of a hot token (block null)."""
-    spark = docs.sparkSession
-    counted = spark.sparkContext.broadcast(counters)  # 4 * 2**bits bytes, bits <= 24
+def posted(docs: DataFrame, rule: Rule, known: Census, blocks: int) -> DataFrame:
+    """Packed postings by block, a row for each posting of a hot token, and units: all documents, or the lines whose key may
+    come again."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # 2**bits bytes, twice for lines; bits <= MOST_BITS
     top = blocks.bit_length() - 1
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counted.value
+        known: Census = shared.value
         held: list[tuple[np.ndarray, ...]] = []
         n, seen = 0, set()
 
         def flush() -> pa.RecordBatch:
             nonlocal held, n
-            h, key, size, hot_n = (np.concatenate([x[i] for x in held]) for i in range(4))
+            h, key, size, hots, pos = (np.concatenate([x[i] for x in held]) for i in range(5))
             held, n = [], 0
             order = np.argsort(h)
-            h, key, size, hot_n = h[order], key[order], size[order], hot_n[order]
+            h, key, size, hots, pos = h[order], key[order], size[order], hots[order], pos[order]
             block = (h >> U(64 - top)).astype(np.int64) if top else np.zeros(len(h), np.int64)
             cut = np.append(np.flatnonzero(np.diff(block, prepend=-1)), len(h))
-            blobs, ids = [], []
+            blobs = []
             for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                keys, back = np.unique(key[lo:hi], return_inverse=True)
-                sizes, hots = np.zeros(len(keys), np.uint32), np.zeros(len(keys), np.uint32)
-                sizes[back], hots[back] = size[lo:hi], hot_n[lo:hi]
-                blobs.append(pack(h[lo:hi], back.astype(np.uint32), keys, sizes, hots))
-                ids.append(block[lo])
-            none = [None] * len(ids)
-            return _table(POSTING, ids, blobs, none, none, none, none, none)
-
-        for ids, w in _units(batches, rule):
-            unit, size, pos, h, count, hot_n = _prefixes(w, rule, table, bits)
-            keys = w.sequence_keys()
-            # copies within this task are posted once; what is remembered is bounded
-            fresh = np.zeros(len(keys), bool)
-            fresh[np.unique(keys, return_index=True)[1]] = True
-            fresh &= _unseen(keys, fresh, seen)
-            keep = fresh[unit]
-            unit, pos, h, count = unit[keep], pos[keep], h[keep], count[keep]
-            hot = count > rule.cold
+                keys, one, back = np.unique(key[lo:hi], return_index=True, return_inverse=True)
+                blobs.append(pack(h[lo:hi], back.astype(np.uint32), pos[lo:hi].astype(np.uint32), keys, size[lo:hi][one].astype(np.uint32), hots[lo:hi][one].astype(np.uint32)))
+            return _some(POSTED, len(blobs), kind=[0] * len(blobs), block=block[cut[:-1]], postings=blobs)
+
+        for ids, rows, w in _units(batches, rule):
+            keys, some = w.sequence_keys(), w.counts() > 0
+            fresh = _first_of(keys, some, seen)
+            unit, size, pos, h, hot, hots = _prefixes(w, rule, known, fresh if rule.lines else some)
+            listed = np.flatnonzero(some & known.may_repeat(keys)) if rule.lines else np.arange(len(keys))
+            if len(listed):
+                none = pa.array(ids[w.row[listed]], mask=ids[w.row[listed]] == -(1 << 63))
+                own = _long(keys[listed]) if rule.lines else pa.array(keys.view(np.int64), mask=~some)
+                line = w.line[listed] if rule.lines else np.zeros(len(listed), np.int64)
+                yield _some(POSTED, len(listed), kind=[2] * len(listed), key=own, n=size[listed].astype(np.int32), doc_id=none, row=rows[w.row[listed]], unit=line)
+            if not rule.lines:  # copies within this task are posted once
+                keep = fresh[unit]
+                unit, pos, h, hot = unit[keep], pos[keep], h[keep], hot[keep]
             if hot.any():
                 u = unit[hot]
-                yield _table(POSTING, pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.binary()), _long(h[hot]), _long(keys[u]), size[u].astype(np.int32), pos[hot].astype(np.int32), ids[w.row[u]])
+                yield _some(POSTED, len(u), kind=[1] * len(u), token=_long(h[hot]), key=_long(keys[u]), n=size[u].astype(np.int32), pos=pos[hot].astype(np.int32), doc_id=ids[w.row[u]])
             u = unit[~hot]
-            held.append((h[~hot], keys[u], size[u], hot_n[u]))
+            held.append((h[~hot], keys[u], size[u], hots[u], pos[~hot]))
             n += len(u)
             if n > FLUSH:
                 yield flush()
         if n:
             yield flush()
 
-    return docs.mapInArrow(post, POSTING_DDL)
+    return docs.mapInArrow(post, POSTED_DDL)
 
 
 # 3. candidates
@@ -253,127 +307,183 @@ def _expand(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _add_up(parts: list[np.ndarray]) -> np.ndarray:
-    """Columns a, b, count, need, a row for each pair: counts add up."""
+    """Columns a, b, count, need, fits, a row for each pair: counts add up; one place that fits is enough."""
     rows = np.concatenate(parts, axis=1)
     order = np.lexsort((rows[1], rows[0]))
     rows = rows[:, order]
     first = np.flatnonzero(np.append(True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])))
     out = rows[:, first]
     out[2] = np.add.reduceat(rows[2], first)
+    out[4] = np.maximum.reduceat(rows[4], first)
     return out
 
 
-def cold_pairs(posted: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of keys whose prefixes overlap enough. A token has at most rule.cold postings here.
+MET = [("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("need", pa.int64()), ("fits", pa.int64()), ("token", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())]
+MET_DDL = "a bigint, b bigint, c bigint, need bigint, fits bigint, token bigint, key bigint, n int, pos int"
+
+
+def met(packed: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (a, b) of keys with the overlap c of their prefixes in this block, and postings of tokens with more than
+    rule.cold units.
 
     Of two linked sets, the one whose prefix ends first in the order of tokens has all common tokens in both
     prefixes or behind its own. So the overlap is at most that of the prefixes plus the longer rest, and hot tokens,
-    which aren't counted here, add the smaller of their numbers at most.
+    which aren't counted here, add the smaller of their numbers at most. The first common token of linked sets has
+    enough tokens from there on in both (fits).
     """
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         parts = [unpack(x.as_py()) for x in table.column("postings")]
         h = np.concatenate([p[0] for p in parts])
-        k = np.concatenate([p[2][p[1]] for p in parts])
-        n = np.concatenate([p[3][p[1]] for p in parts]).astype(np.int64)
-        hot = np.concatenate([p[4][p[1]] for p in parts]).astype(np.int64)
+        k = np.concatenate([p[3][p[1]] for p in parts])
+        pos = np.concatenate([p[2] for p in parts]).astype(np.int64)
+        n = np.concatenate([p[4][p[1]] for p in parts]).astype(np.int64)
+        hots = np.concatenate([p[5][p[1]] for p in parts]).astype(np.int64)
         del parts
         slot = (h >> U(36)).astype(np.int64) & 0xFFFFF
         many = np.bincount(slot, minlength=1 << 20)[slot] > 1
-        h, k, n, hot = h[many], k[many], n[many], hot[many]
+        h, k, n, hots, pos = h[many], k[many], n[many], hots[many], pos[many]
         found: list[np.ndarray] = []
         waiting = 0
+        over = np.zeros(0, np.int64)
         if len(h):
             order = np.lexsort((k, h))
-            h, k, n, hot = h[order], k[order], n[order], hot[order]
+            h, k, n, hots, pos = h[order], k[order], n[order], hots[order], pos[order]
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-            h, k, n, hot = h[new], k[new], n[new], hot[new]
+            h, k, n, hots, pos = h[new], k[new], n[new], hots[new], pos[new]
             cut = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             lengths = np.diff(np.append(cut, len(h)))
+            over = np.flatnonzero(np.repeat(lengths > rule.cold, lengths))
+            cut, lengths = cut[lengths <= rule.cold], lengths[lengths <= rule.cold]
             # groups are dealt so that no step expands more than some hundred thousand pairs
             work = np.cumsum(lengths.astype(np.int64) ** 2)
-            step = np.searchsorted(work, np.arange(0, int(work[-1]) + 1, 400_000))
-            for lo, hi in zip(step, np.append(step[1:], len(lengths)), strict=True):
+            step = np.append(np.searchsorted(work, np.arange(0, int(work[-1]) + 1 if len(work) else 0, 400_000)), len(lengths))
+            for lo, hi in zip(step[:-1], step[1:], strict=True):
                 if hi <= lo:
                     continue
+                at = np.repeat(cut[lo:hi] - (np.cumsum(lengths[lo:hi]) - lengths[lo:hi]), lengths[lo:hi]) + np.arange(int(lengths[lo:hi].sum()))
                 i, j = _expand(lengths[lo:hi])
-                i, j = i + int(cut[lo]), j + int(cut[lo])
+                i, j = at[i], at[j]
                 small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                fits = small * 100 >= large * rule.percent
-                i, j, large = i[fits], j[fits], large[fits]
-                need = rule.needed(n[i], n[j]) - (large - rule.prefix(large)) - np.minimum(hot[i], hot[j])
+                sized = small * 100 >= large * rule.percent
+                i, j, large = i[sized], j[sized], large[sized]
+                whole = rule.needed(n[i], n[j])
+                need = whole - (large - rule.prefix(large)) - np.minimum(hots[i], hots[j])
+                fits = np.minimum(n[i] - pos[i], n[j] - pos[j]) >= whole
                 x, y = k[i].view(np.int64), k[j].view(np.int64)
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(i), np.int64), need]))
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.ones(len(i), np.int64), need, fits.astype(np.int64)]))
                 waiting += len(i)
                 if waiting > 1_000_000:
                     found, waiting = [_add_up(found)], 0
-        pairs = _add_up(found) if sum(x.shape[1] for x in found) else np.empty((4, 0), np.int64)
-        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("a", "b", "c", "need"), pairs, strict=True)})
+        pairs = _add_up(found) if sum(x.shape[1] for x in found) else np.empty((5, 0), np.int64)
+        rows = [_some(MET, pairs.shape[1], **dict(zip(("a", "b", "c", "need", "fits"), map(pa.array, pairs), strict=True)))]
+        if len(over):
+            rows.append(_some(MET, len(over), token=_long(h[over]), key=_long(k[over]), n=n[over].astype(np.int32), pos=pos[over].astype(np.int32)))
+        return pa.Table.from_batches(rows)
+
+    return packed.groupBy("block").applyInArrow(meet, MET_DDL)
 
-    packed = posted.where("block is not null").select("block", "postings")
-    met = packed.groupBy("block").applyInArrow(meet, "a bigint, b bigint, c bigint, need bigint")
-    return met.groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
+
+def cold_pairs(found: DataFrame, late_hot: DataFrame | None) -> DataFrame:
+    """(a, b) of the pairs whose overlaps, added up over all blocks, are enough. late_hot: postings that blocks gave up."""
+    pairs = found.where("a is not null").groupBy("a", "b").agg(F.sum("c").alias("c"), F.max("need").alias("need"), F.max("fits").alias("fits")).where("fits > 0")
+    if late_hot is not None:
+        debt = late_hot.groupBy("key").agg(F.count("*").alias("debt"))
+        pairs = pairs.join(debt.select(F.col("key").alias("a"), F.col("debt").alias("da")), "a", "left").join(debt.select(F.col("key").alias("b"), F.col("debt").alias("db")), "b", "left")
+        pairs = pairs.withColumn("c", F.col("c") + F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0))))
+    return pairs.where("c >= need").select("a", "b")
 
 
 # 4. blocked product
 
 
-def _bloom_bits(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bloom_bits(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys.astype(np.uint64, copy=False) ^ U(0x5851F42D4C957F2D))
-    return (h >> U(64 - BLOOM_BITS)).astype(np.int64), ((h >> U(8)) & U((1 << BLOOM_BITS) - 1)).astype(np.int64)
+    return (h >> U(64 - bits)).astype(np.int64), ((h >> U(8)) & U((1 << bits) - 1)).astype(np.int64)
 
 
-def key_sketch(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (2**BLOOM_BITS bits) over the column key."""
-    ranges = 64
-    step = (1 << BLOOM_BITS) // 8 // ranges
-    schema = [("part", pa.int32()), ("bits", pa.binary())]
+def key_sketch(keys: DataFrame, n: int) -> np.ndarray:
+    """A Bloom filter over the n values of the column key: 16 bits a key, 2**29 at most. Beyond, it only lets more through."""
+    bits = int(np.clip((16 * max(1, n)).bit_length(), 16, 29))
+    schema = [("part", pa.int32()), ("blob", pa.binary())]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, any_rows = np.zeros(1 << BLOOM_BITS, bool), False
+        sparse = _Sparse(bits, 0)
         for b in batches:
-            for at in _bloom_bits(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)):
-                bits[at] = True
-            any_rows |= b.num_rows > 0
-        if any_rows:
-            yield _table(schema, range(ranges), [pack(x) for x in np.split(np.packbits(bits), ranges)])
-
-    def union(key: tuple, table: pa.Table) -> pa.Table:
-        out = np.zeros(step, np.uint8)
-        for x in table.column("bits"):
-            out |= unpack(x.as_py())[0]
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([pack(out)], pa.binary())})
-
-    out = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
-    for row in keys.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(union, "part int, bits binary").collect():
-        out[row["part"] * step : (row["part"] + 1) * step] = unpack(bytes(row["bits"]))[0]
+            for at in _bloom_bits(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits):
+                sparse.add(at)
+            if sparse.n > 4 * FLUSH:
+                yield _table(schema, *map(list, zip(*sparse.sent(), strict=True)))
+        if sparse.n:
+            yield _table(schema, *map(list, zip(*sparse.sent(), strict=True)))
+
+    def union(part: int, blobs: list[bytes], last: bool) -> bytes:
+        out = np.zeros((1 << bits) // RANGES, bool)
+        for x in blobs:
+            out[np.cumsum(unpack(x)[0], dtype=np.uint32)] = True
+        at = np.flatnonzero(out)
+        return pack(np.packbits(out)) if last else _pack_counts(at, np.ones(len(at)))
+
+    out, step = np.zeros((1 << bits) // 8, np.uint8), (1 << bits) // 8 // RANGES
+    for part, blob in merged(keys.mapInArrow(mark, "part int, blob binary"), union, n >> 18):
+        out[part * step : (part + 1) * step] = unpack(blob)[0]
     return out
 
 
-def unit_sets(docs: DataFrame, rule: Rule, keys: DataFrame) -> DataFrame:
-    """(key, n, tokens) of the units with these keys, once each. A sketch of fixed size thins the units before the exact join."""
-    sketch = docs.sparkSession.sparkContext.broadcast(key_sketch(keys))
-    schema = [("key", pa.int64()), ("tokens", pa.binary())]
+def units_of(docs: DataFrame, rule: Rule, keys: DataFrame, n: int) -> DataFrame:
+    """The units that may have one of the n keys: (key, tokens) once for each task, and for lines (key, doc_id, row, unit) of each."""
+    sketch = docs.sparkSession.sparkContext.broadcast(key_sketch(keys, n))  # 64 MB at most
+    schema = [("key", pa.int64()), ("tokens", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int64())]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = sketch.value, set()
-        for _, w in _units(batches, rule):
+        for ids, rows, w in _units(batches, rule):
             k = w.sequence_keys()
-            one, two = _bloom_bits(k)
+            one, two = _bloom_bits(k, len(bits).bit_length() + 2)
             hit = ((bits[one >> 3] >> (7 - (one & 7))) & (bits[two >> 3] >> (7 - (two & 7))) & 1).astype(bool) & (w.counts() > 0)
-            first = np.zeros(len(k), bool)
-            first[np.unique(k, return_index=True)[1]] = True
-            hit &= first
-            hit &= _unseen(k, hit, seen)
             if not hit.any():
                 continue
-            unit, h = _sets(w, rule, hit)
+            if rule.lines:
+                u = np.flatnonzero(hit)
+                yield _some(schema, len(u), key=_long(k[u]), doc_id=ids[w.row[u]], row=rows[w.row[u]], unit=w.line[u])
+            hit = _first_of(k, hit, seen)
+            if not hit.any():
+                continue
+            unit, h = w.shingles(rule.size)
+            _, unit, h = _unique(unit[hit[unit]], h[hit[unit]], len(w.bounds))
             lo, hi = np.searchsorted(unit, np.flatnonzero(hit)), np.searchsorted(unit, np.flatnonzero(hit), "right")
-            yield _table(schema, _long(k[hit]), [h[a:b].tobytes() for a, b in zip(lo, hi, strict=True)])
-
-    found = docs.mapInArrow(gather, "key bigint, tokens binary")
-    return found.join(keys, "key", "left_semi").groupBy("key").agg(F.first("tokens").alias("tokens"))
+            yield _some(schema, int(hit.sum()), key=_long(k[hit]), tokens=[h[a:b].tobytes() for a, b in zip(lo, hi, strict=True)])
+
+    return docs.mapInArrow(gather, "key bigint, tokens binary, doc_id bigint, row bigint, unit bigint")
+
+
+def _product(held: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlaps of the rows a and b of an incidence matrix; held: the columns of each row. A masked sparse product: columns
+    that only one row has are left out, and the entries at (a, b) add up over the columns of the shorter row."""
+    size = np.array([len(x) for x in held], np.int64)
+    row = np.repeat(np.arange(len(held)), size)
+    token = np.concatenate(held) if held else np.empty(0, np.uint64)
+    order = np.argsort(token, kind="stable")
+    new = np.append(True, token[order][1:] != token[order][:-1]) if len(order) else np.empty(0, bool)
+    column = np.empty(len(token), np.int64)
+    column[order] = np.cumsum(new) - 1
+    shared = np.bincount(column)[column] > 1 if len(column) else np.empty(0, bool)
+    entry = np.sort(row[shared] << 32 | column[shared])
+    first = np.searchsorted(entry, np.arange(len(held) + 1) << 32)
+    left = np.diff(first)
+    swap = left[a] > left[b]
+    short, long = np.where(swap, b, a), np.where(swap, a, b)
+    out, work = np.zeros(len(a), np.int64), np.cumsum(left[short])
+    cuts = np.unique(np.append(np.searchsorted(work, np.arange(0, int(work[-1]) if len(work) else 0, 1 << 20)), len(a)))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        many = left[short[lo:hi]]
+        pair = np.repeat(np.arange(lo, hi), many)
+        at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + first[short[pair]]
+        wanted = (entry[at] & 0xFFFFFFFF) | long[pair] << 32
+        where = np.minimum(np.searchsorted(entry, wanted), len(entry) - 1)
+        out[lo:hi] = np.bincount(pair[entry[where] == wanted] - lo, minlength=hi - lo)
+    return out
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, rule: Rule, blocks: int) -> DataFrame:
@@ -394,23 +504,17 @@ def overlaps(pairs: DataFrame, sets: DataFrame, rule: Rule, blocks: int) -> Data
         other, tokens = table.column("other"), table.column("tokens")
         is_pair = ~np.asarray(other.is_null())
         at = np.flatnonzero(~is_pair)
-        held = {int(k[x]): np.frombuffer(tokens[int(x)].as_py(), np.uint64) for x in at}
+        at = at[np.argsort(k[at], kind="stable")]
+        own = k[at]
+        held = [np.frombuffer(tokens[int(x)].as_py(), np.uint64) for x in at]
+        size = np.array([len(x) for x in held], np.int64)
         a, b = k[is_pair], other.filter(pa.array(is_pair)).to_numpy()
-        out = np.zeros((len(a), 3), np.int64)
-        order = np.argsort(a, kind="stable")
-        last, row = None, None
-        for x in order:
-            if last != a[x]:
-                last, row = a[x], held[int(a[x])]
-            col = held[int(b[x])]
-            small, large = (row, col) if len(row) < len(col) else (col, row)
-            out[x] = len(row), len(col), 0
-            if len(small) >= rule.percent * len(large) / 100 or not rule.percent:
-                where = np.searchsorted(large, small)
-                out[x, 2] = np.count_nonzero(large[np.minimum(where, len(large) - 1)] == small)
-            else:
-                out[x, 2] = -1
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(out[:, 0], pa.int64()), "nb": pa.array(out[:, 1], pa.int64()), "common": pa.array(out[:, 2], pa.int64())})
+        x, y = np.searchsorted(own, a), np.searchsorted(own, b)
+        na, nb = size[x], size[y]
+        common = np.full(len(a), -1, np.int64)
+        sized = np.minimum(na, nb) * 100 >= np.maximum(na, nb) * rule.percent
+        common[sized] = _product(held, x[sized], y[sized])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "na": pa.array(na), "nb": pa.array(nb), "common": pa.array(common)})
 
     return both.groupBy("i", "j").applyInArrow(product, "a bigint, b bigint, na bigint, nb bigint, common bigint")
 
@@ -424,110 +528,109 @@ def ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def links(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", first: DataFrame | None = None) -> DataFrame:
-    """(a, b): keys of different word sequences that link. Every connection is kept: of pairs inside one hot group that
-    a chain of returned links connects already, only that chain is certain to be returned. With first (key, at), every key
-    that links with any key of a smaller `at` has at least one such link returned.
+@dataclass
+class Links:
+    """links: (a, b), keys of different word sequences that link. Every connection is kept: of pairs inside one hot group that
+    a chain of returned links connects already, only that chain is certain to be there; for lines, every key that links with
+    a key first seen earlier has such a link.
+
+    units: (doc_id, row, unit, key, n) of all documents, key null without words; or of the lines whose key may come again.
+    members: for lines, (key, doc_id, row, unit) of all that have a key of a link, and of some others.
+    """
+
+    links: DataFrame
+    units: DataFrame
+    members: DataFrame
+
+
+def link(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> Links:
+    """Rows without words have no key and no link; nulls count as empty; repeated rows and exact copies share a key.
 
-    Rows without words have no key and no link; nulls count as empty; repeated rows and exact copies share a key.
+    row is the xxhash64 of the text: rows of one id with different texts differ in it. unit is the line's number from 0.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    bits = int(np.clip(np.ceil(np.log2(max(1, input_bytes(docs)) / 128)), 16, 24))
-    counters = token_counters(docs, rule, bits)
-    posted = staged(postings(docs, rule, counters, bits, block_count(docs)), "postings")
-    hot = posted.where("block is null").select("token", "key", "n", "pos", "doc")
-    fits = lambda na, pa_, nb, pb: F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb)) * (100 + rule.percent) >= (F.col(na) + F.col(nb)) * rule.percent
-
-    leaders = hot.groupBy("token").agg(F.min(F.struct("doc", "key", "n", "pos")).alias("l"), F.max("key").alias("hi"), F.min("key").alias("lo")).where("hi > lo").select("token", F.col("l.key").alias("leader"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
-    led = hot.join(leaders, "token").where("key <> leader").select("token", "key", "n", "pos", "leader", "ln", "lpos")
-    to_leader = led.where((F.least("n", "ln") * 100 >= F.greatest("n", "ln") * rule.percent)).select(*ordered(F.col("key"), F.col("leader")))
-    pairs = staged(cold_pairs(posted, rule).unionByName(to_leader).distinct(), "pairs")
-    return _counted(docs, rule, hot, leaders, pairs, fits, first)
-
-
-def _counted(docs: DataFrame, rule: Rule, hot: DataFrame, leaders: DataFrame, pairs: DataFrame, fits, first: DataFrame | None) -> DataFrame:
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    small_batches(docs.sparkSession)
+    text = F.col(f"`{text_col}`")
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    everything = staged(posted(docs, rule, census(docs, rule), block_count(docs)), "postings")
+    found = staged(met(everything.where("kind = 0").select("block", "postings"), rule), "met")
+    hot = everything.where("kind = 1").select("token", "key", "n", "pos", "doc_id")
+    given_up = found.where("token is not null").select("token", "key", "n", "pos")
+    late_hot = None if given_up.isEmpty() else given_up
+    if late_hot is not None:
+        hot = hot.unionByName(late_hot.withColumn("doc_id", F.lit(None).cast("bigint")))
+    # copies of one text, found by several tasks, are one posting
+    hot = staged(hot.groupBy("token", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("doc_id").alias("doc_id")), "hot")
+    leaders = hot.groupBy("token").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(0)), "key", "n", "pos")).alias("l"), F.count("*").alias("many")).where("many > 1").select("token", F.col("l.key").alias("leader"), F.col("l.n").alias("ln"), F.col("l.pos").alias("lpos"))
+    leaders = staged(leaders, "leaders")
+    led = hot.join(leaders, "token").where("key <> leader and least(n, ln) * 100 >= greatest(n, ln) * %d" % rule.percent)
+    pairs = staged(cold_pairs(found, late_hot).unionByName(led.select(*ordered(F.col("key"), F.col("leader")))).distinct(), "pairs")
+    forget(found)
+    links, members = _counted(docs, rule, hot, leaders, pairs)
+    units = everything.where("kind = 2").select("doc_id", "row", "unit", "key", F.col("n").cast("bigint").alias("n"))
+    return Links(links, units, members)
+
+
+def _counted(docs: DataFrame, rule: Rule, hot: DataFrame, leaders: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # every key with a hot posting may come up again in the last step, so sets are gathered once for all
-    shared_hot = hot.join(leaders, "token", "left_semi")
-    keys = staged(keys.unionByName(shared_hot.select("key")).distinct(), "keys")
-    cells = max(1, keys.count() // CELL)
-    sets = staged(unit_sets(docs, rule, keys), "sets")
+    hot = hot.join(leaders.select("token", "leader"), "token")
+    keys = staged(pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(hot.select("key")).distinct(), "keys")
+    n = keys.count()
+    cells = max(1, n // CELL)
+    gathered = staged(units_of(docs, rule, keys, n), "units")
+    members = gathered.where("tokens is null").select("key", "doc_id", "row", "unit")
+    sets = staged(gathered.where("tokens is not null").groupBy("key").agg(F.first("tokens").alias("tokens")), "sets")
     known = staged(overlaps(pairs, sets, rule, cells), "overlaps")
     good = known.where(linked(rule)).select("a", "b")
-    if shared_hot.isEmpty():
-        return good
+    if leaders.isEmpty():
+        return good, members
     # what makes a pair superfluous: two keys of one label are connected anyhow; a late key has a link with an earlier one
     both = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    if first is None:
+    if not rule.lines:
         near = both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.min("a")).alias("label"))
         near = both.join(near.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("label"))
-        marks = staged(near, "labels")
+        rows = hot.join(near, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        open_tokens = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
+        kept = ["key", "n", "pos", "d", "label"]
     else:
+        first = staged(members.groupBy("key").agg(F.min(F.struct("doc_id", "unit")).alias("at")), "first")
         own, other = first.select(F.col("key").alias("a"), F.col("at").alias("at_a")), first.select(F.col("key").alias("b"), F.col("at").alias("at_b"))
         late = both.join(own, "a").join(other, "b").where("at_b < at_a").select(F.col("a").alias("key"), F.lit(True).alias("late")).distinct()
-        marks = staged(first.join(keys, "key", "left_semi").join(late, "key", "left").select("key", "at", F.coalesce("late", F.lit(False)).alias("late")), "late")
+        rows = hot.join(first, "key").join(late, "key", "left").withColumn("late", F.coalesce("late", F.lit(False)))
+        open_tokens = rows.groupBy("token").agg(F.max(~F.col("late")).alias("open")).where("open").select("token")
+        kept = ["key", "n", "pos", "d", "at", "late"]
+    rows = staged(rows, "rows")
+    rows = rows.join(open_tokens if not rows.isEmpty() else leaders.select("token"), "token", "left_semi").withColumns({"a": F.least("key", "leader"), "b": F.greatest("key", "leader")})
     distance = known.where("common >= 0").select("a", "b", (F.lit(1.0) - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    rows = hot.groupBy("token", "key").agg(F.min("n").alias("n"), F.min("pos").alias("pos")).join(leaders.select("token", "leader"), "token")
-    if first is None:
-        rows = rows.join(marks, "key", "left").withColumn("label", F.coalesce("label", "key"))
-        mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
-    else:
-        rows = rows.join(marks, "key")
-        mixed = rows.groupBy("token").agg(F.max(~F.col("late")).alias("open")).where("open").select("token")
-    rows = rows.join(mixed, "token", "left_semi").withColumns({"a": F.least("key", "leader"), "b": F.greatest("key", "leader")})
     rows = rows.join(distance, ["a", "b"], "left").withColumn("d", F.when(F.col("key") == F.col("leader"), 0.0).otherwise(F.col("d")))
-    kept = ["key", "n", "pos", "d", *(["label"] if first is None else ["at", "late"])]
-    rows = staged(rows.select("token", *kept), "hot")
+    rows = staged(rows.select("token", *kept), "open")
     left, right = (rows.select("token", *[F.col(c).alias(f"{c}_{s}") for c in kept]) for s in "xy")
-    if first is None:
+    if not rule.lines:
         worth = (F.col("key_x") < F.col("key_y")) & (F.col("label_x") != F.col("label_y"))
     else:
         left = left.where("not late_x")
         worth = (F.col("key_x") != F.col("key_y")) & (F.col("at_y") < F.col("at_x"))
-    worth = worth & fits("n_x", "pos_x", "n_y", "pos_y") & F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 1 - rule.percent / 100 + 1e-9, F.lit(True))
+    worth = worth & (F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) * (100 + rule.percent) >= (F.col("n_x") + F.col("n_y")) * rule.percent)
+    worth = worth & F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 1 - rule.percent / 100 + 1e-9, F.lit(True))
     more = left.join(right, "token").where(worth).select(*ordered(F.col("key_x"), F.col("key_y"))).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
     more = staged(more, "more")
-    return good.unionByName(overlaps(more, sets, rule, cells).where(linked(rule)).select("a", "b"))
+    if more.isEmpty():
+        return good, members
+    return good.unionByName(overlaps(more, sets, rule, cells).where(linked(rule)).select("a", "b")), members
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(key, label): label is the least key of the component, by propagation with pointer jumping; keys without edges don't appear."""
     both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    table = labels
     while True:
         old = labels
         seen = both.join(old.select(F.col("key").alias("b"), "label"), "b").groupBy(F.col("a").alias("key")).agg(F.min("label").alias("seen"))
         step = old.join(seen, "key").select("key", F.least("label", "seen").alias("label"), F.col("label").alias("was"))
         jump = old.select(F.col("key").alias("label"), F.col("label").alias("over"))
-        labels = staged(step.join(jump, "label").select("key", F.least("label", "over").alias("label"), (F.least("label", "over") != F.col("was")).alias("moved")), "labels")
-        if labels.where("moved").isEmpty():
-            return labels.select("key", "label")
-        labels = labels.select("key", "label")
-
-
-UNIT = [("doc_id", pa.int64()), ("row", pa.int64()), ("unit", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("n_words", pa.int64())]
-
-
-def unit_keys(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text", sizes: bool = True) -> DataFrame:
-    """(doc_id, row, unit, key, n, n_words) of every unit with words, and for documents of every row: key null without words.
-
-    row is a hash of the text: rows of one id with different texts differ in it. unit is the line's number from 0.
-    """
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.xxhash64(F.col(f"`{text_col}`")).alias("row"))
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column(1)):
-                w = Words(data, offsets, NOT_SPACE, rule.lines)
-                count = w.counts()
-                n = np.bincount(_sets(w, rule)[0], minlength=len(count)) if sizes else count
-                key = pa.array(w.sequence_keys().view(np.int64), pa.int64(), mask=count == 0)
-                ids, rows = (batch.column(c).slice(lo, hi - lo).cast(pa.int64()).take(pa.array(w.row)) for c in (0, 2))
-                unit = w.line if rule.lines else np.zeros(len(count), np.int64)
-                out = _table(UNIT, ids, rows, unit, key, n, count)
-                yield out.filter(pa.array(count > 0)) if rule.lines else out
-
-    return docs.mapInArrow(keys, "doc_id bigint, row bigint, unit bigint, key bigint, n bigint, n_words bigint")
+        new = staged(step.join(jump, "label").select("key", F.least("label", "over").alias("label"), (F.least("label", "over") != F.col("was")).alias("moved")), "labels")
+        forget(table)
+        labels, table = new.select("key", "label"), new
+        if new.where("moved").isEmpty():
+            forget(both)
+            return labels

@@ -1,78 +1,76 @@
-"""Shared plumbing: durable intermediate tables and Arrow batches of bounded size."""
+"""Shared plumbing: durable intermediate tables, sizes, sums over many tasks and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.operators.durable import forget, keep
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it in spark.checkpoint.dir.
-
-    Only where the setting is absent (tests, local mode) a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or tempfile.mkdtemp(prefix="weft-")
-        if not held:
-            spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+__all__ = ["block_count", "columns", "forget", "give_back", "input_bytes", "merged", "small_batches", "staged"]
 
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    if jvm is None:
-        return
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        delete_path(spark, path)
-    except Exception:  # noqa: BLE001  the session may be gone at exit; the folder is scratch space
-        pass
+#: Parts that one task merges at most.
+FAN_IN = 256
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weft-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return keep(df, name)
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Size of the files under df as the planner knows it, without running a job."""
+    """Size of the tables under df as the planner knows it, without running a job. Only the leaves are added up: above a
+    join, the planner multiplies."""
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(stats.toString()) if hasattr(stats, "toString") else int(stats)
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
     except Exception:  # noqa: BLE001  no statistics: assume a medium input
         return 1 << 30
 
 
 def block_count(df: DataFrame, each: int = 8 << 20, least: int = 16, most: int = 1 << 17) -> int:
     """How many blocks an input needs at `each` bytes a block; a power of two."""
-    n = least
-    while n < most and n * each < input_bytes(df):
+    n, size = least, input_bytes(df)
+    while n < most and n * each < size:
         n *= 2
     return n
 
 
+def merged(parts: DataFrame, merge: Callable[[int, list[bytes], bool], bytes], tasks: int) -> list[tuple[int, bytes]]:
+    """(part, blob) for each value of parts.part: merge(part, blobs, last) joins the column blob, FAN_IN of them at a time.
+
+    parts: part int, blob binary. tasks: about how many blobs a part has; levels are added until one is left.
+    """
+    levels = 1
+    while FAN_IN**levels < tasks:
+        levels += 1
+
+    def adder(last: bool):
+        def add(key: tuple, table: pa.Table) -> pa.Table:
+            blob = merge(key[0].as_py(), [x.as_py() for x in table.column("blob")], last)
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([key[1].as_py()], pa.int32()), "blob": pa.array([blob], pa.binary())})
+
+        return add
+
+    rows = parts.select("part", F.spark_partition_id().alias("salt"), "blob")
+    for level in range(levels, 0, -1):
+        dealt = F.lit(0) if level == 1 else F.pmod(F.xxhash64("salt"), F.lit(FAN_IN ** (level - 1))).cast("int")
+        rows = rows.select("part", dealt.alias("salt"), "blob").groupBy("part", "salt").applyInArrow(adder(level == 1), "part int, salt int, blob binary")
+    return sorted((r["part"], bytes(r["blob"])) for r in rows.select("part", "blob").collect())
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Documents vary from empty to megabytes; Python workers get few rows at a time so their memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def give_back() -> None:
-    """Returns freed memory of this Python worker to the system, where its C library can."""
+    """Returns freed memory of this Python worker to the system, where its allocators can."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

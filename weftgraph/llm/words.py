@@ -6,7 +6,7 @@ character alike, so splitting bytes equals splitting characters. A-Z are lower-c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,16 +15,23 @@ import xxhash
 PIECE = 1 << 19
 HASHED_AT_ONCE = 1 << 16
 U = np.uint64
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _R = U(0x9E3779B97F4A7C15)
 
-#: `[^\x20\x09-\x0D]+`
-NOT_SPACE = np.ones(256, bool)
-NOT_SPACE[[0x20, 9, 10, 11, 12, 13]] = False
-#: `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` of lower-cased text
-LETTERS = np.zeros(256, bool)
-LETTERS[0x30:0x3A] = LETTERS[0x61:0x7B] = LETTERS[0x80:] = True
+B = np.uint8
+
+
+def NOT_SPACE(data: np.ndarray) -> np.ndarray:
+    """Bytes of the words `[^\\x20\\x09-\\x0D]+`."""
+    return (data != B(0x20)) & (data - B(9) > B(4))
+
+
+def LETTERS(data: np.ndarray) -> np.ndarray:
+    """Bytes of the words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` in lower-cased text."""
+    return (data >= B(0x80)) | (data - B(0x30) < B(10)) | (data - B(0x61) < B(26))
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    return data + ((data - B(65) < B(26)).view(B) << B(5))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -131,8 +138,8 @@ def pieces(col: pa.Array, size: int = PIECE) -> Iterator[tuple[int, int, np.ndar
 class Words:
     """Words of consecutive units (documents, or lines of documents): unit, start, end and hash of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lines: bool = False):
-        data = _LOWER[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, kind: Callable[[np.ndarray], np.ndarray], lines: bool = False):
+        data = _lowered(data)
         self.data = data
         if lines:
             breaks = np.flatnonzero(data == 10)
@@ -146,23 +153,23 @@ class Words:
             self.bounds = offsets
             self.row = np.arange(len(offsets) - 1)
         n = len(data)
-        word = kind[data]
         if n == 0:
             self.start = self.end = self.unit = np.empty(0, np.int64)
             self.hash = np.empty(0, np.uint64)
             self.first = np.zeros(len(self.bounds), np.int64)
             return
-        before = np.empty(n, bool)
-        before[0] = False
-        before[1:] = word[:-1]
-        inner = self.bounds[(self.bounds > 0) & (self.bounds < n)]
-        before[inner] = False
-        after = np.empty(n, bool)
-        after[-1] = False
-        after[:-1] = word[1:]
-        after[inner - 1] = False
-        self.start = np.flatnonzero(word & ~before)
-        self.end = np.flatnonzero(word & ~after) + 1
+        word = kind(data)
+        # units are cut at every bound; lines end in a byte of no word anyhow
+        inner = offsets if lines else self.bounds
+        inner = inner[(inner > 0) & (inner < n)]
+        edge = word.copy()
+        edge[1:] &= ~word[:-1]
+        edge[inner] = word[inner]
+        self.start = np.flatnonzero(edge)
+        edge[:] = word
+        edge[:-1] &= ~word[1:]
+        edge[inner - 1] = word[inner - 1]
+        self.end = np.flatnonzero(edge) + 1
         self.hash = byte_hash(data, self.start, self.end)
         #: first[i]:first[i + 1] are the words of unit i
         self.first = np.searchsorted(self.start, self.bounds)
