@@ -58,3 +58,30 @@ def test_against_the_library(spark, monkeypatch):
 def test_empty_table_and_extra_columns(spark):
     df = spark.createDataFrame([], "block int, doc_id long, text string, ids string")
     assert bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect() == []
+
+
+def test_blocks_cut_long_rows_and_end_by_rows(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    r = random.Random(8)
+    docs = [*texts(200, 9), "", "", " ".join(r.choice(["word", "it's", "  two", "99", "\n\n x", "é", "...  "]) for _ in range(400)), "x" * 500, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(docs)), pa.int64()), pa.array(docs)], names=["doc_id", "text"])
+    block = next(bpe._blocks(iter([batch]), pretoken.PATTERN))
+    spelt = bpe._cut(*block.spelt(bpe.np.arange(len(block.length))))
+    assert len(set(spelt)) == len(spelt)
+    at = 0
+    for d, n in zip(docs, block.counts.tolist(), strict=True):
+        assert [spelt[c].decode() for c in block.code[at : at + n]] == regex.findall(pretoken.PATTERN, d)
+        at += n
+    empty = [pa.RecordBatch.from_arrays([pa.array([None] * 1000, pa.int64()), pa.array([None] * 1000, pa.string())], names=["doc_id", "text"])] * 200
+    assert [b.rows for b in bpe._blocks(iter(empty), pretoken.PATTERN)] == [66000] * 3 + [2000] and bpe.BLOCK_ROWS == 1 << 16
+
+
+def test_many_empty_and_repeated_rows(spark):
+    empty = spark.range(200_000).selectExpr("cast(null as long) as doc_id", "if(id % 2 = 0, '', null) as text")
+    got = bpe.encode(empty, RANKS, public_tokenizers.PATTERN, keep_ids=False).groupBy("n_tokens", "decoded_sha256").count().collect()
+    assert [(r.n_tokens, r.decoded_sha256, r["count"]) for r in got] == [(0, hashlib.sha256(b"").hexdigest(), 200_000)]
+    same = spark.range(3000).selectExpr("1L as doc_id", "'the same row again' as text").repartition(6)
+    got = bpe.encode(same, RANKS, public_tokenizers.PATTERN, keep_ids=False).groupBy("doc_id", "n_tokens").count().collect()
+    assert [tuple(r) for r in got] == [(1, 4, 3000)]

@@ -1,9 +1,9 @@
 """Byte-level BPE: every distinct pre-token of the corpus is encoded once.
 
-Documents are taken in blocks of many texts. A block sends each of its distinct pre-tokens once, packed by hash range;
-a range holds them from all blocks, encodes each distinct one once and sends the ids back to the blocks, where
-the positions (each document as numbers of its block's pre-tokens) wait. Decoding looks ids up in the token-byte table.
-Blocks are named by their content, so a repeated task gives the same block.
+Documents are taken in blocks of many texts, and one scan writes both sides of a block: its distinct pre-tokens, packed by
+hash range, and its positions (each document as numbers of the block's pre-tokens). A range holds the pre-tokens of all
+blocks, encodes each distinct one once and sends the ids back to the blocks, where they meet the positions. Decoding joins
+ids with the token-byte table, which every worker holds whole: a vocabulary has a fixed size (some 50,000 short entries).
 """
 
 from __future__ import annotations
@@ -16,17 +16,17 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretoken import distinct, gather, split
+from .pretoken import PATTERN, distinct, gather, split
 from .setjoin import pack, unpack
-from .shared import block_count, small_batches
-from .words import pieces
+from .shared import block_count, give_back, small_batches, staged
+from .words import PIECE, pieces
 
-#: Bytes of text after which a block ends.
-BLOCK_BYTES = 20 << 20
+#: Bytes of text, or rows, after which a block ends. Only numbers and the distinct pre-tokens of a block are held.
+BLOCK_BYTES, BLOCK_ROWS = 20 << 20, 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -46,42 +46,87 @@ def _token_bytes(path: str) -> dict[int, bytes]:
     return {i: b for b, i in _ranks(path).items()}
 
 
+def _stretches(text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about PIECE bytes that cover the rows; a long row is cut where a space follows something else.
+
+    PATTERN has no pre-token with a space behind another character, and looks ahead from white space only, so its
+    pre-tokens are the same on both sides of such a cut.
+    """
+    at, n = 0, len(text)
+    ends = offsets[1:]
+    while at < n:
+        end = int(ends[min(np.searchsorted(ends, at + 1), len(ends) - 1)])
+        if end - at > 2 * PIECE:
+            cuts = np.flatnonzero((text[at + PIECE : end] == 32) & (text[at + PIECE - 1 : end - 1] > 32) & (text[at + PIECE - 1 : end - 1] < 127))
+            end = at + PIECE + int(cuts[0]) if len(cuts) else end
+        else:
+            more = int(np.searchsorted(ends, at + PIECE, "right"))
+            end = max(end, int(ends[more - 1]) if more else end)
+        yield at, end
+        at = end
+
+
 class _Block:
     """Consecutive rows: their ids, distinct pre-tokens, and each row as numbers of those."""
 
-    def __init__(self, ids: list[pa.Array], data: list[np.ndarray], lengths: list[np.ndarray], pattern: str):
-        text, length = np.concatenate(data), np.concatenate(lengths)
-        start, end, first = split(text, np.concatenate([[0], np.cumsum(length)]), pattern)
-        word, length_of, h, code = distinct(text, start, end)
+    def __init__(self, pattern: str):
+        self.pattern, self.size, self.rows = pattern, 0, 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.all_ids: list[pa.Array] = []
+
+    def add(self, ids: pa.Array, text: np.ndarray, offsets: np.ndarray) -> None:
+        counts = np.zeros(len(offsets) - 1, np.int64)
+        whole = self.pattern == PATTERN
+        for lo, hi in _stretches(text, offsets) if whole else [(0, len(text))]:
+            a, b = (int(np.searchsorted(offsets, x, "right")) - 1 for x in (lo, max(lo, hi - 1)))
+            cut = np.clip(offsets[a : b + 2], lo, hi) - lo
+            start, end, first = split(text[lo:hi], cut, self.pattern)
+            word, length, _, code = distinct(text[lo:hi], start, end)
+            self.held.append((length, gather(text[lo:hi], word, length), code))
+            counts[a : b + 1] += np.diff(first)
+        self.all_ids.append(ids)
+        self.held.append((np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint32), counts))
+        self.size, self.rows = self.size + len(text), self.rows + len(ids)
+
+    def close(self) -> _Block:
+        length, self.text = (np.concatenate([x[i] for x in self.held]) for i in (0, 1))
+        end = np.cumsum(length)
+        word, length_of, h, merged = distinct(self.text, end - length, end)
+        self.counts = np.concatenate([x[3] for x in self.held if len(x) > 3]).astype(np.uint32)
+        found = [x[2] for x in self.held]
+        at = np.cumsum([0] + [len(x[0]) for x in self.held])
+        self.held = []
+        often = np.zeros(len(word), np.int64)
+        for x, lo, hi in zip(found, at[:-1], at[1:], strict=True):
+            often[: len(word)] += np.bincount(merged[lo:hi][x], minlength=len(word)) if len(x) else 0
         # frequent pre-tokens get small numbers, which pack well
-        order = np.argsort(-np.bincount(code, minlength=len(word)), kind="stable")
+        order = np.argsort(-often, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        word, self.length, self.hash, self.code = word[order], length_of[order], h[order], rank[code] if len(code) else code
-        self.ids = pa.chunked_array(ids).combine_chunks()
-        self.counts = np.diff(first).astype(np.uint32)
-        self.text, self.word = text, word
-        name = xxhash.xxh3_64(length.tobytes())
-        name.update(text.tobytes())
-        self.name = np.array([name.intdigest()], np.uint64).view(np.int64)
+        self.word, self.length, self.hash, self.code = word[order], length_of[order], h[order], np.empty(sum(map(len, found)), np.uint32)
+        to = 0
+        for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+            x, found[i] = found[i], None
+            self.code[to : to + len(x)] = rank[merged[lo:hi]][x] if len(x) else x
+            to += len(x)
+        self.ids = pa.chunked_array(self.all_ids).combine_chunks()
+        return self
 
     def spelt(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.length[which].astype(np.uint32), gather(self.text, self.word[which], self.length[which])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], pattern: str, most: int | None = None) -> Iterator[_Block]:
-    ids, data, lengths, size = [], [], [], 0
+    block = _Block(pattern)
     for batch in batches:
         for lo, hi, text, offsets in pieces(batch.column(1)):
-            ids.append(batch.column(0).slice(lo, hi - lo).cast(pa.int64()))
-            data.append(text)
-            lengths.append(np.diff(offsets))
-            size += len(text)
-            if size >= (most or BLOCK_BYTES):
-                yield _Block(ids, data, lengths, pattern)
-                ids, data, lengths, size = [], [], [], 0
-    if ids:
-        yield _Block(ids, data, lengths, pattern)
+            block.add(batch.column(0).slice(lo, hi - lo).cast(pa.int64()), text, offsets)
+            if block.size >= (most or BLOCK_BYTES) or block.rows >= BLOCK_ROWS:
+                yield block.close()
+                block = _Block(pattern)
+                give_back()
+    if block.rows:
+        yield block.close()
 
 
 def _cut(lengths: np.ndarray, data: np.ndarray) -> list[bytes]:
@@ -97,7 +142,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for every row; ids: little-endian 32-bit numbers.
 
     decoded_sha256 is of the bytes that the ids decode to. Null texts count as empty: no ids. Repeated rows and rows with
-    null ids each come back. A text of any length is one document; no text is cut. docs has to read alike each time.
+    null ids each come back. A text of any length is one document; no text is cut.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -107,80 +152,69 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     def part_of(h: np.ndarray) -> np.ndarray:
         return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, pattern):
+    def both_sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, block in enumerate(_blocks(batches, pattern)):
             part = part_of(block.hash)
             order = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
             groups = np.split(order, cut[1:]) if len(order) else []
-            yield _batch(block=pa.array(np.repeat(block.name, len(groups))), part=pa.array([int(part[g[0]]) for g in groups], pa.int32()), words=pa.array([pack(*block.spelt(g)) for g in groups], pa.binary()))
-
-    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, pattern):
+            # numbered by task: the table is written before it is read, so a number never changes
+            name = TaskContext.get().partitionId() << 32 | n
             yield _batch(
-                block=pa.array(block.name),
-                part=pa.array([None], pa.int32()),
-                ids=pa.array([None], pa.binary()),
-                docs=pa.array([pack(part_of(block.hash).astype(np.uint32), block.counts, block.code)], pa.binary()),
-                doc_ids=pa.array([block.ids.to_pylist()], pa.list_(pa.int64())),
+                block=pa.array([name] * (len(groups) + 1), pa.int64()),
+                part=pa.array([*[int(part[g[0]]) for g in groups], None], pa.int32()),
+                words=pa.array([*[pack(*block.spelt(g)) for g in groups], None], pa.binary()),
+                docs=pa.array([*[None] * len(groups), pack(part.astype(np.uint32), block.counts, block.code)], pa.binary()),
+                doc_ids=pa.array([*[None] * len(groups), block.ids.to_pylist()], pa.list_(pa.int64())),
             )
 
     def encode_words(key: tuple, table: pa.Table) -> pa.Table:
-        one, known, seen = _encoder(rank_path, pattern), {}, set()
-        blocks, parts_, out = table.column("block").to_pylist(), table.column("part").to_pylist(), []
-        for name, blob in zip(blocks, table.column("words"), strict=True):
-            if name in seen:  # a block of the same content
-                out.append(None)
-                continue
-            seen.add(name)
+        one, known, out = _encoder(rank_path, pattern), {}, []
+        for blob in table.column("words"):
             found = []
             for x in _cut(*unpack(blob.as_py())):
                 if (y := known.get(x)) is None:
                     y = known[x] = one(x)
                 found.append(y)
             out.append(pack(np.array([len(x) for x in found], np.uint32), np.array([y for x in found for y in x], np.uint32)))
-        keep = [i for i, x in enumerate(out) if x is not None]
-        return pa.table({"block": pa.array([blocks[i] for i in keep], pa.int64()), "part": pa.array([parts_[i] for i in keep], pa.int32()), "ids": pa.array([out[i] for i in keep], pa.binary()), "docs": pa.nulls(len(keep), pa.binary()), "doc_ids": pa.nulls(len(keep), pa.list_(pa.int64()))})
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "ids": pa.array(out, pa.binary()), "docs": pa.nulls(len(out), pa.binary()), "doc_ids": pa.nulls(len(out), pa.list_(pa.int64()))})
 
     def assemble(key: tuple, table: pa.Table) -> pa.Table:
         table_bytes = _token_bytes(rank_path)
-        by_part, waiting = {}, []
-        for part, ids, skeleton, doc_ids in zip(table.column("part").to_pylist(), table.column("ids"), table.column("docs"), table.column("doc_ids"), strict=True):
-            if part is None:
-                waiting.append((skeleton.as_py(), doc_ids.as_py()))
-            else:
-                by_part[part] = ids.as_py()
-        out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-        coded = None
-        for skeleton, doc_ids in waiting:
-            part, lengths, positions = unpack(skeleton)
-            if coded is None:  # blocks of one name have the same words
-                coded = [()] * len(part)
-                for p in np.unique(part).tolist():
-                    counts, flat = unpack(by_part[p])
-                    at = np.concatenate([[0], np.cumsum(counts.astype(np.int64))]).tolist()
-                    flat = flat.tolist()
-                    for i, a, b in zip(np.flatnonzero(part == p).tolist(), at[:-1], at[1:], strict=True):
-                        coded[i] = flat[a:b]
-                count = np.array([len(x) for x in coded], np.int64)
-                said = [",".join(map(str, x)) for x in coded]
-                spelt = [b"".join([table_bytes[i] for i in x]) for x in coded]
-                packed = [np.array(x, "<u4").tobytes() for x in coded] if keep_ids else []
-            at = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))]).tolist()
-            for doc_id, a, b in zip(doc_ids, at[:-1], at[1:], strict=True):
-                own = positions[a:b].tolist()
-                out["doc_id"].append(doc_id)
-                out["n_tokens"].append(int(count[own].sum()) if own else 0)
-                out["ids_sha256"].append(hashlib.sha256(",".join([said[i] for i in own]).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(b"".join([spelt[i] for i in own])).hexdigest())
+        parts_ = table.column("part").to_pylist()
+        own_row = parts_.index(None)
+        part, lengths, positions = unpack(table.column("docs")[own_row].as_py())
+        doc_ids = table.column("doc_ids")[own_row].as_py()
+        ids = {p: x for p, x in zip(parts_, table.column("ids"), strict=True) if p is not None}
+        said, spelt, packed, count = [""] * len(part), [b""] * len(part), [b""] * len(part), np.zeros(len(part), np.int64)
+        for p in np.unique(part).tolist():
+            counts, flat = unpack(ids[p].as_py())
+            at = np.concatenate([[0], np.cumsum(counts.astype(np.int64))]).tolist()
+            mine = np.flatnonzero(part == p)
+            count[mine] = counts
+            flat = flat.tolist()
+            for i, a, b in zip(mine.tolist(), at[:-1], at[1:], strict=True):
+                x = flat[a:b]
+                said[i] = ",".join(map(str, x))
+                spelt[i] = b"".join([table_bytes[j] for j in x])
                 if keep_ids:
-                    out["ids"].append(b"".join([packed[i] for i in own]))
-        cols = {"doc_id": pa.array(out["doc_id"], pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())}
+                    packed[i] = np.array(x, "<u4").tobytes()
+        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
+        at = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))]).tolist()
+        for a, b in zip(at[:-1], at[1:], strict=True):
+            own = positions[a:b].tolist()
+            out["n_tokens"].append(int(count[own].sum()) if own else 0)
+            out["ids_sha256"].append(hashlib.sha256(",".join([said[i] for i in own]).encode()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join([spelt[i] for i in own])).hexdigest())
+            if keep_ids:
+                out["ids"].append(b"".join([packed[i] for i in own]))
+        cols = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())}
         return pa.table(cols | ({"ids": pa.array(out["ids"], pa.binary())} if keep_ids else {}))
 
     row = "block bigint, part int, ids binary, docs binary, doc_ids array<bigint>"
-    coded = docs.mapInArrow(words, "block bigint, part int, words binary").groupBy("part").applyInArrow(encode_words, row)
-    both = coded.unionByName(docs.mapInArrow(texts, row))
+    sides = staged(docs.mapInArrow(both_sides, "block bigint, part int, words binary, docs binary, doc_ids array<bigint>"), "blocks")
+    coded = sides.where("part is not null").select("block", "part", "words").groupBy("part").applyInArrow(encode_words, row)
+    both = coded.unionByName(sides.where("part is null").select("block", "part", F.lit(None).cast("binary").alias("ids"), "docs", "doc_ids"))
     return both.groupBy("block").applyInArrow(assemble, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
