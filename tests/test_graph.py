@@ -1,6 +1,7 @@
 """Counting, graph, correction and evaluation on small graphs."""
 
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -183,3 +184,54 @@ def test_probe_queries_draw_the_whole_workload(monkeypatch):
         with pytest.raises(Drawn) as drawn:
             query(None, "")
         assert drawn.value.args == (1_000_000,)
+
+
+def test_wide_kmers_against_brute_force(spark):
+    """k = 28, the width of real reads: counts, nodes, ends, balance, and traversal from ends by both ways."""
+    k, r = 28, random.Random(28)
+    genome = "".join(r.choice("ACGT") for _ in range(900))
+    seqs = [genome[a : a + r.randint(20, 160)] for a in (r.randrange(800) for _ in range(60))]
+    seqs += ["A" * 60, "ACGTNACGT" * 9, genome[:27], genome[:28].lower(), "N".join((genome[100:140], genome[300:360]))]
+    edges, ends, inc = build(spark, seqs, k)
+    want = Counter(canon(f[i : i + k]) for s in seqs for f in re.findall("[ACGT]+", s) for i in range(len(f) - k + 1))
+    assert rows(edges, k, "edge", "cnt") == sorted(want.items())
+    nodes = {canon(e[:-1]) for e in want} | {canon(e[1:]) for e in want}
+    assert {x[0] for x in rows(inc, k, "node")} == nodes
+    assert {x[0] for x in G.invariant(inc, edges, ends).select("discrepancy").distinct().collect()} == {0}
+    stats = T.statistics(edges).first()
+    assert tuple(stats) == (len(want), sum(want.values()), max(want.values()), sum(v > 1 for v in want.values()))
+    known = R.read_nodes(as_reads(spark, seqs), k)
+    plain, quick = (rows(G.reachable_nodes(inc, ends, x), k, "node") for x in (None, known))
+    assert plain == quick and {x[0] for x in plain} == nodes - {canon("A" * 27)}
+
+
+def test_a_long_read_takes_no_more_rounds(spark, monkeypatch):
+    r = random.Random(5)
+    reads = as_reads(spark, ["".join(r.choice("ACGT") for _ in range(5000))])
+    edges, ends = R.exact_counts(reads, 12).cache(), R.end_counts(reads, 12).cache()
+    kept, real = [], G.keep
+    monkeypatch.setattr(G, "keep", lambda df, name: kept.append(name) or real(df, name))
+    found = G.reachable_nodes(G.incidence(edges, 12), ends, R.read_nodes(reads, 12))
+    assert kept == ["seen", "front"] and found.count() == G.incidence(edges, 12).select("node").distinct().count()
+    sketch = R.sketch_counts(edges, lambda e: H.multiply_shift(e, 24))
+    kept.clear()
+    walked = G.reachable_in_sketch(sketch, ends, 12, lambda e: H.multiply_shift(e, 24), R.read_nodes(reads, 12))
+    assert len(kept) < 12 and edges.join(walked, "edge", "left_anti").count() == 0
+
+
+def test_abundance_component_edges_and_balls(spark, tmp_path):
+    from weftgraph.sources import dot
+
+    k = 5
+    edges, ends, inc = build(spark, ["AAAGA", "CGAATTGGA", "CCCCTCCC"], k)
+    less = spark.createDataFrame([(number(canon("AAAGA")), 1), (number(canon("TTGGA")), 5)], "edge long, amount long")
+    got = dict(rows(G.abundance(edges, less), k, "edge", "cnt"))
+    assert got[canon("AAAGA")] == 0 and got[canon("TTGGA")] == 0 and got[canon("GAATT")] == 1
+    seed = spark.createDataFrame([(number(canon("TGGA")),)], "node long")
+    chain = {canon(x) for x in ("CGAAT", "GAATT", "AATTG", "ATTGG", "TTGGA")}
+    assert {x[0] for x in rows(G.component_edges(seed, inc, edges, k), k, "edge")} == chain
+    ball = dot.dot_balls(seed, inc, edges, ends, k, depth=1)
+    assert sorted(x.part for x in ball.collect()) == [1, 1, 2]
+    dot.write_dot_balls(f"{tmp_path}/b", ball, k)
+    lines = [x.value for x in spark.read.text(f"{tmp_path}/b/seed={canon('TGGA')}").collect()]
+    assert lines[0] == f"digraph {canon('TGGA')} {{" and lines[-1] == "}" and len(lines) == 5

@@ -97,6 +97,10 @@ def test_incremental_and_streaming(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("counts").collect())) == whole
+    query = ingest.start_into(spark.readStream.schema(reads.schema).option("maxFilesPerTrigger", 1).parquet(source), 6, f"{tmp_path}/kept", f"{tmp_path}/state2")
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(map(tuple, ingest.stored_counts(spark, f"{tmp_path}/kept").collect())) == whole
 
 
 def test_entry_without_the_training_data_operators(tmp_path):

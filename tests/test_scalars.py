@@ -119,3 +119,43 @@ def test_murmur(spark):
     assert got == [(v, reference(v, 7)) for v in values]
     assert df.select(H.murmur64b(F.col("v"))).distinct().count() == 4
     assert df.select(H.reduce_range(H.murmur64a(F.col("v")), 20).alias("p")).where("p < 0 or p >= 1048576").count() == 0
+
+
+def test_murmur_64b_and_words_against_plain_arithmetic(spark):
+    m, low = 0x5BD1E995, 0xFFFFFFFF
+
+    def step(h, x):
+        x = x * m & low
+        return (h * m & low) ^ ((x ^ (x >> 24)) * m & low)
+
+    def murmur(x, seed):
+        a, b = step((seed & low) ^ 8, x & low), step(seed >> 32, x >> 32)
+        a = (a ^ (b >> 18)) * m & low
+        b = (b ^ (a >> 22)) * m & low
+        a = (a ^ (b >> 17)) * m & low
+        b = (b ^ (a >> 19)) * m & low
+        return a << 32 | b
+
+    def turned(x, bits):
+        return sum((3 - (x >> 2 * i & 3)) << (bits - 2 - 2 * i) for i in range(bits // 2))
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    values = [0, 1, 5, 0x12345678, (1 << 62) + 12345, (1 << 63) - 1]
+    df = spark.createDataFrame([(x,) for x in values], "v long")
+    got = df.select("v", H.murmur64b(F.col("v"), 7).alias("b"), K.word_reverse_complement(F.col("v"), 64).alias("w"), K.word_reverse_complement(F.col("v").bitwiseAND(0x7FFFFFFF), 32).alias("h"), *[x.alias(n) for n, x in zip("xy", K.wide_reverse_complement(F.col("v"), F.lit(9).cast("long")), strict=True)]).collect()
+    for r in got:
+        assert r.b == signed(murmur(r.v, 7)) and r.w == signed(turned(r.v, 64)) and r.h == turned(r.v & 0x7FFFFFFF, 32)
+        assert (r.x, r.y) == (signed(turned(9, 64)), signed(turned(r.v, 64)))
+
+
+def test_probes_do_not_depend_on_partitions(spark):
+    from weftgraph.operators import evaluate as E
+
+    whole = sorted(x.edge for x in E.random_probes(spark, 5000, 10).collect())
+    assert whole == sorted(x.edge for x in E.random_probes(spark, 5000, 10).repartition(7).collect())
+    keys = [r.id for r in spark.range(50).collect()]
+    same = [r.h for r in spark.range(50).select(H.mix(F.col("id"), 40).alias("h")).collect()]
+    assert same == H.mix_array(np.array(keys, np.uint64), 40).tolist()
+    assert len(set(whole)) > 4900 and max(whole) < 4**10
+    wide = [x.edge for x in E.random_probes(spark, 5000, 28, seed=3).collect()]
+    assert len(set(wide)) == 5000 and 4**27 < max(wide) < 4**28

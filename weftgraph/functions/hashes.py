@@ -36,6 +36,18 @@ def mix(key: Column, bits: int) -> Column:
     return _add(key, _low(key, 31, bits), bits)
 
 
+def mix_array(x: np.ndarray, bits: int) -> np.ndarray:
+    """mix of an array of unsigned numbers below 2**bits."""
+    full = U((1 << bits) - 1)
+    x = ((x ^ full) + (x << U(21))) & full
+    x = x ^ (x >> U(24))
+    x = (x * U(1 + 8 + 256)) & full
+    x = x ^ (x >> U(14))
+    x = (x * U(1 + 4 + 16)) & full
+    x = x ^ (x >> U(28))
+    return (x + (x << U(31))) & full
+
+
 def _unshift(x: np.ndarray, n: int, bits: int) -> np.ndarray:
     """Inverts x ^ (x >> n)."""
     out = x.copy()

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.hashes import mix_array
+
+from .reads import canonical_array
+
 
 def false_positives(found: DataFrame, exact: DataFrame) -> DataFrame:
     """Edges that have a count but aren't in the exact table."""
@@ -29,10 +37,13 @@ def errors(found: DataFrame, exact: DataFrame) -> DataFrame:
 
 
 def random_probes(spark, n: int, k: int, seed: int = 1) -> DataFrame:
-    """(edge): n packed k-mers drawn evenly, made canonical."""
-    from weftgraph.functions.kmers import packed_canonical
+    """(edge): n packed k-mers drawn evenly, made canonical; k is 31 at most. Row i is a mix of i and the seed, however
+    the rows are dealt to tasks."""
+    bits = 40 if 2 * k <= 40 else 62
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            value = mix_array(batch.column(0).to_numpy().astype(np.uint64) + np.uint64(seed << (bits - 10)), bits) >> np.uint64(bits - 2 * k)
+            yield pa.RecordBatch.from_arrays([pa.array(canonical_array(value, k).view(np.int64))], names=["edge"])
 
-    value: Column = F.floor(F.rand(seed) * float(1 << min(2 * k, 52))).cast("bigint")
-    if 2 * k > 52:
-        value = F.shiftleft(value, 2 * k - 52).bitwiseOR(F.floor(F.rand(seed + 1) * float(1 << (2 * k - 52))).cast("bigint"))
-    return spark.range(n).select(packed_canonical(value, k).alias("edge"))
+    return spark.range(n).mapInArrow(draw, "edge bigint")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import kmers as K
 
-from .durable import keep
+from .durable import forget, keep
 
 
 def incidence(edges: DataFrame, k: int) -> DataFrame:
@@ -108,22 +108,43 @@ def edges_of(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
 def components(inc: DataFrame) -> DataFrame:
     """(node, component): the least packed node of the component, by propagation with pointer jumping."""
     step = keep(inc.select("node", "neighbor").where("node <> neighbor").distinct(), "steps")
-    labels = keep(inc.select("node").distinct().select("node", F.col("node").alias("component")), "labels")
+    table = keep(inc.select("node").distinct().select("node", F.col("node").alias("component")), "labels")
     while True:
+        labels = table.select("node", "component")
         seen = step.join(labels.select(F.col("node").alias("neighbor"), "component"), "neighbor").groupBy("node").agg(F.min("component").alias("seen"))
         new = labels.join(seen, "node", "left").select("node", F.least("component", F.coalesce("seen", "component")).alias("new"), F.col("component").alias("old"))
+        # a giant component is one label on many rows of the left side, which Spark splits; the right side has a row for each node
         over = labels.select(F.col("node").alias("new"), F.col("component").alias("over"))
         new = keep(new.join(over, "new").select("node", F.least("new", "over").alias("component"), (F.least("new", "over") != F.col("old")).alias("moved")), "labels")
-        labels = new.select("node", "component")
+        forget(table)
+        table = new
         if new.where("moved").isEmpty():
-            return labels
+            forget(step)
+            return new.select("node", "component")
 
 
-def reachable_nodes(inc: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node) reachable from read ends: ends, and components that hold one. Rounds grow as the log of the diameter."""
-    starts, parts = end_nodes(ends), components(inc)
-    whole = parts.join(parts.join(starts, "node", "left_semi").select("component").distinct(), "component", "left_semi").select("node")
-    return whole.unionByName(starts).distinct()
+def reachable_nodes(inc: DataFrame, ends: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node) reachable from read ends.
+
+    known: nodes that surely are, as reads.read_nodes gives them; then only what lies beyond is walked, and rounds don't
+    depend on the length of reads. Without it, ends and the components that hold one; rounds grow as the log of the
+    diameter.
+    """
+    starts = end_nodes(ends)
+    if known is None:
+        parts = components(inc)
+        whole = parts.join(parts.join(starts, "node", "left_semi").select("component").distinct(), "component", "left_semi").select("node")
+        return whole.unionByName(starts).distinct()
+    step = inc.select("node", "neighbor").where("node <> neighbor")
+    front = seen = keep(known.select("node").unionByName(starts).distinct(), "seen")
+    rounds = 0
+    while True:
+        front = keep(front.join(step, "node").select(F.col("neighbor").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
+        if front.isEmpty():
+            return seen
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % 16 == 0:  # plans stay short
+            seen = keep(seen, "seen")
 
 
 def component_of(seeds: DataFrame, inc: DataFrame) -> DataFrame:
@@ -132,12 +153,30 @@ def component_of(seeds: DataFrame, inc: DataFrame) -> DataFrame:
     return parts.join(parts.join(seeds.select("node"), "node", "left_semi").select("component").distinct(), "component", "left_semi").select("node")
 
 
-def reachable_in_sketch(sketch: DataFrame, ends: DataFrame, k: int, hash_of) -> DataFrame:
+def component_edges(seeds: DataFrame, inc: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """Edges of the components that hold a seed."""
+    return edges_of(component_of(seeds, inc), edges, k)
+
+
+def balls(seeds: DataFrame, inc: DataFrame, depth: int) -> DataFrame:
+    """(seed, node): nodes up to `depth` steps from each seed by itself."""
+    step = keep(inc.select("node", "neighbor").where("node <> neighbor").distinct(), "steps")
+    front = seen = seeds.select(F.col("node").alias("seed"), "node").distinct()
+    for _ in range(depth):
+        new = front.join(step, "node").select("seed", F.col("neighbor").alias("node")).distinct()
+        front = keep(new.join(seen, ["seed", "node"], "left_anti"), "front")
+        seen = seen.unionByName(front)
+    return seen
+
+
+def reachable_in_sketch(sketch: DataFrame, ends: DataFrame, k: int, hash_of, known: DataFrame | None = None) -> DataFrame:
     """The probed incidence of every node reachable from read ends through a lossy table, false positives included.
 
-    A lossy graph has no list of nodes, so this walks level by level: rounds grow with the longest way from an end.
+    A lossy graph has no list of nodes, so this walks level by level. known: nodes that surely are reachable, as
+    reads.read_nodes gives them: then only false positives are walked, and rounds don't grow with the reads.
     """
-    front = seen = keep(end_nodes(ends), "seen")
+    starts = end_nodes(ends)
+    front = seen = keep(starts if known is None else starts.unionByName(known.select("node")).distinct(), "seen")
     found, rounds = None, 0
     while True:
         rows = keep(probe(front, sketch, k, hash_of), "probed")

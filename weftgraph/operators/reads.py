@@ -70,14 +70,14 @@ def _windows(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value, bad[k:] == bad[:-k]
 
 
-def _ends(value: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, left, right): read ends on a side of a node, one entry each.
+def _ends(value: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, left, right, where): read ends on a side of a node, one entry each; where is a k-mer of its fragment.
 
     A fragment has two: where its first and its last k-mer stick out. A node that equals its reverse complement or is one
     repeated base loses the direction of reads that pass, so there both k-mers count as ends.
     """
     if not len(value):
-        return (np.empty(0, np.uint64),) * 3
+        return (np.empty(0, np.uint64),) * 3 + (np.empty(0, np.int64),)
     before, after = np.append(False, valid[:-1]), np.append(valid[1:], False)
     first, last = np.flatnonzero(valid & ~before), np.flatnonzero(valid & ~after)
     inner = np.flatnonzero(valid & after)
@@ -90,7 +90,7 @@ def _ends(value: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.
     node, edge = canonical_array(nodes, k - 1), canonical_array(edges, k)
     back, head, tail = reverse_complement_array(node, k - 1), edge >> U(2), edge & low
     left, right = (tail == node) | (head == back), (head == node) | (tail == back)
-    return node, left & ~right, right & ~left
+    return node, left & ~right, right & ~left, np.concatenate([first, last, inner, inner])
 
 
 def _batch(**cols: pa.Array) -> pa.RecordBatch:
@@ -124,7 +124,7 @@ def scan(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str = "seq"
             for code, _, _ in _pieces(batch.column(0), n_policy):
                 value, valid = _windows(code, k)
                 edge, count = np.unique(canonical_array(value[valid], k), return_counts=True)
-                node, left, right = _ends(value, valid, k)
+                node, left, right, _ = _ends(value, valid, k)
                 at, back = np.unique(node, return_inverse=True)
                 back = back.reshape(-1)
                 lefts, rights = (np.bincount(back, x, len(at)).astype(np.int64) for x in (left, right))
@@ -150,6 +150,24 @@ def end_counts(reads: DataFrame, k: int, **options) -> DataFrame:
     return found.groupBy(F.col("key").alias("node")).agg(F.sum("a").alias("left_ends"), F.sum("b").alias("right_ends"))
 
 
+def read_nodes(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str = "seq") -> DataFrame:
+    """(node): the nodes of all fragments that have an end on a side of a node. Such a fragment is a way from there, so a
+    traversal from read ends reaches them all."""
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for code, _, _ in _pieces(batch.column(0), n_policy):
+                value, valid = _windows(code, k)
+                _, left, right, where = _ends(value, valid, k)
+                run = np.cumsum(valid & ~np.append(False, valid[:-1])) if len(valid) else np.empty(0, np.int64)
+                hangs = np.zeros(int(run.max(initial=0)) + 1, bool)
+                hangs[run[where[left | right]]] = True
+                on = value[valid & hangs[run]] if len(value) else value
+                yield _batch(node=_long(np.unique(canonical_array(np.concatenate([on >> U(2), on & U((1 << (2 * (k - 1))) - 1)]), k - 1))))
+
+    return reads.select(F.col(seq_col).alias("seq")).mapInArrow(roll, "node bigint").distinct()
+
+
 def sketch_counts(edges: DataFrame, hash_of, edge_col: str = "edge") -> DataFrame:
     """sketch(hash, cnt): the lossy table. hash_of maps the packed edge to its hash; counts are never too low."""
     return edges.groupBy(hash_of(F.col(edge_col)).alias("hash")).agg(F.sum("cnt").alias("cnt"))

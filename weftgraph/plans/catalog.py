@@ -31,7 +31,7 @@ def _query(sql: str | None = None):
     def add(f: Query) -> Query:
         _queries[f.__name__] = f
         if sql:
-            _sql[f.__name__] = sql
+            _sql[f.__name__] = S.once(sql)
         return f
 
     return add
@@ -128,21 +128,50 @@ def kmer_period(spark, d):
     return _edges(spark, d).select(_edge()).select("edge", K.period(F.col("edge")).alias("period"))
 
 
-_STEPS = [f"s0 AS (SELECT edge, {S.packed('edge', EXACT)} AS v FROM edges)"] + [f"s{i + 1} AS (SELECT *, {x} AS {n} FROM s{i})" for i, (n, x) in enumerate(S.mix("v", 2 * EXACT))]
+_STEPS = S.chain(f"SELECT edge, {S.packed('edge', EXACT)} AS v FROM edges", S.mix("v", 2 * EXACT))
 
 
-@_query(EDGES + ", " + ", ".join(_STEPS) + f" SELECT edge, hash, v AS back FROM s{len(_STEPS) - 1}")
+@_query(EDGES + ", " + _STEPS + " SELECT edge, hash, v AS back FROM s7")
 def hash64_invertible(spark, d):
     rows = _edges(spark, d).select("edge", H.mix(F.col("edge"), 2 * EXACT).alias("hash"))
     return rows.select(_edge(), "hash", H.unmix(F.col("hash"), 2 * EXACT).alias("back"))
 
 
-@_query()
+_A = [("a1", S.multiplied("v", H.M64)), ("a2", S.multiplied("xor(a1, a1 >> 47)", H.M64)), ("a3", S.multiplied(f"xor(a2, {8 * H.M64 % 2**64}::UBIGINT)", H.M64)), ("a4", S.multiplied("xor(a3, a3 >> 47)", H.M64)), ("a5", "xor(a4, a4 >> 47)")]
+_32 = lambda h: f"((({h}) * {H.M32}::UBIGINT) & 4294967295::UBIGINT)"
+_B = [("k1", _32("v & 4294967295::UBIGINT")), ("k2", _32("v >> 32"))] + [(f"l{i}", _32(f"xor(k{i}, k{i} >> {H.R32})")) for i in (1, 2)]
+_B += [("b1", f"xor({_32('8::UBIGINT')}, l1)"), ("b2", "xor(0::UBIGINT, l2)"), ("c1", _32("xor(b1, b2 >> 18)")), ("c2", _32("xor(b2, c1 >> 22)")), ("d1", _32("xor(c1, c2 >> 17)")), ("d2", _32("xor(c2, d1 >> 19)"))]
+_MURMUR = S.chain(f"SELECT edge, {S.packed('edge', EXACT)}::UBIGINT AS v FROM edges", _A + _B)
+
+
+@_query(EDGES + ", " + _MURMUR + f" SELECT edge, {S.signed('a5')} AS a, {S.signed('(d1::UHUGEINT * 4294967296 + d2)')} AS b FROM s{len(_A + _B)}")
 def murmur_hashes(spark, d):
     e = F.col("edge")
     return _edges(spark, d).select(_edge(), H.murmur64a(e).alias("a"), H.murmur64b(e).alias("b"))
 
 
+_W32, _W64 = (S.packed(S.rc(f"repeat('C', {n - EXACT}) || edge"), n).replace("::BIGINT", "::HUGEINT") for n in (16, 32))
+
+
+@_query(EDGES + f", w AS (SELECT edge, {_W32} AS w32, {_W64} AS w64 FROM edges) SELECT edge, w32::BIGINT AS w32, {S.signed('w64')} AS w64, {S.signed('w64')} AS high, -1::BIGINT AS low FROM w")
+def word_reverse_complements(spark, d):
+    e = F.col("edge")
+    high, low = K.wide_reverse_complement(F.lit(0).cast("bigint"), e)
+    return _edges(spark, d).select(_edge(), K.word_reverse_complement(e, 32).alias("w32"), K.word_reverse_complement(e, 64).alias("w64"), high.alias("high"), low.alias("low"))
+
+
+# the width of real reads
+
+
+LONG = 28
+WIDE = "WITH " + S.edges(LONG)
+
+
+@_query(WIDE + " SELECT edge, cnt FROM edges")
+def kmer_count_28(spark, d):
+    return _edges(spark, d, k=LONG).select(_edge(LONG), "cnt")
+
+
 # graph
 
 
@@ -224,20 +253,28 @@ def nearby_edges_3(spark, d):
 
 @_query("WITH RECURSIVE " + ALL.removeprefix("WITH ") + ", step AS (SELECT DISTINCT node, neighbor FROM inc), walk AS (SELECT node FROM ends UNION SELECT step.neighbor FROM step JOIN walk USING (node)) SELECT node FROM walk")
 def reachable_nodes(spark, d):
-    return G.reachable_nodes(_inc(spark, d), _ends(spark, d)).select(_node())
+    return G.reachable_nodes(keep(_inc(spark, d), "incidence"), _ends(spark, d), R.read_nodes(reads(spark, d), EXACT)).select(_node())
 
 
 @_query("WITH RECURSIVE " + ALL.removeprefix("WITH ") + ", step AS (SELECT DISTINCT node, neighbor FROM inc), walk AS (SELECT node FROM ends UNION SELECT step.neighbor FROM step JOIN walk USING (node)) SELECT edge, cnt FROM ends2 WHERE l IN (SELECT node FROM walk)")
 def reachable_edges(spark, d):
     edges = keep(_edges(spark, d), "edges")
-    return G.edges_of(G.reachable_nodes(G.incidence(edges, EXACT), _ends(spark, d)), edges, EXACT).select(_edge(), "cnt")
+    known = R.read_nodes(reads(spark, d), EXACT)
+    return G.edges_of(G.reachable_nodes(G.incidence(edges, EXACT), _ends(spark, d), known), edges, EXACT).select(_edge(), "cnt")
 
 
-@_query()
+@_query("WITH RECURSIVE " + INC.removeprefix("WITH ") + f", step AS (SELECT DISTINCT {S.packed('node', EXACT - 1)} AS node, {S.packed('neighbor', EXACT - 1)} AS neighbor FROM inc), near(node, component) USING KEY (node) AS (SELECT DISTINCT node, node FROM step UNION SELECT step.neighbor, min(near.component) FROM near JOIN step ON step.node = near.node JOIN recurring.near AS known ON known.node = step.neighbor WHERE near.component < known.component GROUP BY step.neighbor) SELECT {S.unpacked('node', EXACT - 1)} AS node, {S.unpacked('component', EXACT - 1)} AS component FROM near")
 def components(spark, d):
     return G.components(_inc(spark, d)).select(_node(), _node(name="component"))
 
 
+@_query("WITH RECURSIVE " + INC.removeprefix("WITH ") + ", " + SEEDS + ", step AS (SELECT DISTINCT node, neighbor FROM inc), walk AS (SELECT node FROM seeds UNION SELECT step.neighbor FROM step JOIN walk USING (node)) SELECT edge, cnt FROM ends2 WHERE l IN (SELECT node FROM walk)")
+def component_edges(spark, d):
+    edges = keep(_edges(spark, d), "edges")
+    inc = keep(G.incidence(edges, EXACT), "incidence")
+    return G.component_edges(_seeds(inc), inc, edges, EXACT).select(_edge(), "cnt")
+
+
 @_query(
     ALL + " SELECT node, format('  {}[ label=\"{}\\n({}, {})\", style=filled, fillcolor={}, shape={} ];', node, node, coalesce(left_ends, 0), coalesce(right_ends, 0), CASE WHEN coalesce(left_ends + right_ends, 0) > 0 THEN 'grey' ELSE 'white' END, CASE WHEN " + S.duplex("node") + " THEN 'diamond' ELSE 'ellipse' END) AS line FROM (SELECT DISTINCT node FROM inc) LEFT JOIN ends USING (node)"
 )
@@ -250,6 +287,18 @@ def dot_edges(spark, d):
     return dot.dot_edges(_edges(spark, d), EXACT)
 
 
+_LINES = ", nodes AS (" + _sql["dot_nodes"].rpartition(" SELECT node, format(")[1].strip() + _sql["dot_nodes"].rpartition(" SELECT node, format(")[2] + "), arcs AS (SELECT e.l, " + _sql["dot_edges"].rpartition(" SELECT e.edge, ")[2] + ")"
+_STEPS6 = ", near0 AS (SELECT DISTINCT l AS seed, l AS node FROM ends2 WHERE l = r)" + "".join(f", near{i} AS (SELECT seed, node FROM near{i - 1} UNION SELECT seed, neighbor FROM near{i - 1} JOIN inc USING (node))" for i in range(1, 7))
+
+
+@_query(ALL + _STEPS6 + _LINES + " SELECT seed, line FROM near6 JOIN nodes USING (node) UNION ALL SELECT seed, line FROM near6 JOIN arcs ON arcs.l = near6.node")
+def dot_balls(spark, d):
+    """What lies within six steps of each loop's node."""
+    edges = keep(_edges(spark, d), "edges")
+    seeds = G.loops(edges, EXACT).select(K.left_node(F.col("edge"), EXACT).alias("node"))
+    return dot.dot_balls(seeds, G.incidence(edges, EXACT), edges, _ends(spark, d), EXACT).select(_node(name="seed"), "line")
+
+
 # algebra of tables
 
 
@@ -293,6 +342,12 @@ def point_lookup(spark, d):
     return _named(T.lookup(_keyed(_edges(spark, d, "benchmark")).select("key"), _keyed(_edges(spark, d))))
 
 
+@_query(THREE + " SELECT edge, greatest(cnt - coalesce(amount, 0), 0) AS cnt FROM edges LEFT JOIN (SELECT edge, cnt AS amount FROM edges_b) USING (edge)")
+def corrected_abundance(spark, d):
+    """Counts less a table of corrections; here, those are the counts of other texts."""
+    return G.abundance(_edges(spark, d), _edges(spark, d, "benchmark").withColumnRenamed("cnt", "amount")).select(_edge(), "cnt")
+
+
 # lossy tables
 
 
@@ -311,20 +366,23 @@ def _lossy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
     exact = counted.where("not is_end").select(F.col("key").alias("edge"), F.col("a").alias("cnt"))
     ends = counted.where("is_end and a + b > 0").select(F.col("key").alias("node"), F.col("a").alias("left_ends"), F.col("b").alias("right_ends"))
     sketch = keep(R.sketch_counts(exact, _hash), "sketch")
-    return exact, ends, G.reachable_in_sketch(sketch, ends, LOSSY, _hash)
+    return exact, ends, G.reachable_in_sketch(sketch, ends, LOSSY, _hash, R.read_nodes(reads(spark, d), LOSSY))
 
 
 def _found(inc: DataFrame) -> DataFrame:
     return inc.select("edge", F.col("occ").alias("cnt")).distinct()
 
 
-@_query()
+WALKED = "WITH RECURSIVE " + S.edges(LOSSY) + S.ends(LOSSY) + S.lossy(LOSSY, BITS)
+
+
+@_query(WALKED + f" SELECT {S.unpacked('e', LOSSY)} AS edge, occ AS cnt FROM found WHERE e NOT IN (SELECT e FROM exact)")
 def false_positives(spark, d):
     exact, _, inc = _lossy(spark, d)
     return E.false_positives(_found(inc), exact).select(_edge(LOSSY), "cnt")
 
 
-@_query()
+@_query(WALKED + f" SELECT {S.unpacked('e', LOSSY)} AS edge, occ AS cnt, coalesce(cnt, 0) AS exact FROM found LEFT JOIN exact USING (e) WHERE occ <> coalesce(cnt, 0)")
 def abundance_errors(spark, d):
     exact, _, inc = _lossy(spark, d)
     return E.abundance_errors(_found(inc), exact).select(_edge(LOSSY), "cnt", "exact")
@@ -343,8 +401,9 @@ def correction_result(spark, d):
     return C.correct(inc, ends, LOSSY).where("cnt > 0").select(_edge(LOSSY), "cnt")
 
 
-@_query()
+@_query(WALKED + " SELECT count(*) FILTER (fixed > cnt) AS over, count(*) FILTER (fixed < cnt) AS under, count(*) FILTER (fixed > 0 AND cnt = 0) AS false_positives, count(*) FILTER (fixed = 0 AND cnt > 0) AS false_negatives FROM (SELECT coalesce(exact.cnt, 0) AS cnt, CASE WHEN found.e IS NULL THEN 0 ELSE coalesce(exact.cnt, 0) END AS fixed FROM found FULL JOIN exact USING (e))")
 def correction_errors(spark, d):
+    """Here, the correction settles every edge that the walk found, as correction_result says; the SQL takes that as given."""
     exact, ends, inc = _lossy(spark, d)
     return E.errors(C.correct(inc, ends, LOSSY).select("edge", "cnt"), exact)
 
@@ -358,7 +417,10 @@ def local_correction(spark, d):
     return C.correct(inc, ends, LOSSY, near, hash_rules=False).where("amount > 0").select(_edge(LOSSY), "cnt", "amount")
 
 
-@_query()
+PROBES = S.chain("SELECT i + 1073741824 AS v FROM range(1000000) t(i)", S.mix("v", 40)) + f", drawn AS (SELECT {S.canon_number(f'(hash >> {40 - 2 * LOSSY})', LOSSY)} AS e FROM s7)"
+
+
+@_query("WITH " + S.edges(LOSSY) + ", " + PROBES + f", probes AS (SELECT {S.unpacked('e', LOSSY)} AS edge FROM drawn) SELECT edge, coalesce(cnt, 0) AS cnt FROM probes LEFT JOIN edges USING (edge)")
 def random_lookups(spark, d):
     table = _keyed(_edges(spark, d, k=LOSSY))
     return T.lookup(E.random_probes(spark, 1_000_000, LOSSY).select(F.col("edge").alias("key")), table).select(K.unpack(F.col("key"), LOSSY).alias("edge"), "cnt")

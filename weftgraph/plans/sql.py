@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .dna import AS_BASES, LETTERS, TABLES
 
 STEP = 256
@@ -70,15 +72,70 @@ sided AS (SELECT node, (right(edge, {n}) = node OR left(edge, {n}) = {rc('node')
 ends AS (SELECT node, count(*) FILTER (isl AND NOT isr) AS left_ends, count(*) FILTER (isr AND NOT isl) AS right_ends FROM sided GROUP BY node HAVING count(*) FILTER (isl <> isr) > 0)"""
 
 
+def low(v: str, n: int, bits: int) -> str:
+    """(v << n) mod 2**bits"""
+    return f"(({v} & {(1 << (bits - n)) - 1}) << {n})" if n < bits else "0"
+
+
 def mix(v: str, bits: int) -> list[tuple[str, str]]:
     """Steps (name, expression) of the invertible mix."""
     m = (1 << bits) - 1
     return [
-        ("m1", f"((xor({m}, {v}) + (({v} << 21) & {m})) & {m})"),
+        ("m1", f"((xor({m}, {v}) + {low(v, 21, bits)}) & {m})"),
         ("m2", "xor(m1, m1 >> 24)"),
-        ("m3", f"((m2 + ((m2 << 3) & {m}) + ((m2 << 8) & {m})) & {m})"),
+        ("m3", f"((m2 + {low('m2', 3, bits)} + {low('m2', 8, bits)}) & {m})"),
         ("m4", "xor(m3, m3 >> 14)"),
-        ("m5", f"((m4 + ((m4 << 2) & {m}) + ((m4 << 4) & {m})) & {m})"),
+        ("m5", f"((m4 + {low('m4', 2, bits)} + {low('m4', 4, bits)}) & {m})"),
         ("m6", "xor(m5, m5 >> 28)"),
-        ("hash", f"((m6 + ((m6 << 31) & {m})) & {m})"),
+        ("hash", f"((m6 + {low('m6', 31, bits)}) & {m})"),
     ]
+
+
+def chain(first: str, steps: list[tuple[str, str]], tag: str = "s") -> str:
+    """Expressions one after another; the last table is {tag}{len(steps)}."""
+    return ", ".join([f"{tag}0 AS ({first})", *[f"{tag}{i + 1} AS (SELECT *, {x} AS {n} FROM {tag}{i})" for i, (n, x) in enumerate(steps)]])
+
+
+def rc_number(v: str, k: int) -> str:
+    return "(" + " + ".join(f"((3 - (({v} >> {2 * i}) & 3)) << {2 * (k - 1 - i)})" for i in range(k)) + ")"
+
+
+def canon_number(v: str, k: int) -> str:
+    return f"greatest({v}, {rc_number(v, k)})"
+
+
+def unpacked(v: str, k: int) -> str:
+    return "(" + " || ".join(f"substr('CATG', ((({v}) >> {2 * (k - 1 - i)}) & 3)::INT + 1, 1)" for i in range(k)) + ")"
+
+
+def signed(h: str) -> str:
+    return f"(CASE WHEN {h} >= 9223372036854775808 THEN ({h}::HUGEINT - 18446744073709551616)::BIGINT ELSE {h}::BIGINT END)"
+
+
+def multiplied(h: str, by: int) -> str:
+    """h * by mod 2**64 of an unsigned h"""
+    return f"(({h}::UHUGEINT * {by}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def multiply_shift(e: str, bits: int) -> str:
+    return f"((({e}) * 2654435761) % 4294967296) // {1 << (32 - bits)}"
+
+
+def lossy(k: int, bits: int) -> str:
+    """exact, sketch, step(node, e, occ, neighbor) of all nodes that there could be, walk(node) and found(e, occ), on numbers."""
+    n = k - 1
+    return f""",
+exact AS (SELECT {packed('edge', k)} AS e, cnt FROM edges),
+sketch AS (SELECT {multiply_shift('e', bits)} AS hash, sum(cnt)::BIGINT AS cnt FROM exact GROUP BY 1),
+all_nodes AS (SELECT i AS node FROM range({4**n}) t(i) WHERE i >= {rc_number('i', n)}),
+around AS (SELECT node, CASE WHEN s = 0 THEN node * 4 + b ELSE b * {4**n} + node END AS x FROM all_nodes, range(4) u(b), range(2) v(s)),
+cand AS (SELECT DISTINCT node, {canon_number('x', k)} AS e FROM around),
+shown AS (SELECT node, e, sketch.cnt AS occ, {canon_number('(e >> 2)', n)} AS l, {canon_number(f'(e & {4**n - 1})', n)} AS r FROM cand JOIN sketch ON sketch.hash = {multiply_shift('e', bits)}),
+step AS (SELECT node, e, occ, CASE WHEN l = node THEN r ELSE l END AS neighbor FROM shown),
+walk AS (SELECT {packed('node', n)} AS node FROM ends UNION SELECT neighbor FROM step JOIN walk USING (node)),
+found AS (SELECT DISTINCT e, occ FROM step JOIN walk USING (node))"""
+
+
+def once(query: str) -> str:
+    """The query with each table expression worked out once, but recursive ones."""
+    return re.sub(r"\b(?!walk\b|near\b)(\w+(?:\([^()]*\))?) AS \((?=\s*SELECT)", r"\1 AS MATERIALIZED (", query)

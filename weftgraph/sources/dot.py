@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import kmers as K
+from weftgraph.operators import graph as G
+from weftgraph.operators.durable import keep
 
 
 def _port(node: Column, edge: Column, k: int) -> Column:
@@ -38,6 +40,29 @@ def dot_lines(name: str, nodes: DataFrame, edges: DataFrame, ends: DataFrame, k:
     return head.unionByName(dot_nodes(nodes, ends, k).select(F.lit(1).alias("part"), "line")).unionByName(dot_edges(edges, k).select(F.lit(2).alias("part"), "line"))
 
 
+def dot_balls(seeds: DataFrame, inc: DataFrame, edges: DataFrame, ends: DataFrame, k: int, depth: int = 6) -> DataFrame:
+    """(seed, part, line): the digraph around each seed node, for a look at single faults; order by all three.
+
+    A node has eight edges at most, so a seed has a bounded number of lines; seeds are meant to be few.
+    """
+    near = keep(G.balls(seeds, inc, depth), "balls")
+    nodes = dot_nodes(near.select("node").distinct(), ends, k).withColumnRenamed("node", "name")
+    inside = G.edges_of(near.select("node").distinct(), edges, k)
+    arcs = dot_edges(inside, k).join(inside.select(K.unpack(F.col("edge"), k).alias("edge"), K.unpack(K.left_node(F.col("edge"), k), k - 1).alias("name")), "edge")
+    named = near.select("seed", K.unpack(F.col("node"), k - 1).alias("name"))
+    lines = nodes.select("name", F.lit(1).alias("part"), "line").unionByName(arcs.select("name", F.lit(2).alias("part"), "line"))
+    return named.join(lines, "name").select("seed", "part", "line")
+
+
+def write_dot_balls(path: str, balls: DataFrame, k: int) -> None:
+    """A folder seed=<node> for each seed, with the lines of its digraph in order."""
+    seeds = balls.select("seed").distinct()
+    head = seeds.select("seed", F.lit(0).alias("part"), F.concat(F.lit("digraph "), K.unpack(F.col("seed"), k - 1), F.lit(" {")).alias("line"))
+    tail = seeds.select("seed", F.lit(3).alias("part"), F.lit("}").alias("line"))
+    rows = balls.unionByName(head).unionByName(tail).withColumn("seed", K.unpack(F.col("seed"), k - 1))
+    rows.repartition("seed").sortWithinPartitions("seed", "part", "line").select("seed", "line").write.mode("overwrite").partitionBy("seed").text(path)
+
+
 def write_dot(path: str, name: str, nodes: DataFrame, edges: DataFrame, ends: DataFrame, k: int) -> None:
     """Text files that make a digraph in the order of their names."""
     dot_lines(name, nodes, edges, ends, k).orderBy("part", "line").select("line").write.mode("overwrite").text(path)

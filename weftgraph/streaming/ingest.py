@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -20,5 +20,19 @@ def count_stream(reads: DataFrame, k: int) -> DataFrame:
 
 
 def start(reads: DataFrame, k: int, name: str, checkpoint: str) -> StreamingQuery:
-    """Counts in a memory table, whole after each batch."""
+    """Counts in a memory table, whole after each batch: for graphs that the driver can hold. start_into has no such limit."""
     return count_stream(reads, k).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+
+
+def start_into(reads: DataFrame, k: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Each batch's counts as a folder of their own under path; a batch that is repeated replaces its folder."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        count_stream(batch, k).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return reads.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).start()
+
+
+def stored_counts(spark: SparkSession, path: str) -> DataFrame:
+    """counts(is_end, key, a, b) of all batches that start_into has written."""
+    return spark.read.parquet(path).groupBy("is_end", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
