@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ FOREIGN, HTML_INSIDE, MATH_TEXT = {"svg", "math"}, {"foreignobject", "desc", "an
 BREAKOUT = (set(TAGS) | INLINE | VOID) - {"a", "font"}
 CONTENT = set("article body content entry main post story text prose maincontent articlebody postcontent".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote opens a value only behind =, and only if it is closed. All repeats are possessive, so a match never goes back.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 PARTS = re.compile(r"[a-z]+")
@@ -55,10 +57,28 @@ class Page:
         self.n_tags = [0]
         self.texts: list[tuple[int, int, str, bool]] = []
         names, stack, links, at, block = ["html"], [0], 0, 0, 0
-        find = TOKEN.finditer(source) if source else iter(())
+        # where each name is open, and which openings are or end a foreign language: no look back over all that is open
+        where: dict[str, list[int]] = {"html": [0]}
+        worlds: list[str] = []
+
+        def push(name: str, node: int) -> None:
+            where.setdefault(name, []).append(len(names))
+            names.append(name)
+            stack.append(node)
+            if name in FOREIGN or name in HTML_INSIDE:
+                worlds.append(name)
+
+        def pop() -> str:
+            name = names.pop()
+            stack.pop()
+            where[name].pop()
+            if name in FOREIGN or name in HTML_INSIDE:
+                worlds.pop()
+            return name
+
         skip_to = 0
         unclosed: set[str] = set()
-        for m in find:
+        for m in TOKEN.finditer(source):
             if m.start() < skip_to:
                 continue
             if m.start() > at:
@@ -73,28 +93,27 @@ class Page:
                     links = max(0, links - 1)
                 elif name not in INLINE and name not in VOID:
                     # math is part of its line
-                    block += not ("math" in names and name in names[names.index("math") :] or name == "math")
-                    if name in names:
-                        while len(names) > 1:
-                            stack.pop()
-                            if names.pop() == name:
-                                break
+                    math = where.get("math")
+                    block += not (name == "math" or math and where.get(name) and where[name][-1] >= math[0])
+                    if where.get(name):
+                        while len(names) > 1 and pop() != name:
+                            pass
                 continue
             empty = m.group(3).endswith("/")
-            foreign = next((x for x in reversed(names) if x in FOREIGN or x in HTML_INSIDE), None)
-            if foreign in FOREIGN and name in BREAKOUT and names[-1] not in MATH_TEXT:
+            if worlds and worlds[-1] in FOREIGN and name in BREAKOUT and names[-1] not in MATH_TEXT:
                 # HTML in an svg or math that wasn't closed: it ends there
-                while foreign in FOREIGN:
-                    block += foreign == "svg"
-                    while names.pop() not in FOREIGN:
-                        stack.pop()
-                    stack.pop()
-                    foreign = next((x for x in reversed(names) if x in FOREIGN or x in HTML_INSIDE), None)
+                while worlds and worlds[-1] in FOREIGN:
+                    block += worlds[-1] == "svg"
+                    while pop() not in FOREIGN:
+                        pass
+            foreign = worlds[-1] if worlds else None
             inside = foreign in FOREIGN
             if name in RAW:
                 if inside and empty:
                     continue
-                end = SHUT[name].search(source, at)
+                end = None if name in unclosed else SHUT[name].search(source, at)
+                if not end:
+                    unclosed.add(name)
                 at = skip_to = end.end() if end else at if inside else len(source)
                 continue
             if empty and (inside or name in FOREIGN):
@@ -102,8 +121,7 @@ class Page:
             if inside and name not in INLINE and name not in VOID or name == "math":
                 # elements of the other languages aren't nodes; their text belongs to the svg, or to what the math is in
                 block += foreign == "svg" and name != "math"
-                names.append(name)
-                stack.append(stack[-1])
+                push(name, stack[-1])
                 continue
             if name in VOID:
                 if name == "br":
@@ -124,20 +142,17 @@ class Page:
                 if not end or not end.group(1):
                     self.n_tags[stack[-1]] += 1
                     if name == "svg":
-                        names.append(name)
-                        stack.append(stack[-1])
+                        push(name, stack[-1])
                     continue
             block += 1
             if name not in EMBEDDED:
                 links = 0
             if names[-1] == "p" and name not in EMBEDDED:
-                names.pop()
-                stack.pop()
+                pop()
             shuts = CLOSES.get(name)
             while shuts and len(names) > 1 and names[-1] in shuts:
-                names.pop()
-                stack.pop()
-            if name == "body" and "body" in names or name == "html":
+                pop()
+            if name == "body" and where.get("body") or name == "html":
                 continue
             tokens = PARTS.findall(" ".join(v for _, v in ATTRIBUTE.findall(m.group(3))).lower()) if m.group(3) else ()
             self.tag.append(TAGS.index(name) if name in TAGS else len(TAGS))
@@ -147,8 +162,7 @@ class Page:
             self.good.append(sum(t in CONTENT for t in tokens) + (2 if name in ("article", "main") else 0))
             self.hidden.append(1 if m.group(3) and HIDDEN.search(m.group(3)) else 0)
             self.n_tags.append(1)
-            names.append(name)
-            stack.append(len(self.tag) - 1)
+            push(name, len(self.tag) - 1)
         if at < len(source):
             self._text(stack[-1], block, source[at:], links > 0)
 
@@ -322,14 +336,14 @@ def main_text(pages: DataFrame, html_col: str = "html", model: Boosted | None =
     text of the page. Repeated rows each come back.
     """
     small_batches(pages.sparkSession)
-    rows = pages.select(F.struct("*").alias("row"), F.col(f"`{html_col}`").alias("html"))
+    rows, column = pages.select(F.struct("*").alias("row")), pages.columns.index(html_col)
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
     schema = rows.select("row", F.lit("").alias("text")).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         for batch in batches:
-            parsed = [Page(x or "") for x in batch.column("html").to_pylist()]
+            parsed = [Page(x or "") for x in pc.struct_field(batch.column(0), [column]).to_pylist()]
             features = [p.features() for p in parsed]
             odds = fitted.raw(np.concatenate(features)) if features else np.empty(0)
             out, at = [], 0
