@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,11 +65,23 @@ MARK = re.compile(r"licen[cs]|spdx|copyright|warrant|redistribut|permission|publ
 WORD = re.compile(r"[^\W_]+(?:[.\-+][^\W_]+)*")
 #: Words before and after a mark that belong to its region; regions are cut into windows of so many words.
 BEFORE, AFTER, WINDOW = 24, 60, 320
+#: Words that name a licence or tell its variant. With all words that hold a digit, they must be the same, in
+#: the same order, in the template and in the region.
+NAMES = set("apache mit mit-0 gnu gpl lgpl agpl general lesser library affero mozilla bsd isc spdx creative commons cc by by-sa by-nc by-nd by-nc-sa by-nc-nd attribution attribution-sharealike attribution-noncommercial attribution-noderivatives sharealike noncommercial noderivatives clear only later".split())
 #: The share of a template's words that the region must have in order.
 SHARE = 0.9
 KEPT = 4096
 
 
+def _words(text: str) -> list[str]:
+    """Words in lower case; a version's trailing .0 doesn't count."""
+    return [re.sub(r"(?<=\d)(?:\.0)+$", "", w) for w in WORD.findall(text.lower())]
+
+
+def _names(words: list[str]) -> list[str]:
+    return [w for w in words if w in NAMES or any(c.isdigit() for c in w)]
+
+
 @lru_cache(maxsize=1)
 def _compressors():
     plain = zstandard.ZstdCompressor(level=3)
@@ -76,33 +89,44 @@ def _compressors():
     for name, texts in TEMPLATES.items():
         for text in texts:
             data = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, WORD.findall(text.lower()), zstandard.ZstdCompressor(level=3, dict_data=data)))
+            out.append((name, _words(text), zstandard.ZstdCompressor(level=3, dict_data=data)))
     return plain, out
 
 
+def _places(words: list[str], have: list[str]) -> Iterator[tuple[int, int]]:
+    """Stretches of have that may be the wording: where its first word is, with most of its words in order, or the best match."""
+    seen = set()
+    bag, n = Counter(words), len(words)
+    windows = [(i, i + n) for i, w in enumerate(have) if w == words[0] and (bag & Counter(have[i : i + n])).total() >= SHARE * n]
+    for lo, hi in [*windows, (0, len(have))]:
+        blocks = [b for b in difflib.SequenceMatcher(None, words, have[lo:hi], autojunk=False).get_matching_blocks() if b.size]
+        if blocks and sum(b.size for b in blocks) >= SHARE * len(words):
+            at = (lo + blocks[0].b, lo + blocks[-1].b + blocks[-1].size)
+            if at not in seen:
+                seen.add(at)
+                yield at
+
+
 def judge_region(region: str) -> list[tuple[str, float, int, list[str]]]:
     """(licence, share of the compressed size saved, wording differences, those differences) of confirmed templates, best first."""
     plain, templates = _compressors()
     raw = region.lower().encode()
     alone = len(plain.compress(raw))
     saved = sorted(((1 - len(c.compress(raw)) / alone, name, words) for name, words, c in templates), key=lambda x: (-x[0], x[1]))
-    have, found, confirmed = WORD.findall(region.lower()), {}, []
+    have, found, confirmed = _words(region), {}, []
     bag = Counter(have)
     for share, name, words in saved:
         # the words in order can't be more than the words at all
         if (Counter(words) & bag).total() < SHARE * len(words):
             continue
-        match = difflib.SequenceMatcher(None, words, have, autojunk=False)
-        blocks = [b for b in match.get_matching_blocks() if b.size]
-        if not blocks or sum(b.size for b in blocks) < SHARE * len(words):
-            continue
-        lo, hi = blocks[0].b, blocks[-1].b + blocks[-1].size
-        changes = [f"-{w}" for op, a, b, _, _ in difflib.SequenceMatcher(None, words, have[lo:hi], autojunk=False).get_opcodes() if op in ("delete", "replace") for w in words[a:b]]
-        changes += [f"+{w}" for op, _, _, c, d in difflib.SequenceMatcher(None, words, have[lo:hi], autojunk=False).get_opcodes() if op in ("insert", "replace") for w in have[lo:hi][c:d]]
-        # names and versions decide between templates of one wording, so they must be there
-        if len(changes) > max(0, len(words) // 10):
-            continue
-        confirmed.append((len(changes), -share, name, lo, hi, changes))
+        for lo, hi in _places(words, have):
+            ops = difflib.SequenceMatcher(None, words, have[lo:hi], autojunk=False).get_opcodes()
+            changes = [f"-{w}" for op, a, b, _, _ in ops if op in ("delete", "replace") for w in words[a:b]]
+            changes += [f"+{w}" for op, _, _, c, d in ops if op in ("insert", "replace") for w in have[lo:hi][c:d]]
+            # few words may differ, but not a name or a version
+            if len(changes) <= len(words) // 10 and _names(words) == _names(have[lo:hi]):
+                confirmed.append((len(changes), -share, name, lo, hi, changes))
+                break
     # where wordings overlap, the one with the fewest differences is meant
     taken: list[tuple[int, int]] = []
     for n, share, name, lo, hi, changes in sorted(confirmed):
@@ -138,7 +162,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     differences, then the greatest saving. Null and empty texts have none. Repeated rows each come back.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows, column = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
     none = F.lit(None)
     schema = rows.select("row", none.cast("array<string>").alias("licenses"), none.cast("string").alias("best"), none.cast("double").alias("saved"), none.cast("int").alias("n_differences"), none.cast("array<string>").alias("differences")).schema
 
@@ -146,7 +170,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         known: dict[str, list] = {}
         for batch in batches:
             out = []
-            for text in batch.column("text").to_pylist():
+            for text in pc.struct_field(batch.column(0), [column]).to_pylist():
                 found: dict[str, tuple] = {}
                 for region in regions(text or ""):
                     if (got := known.get(region)) is None:
