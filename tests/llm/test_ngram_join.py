@@ -79,7 +79,7 @@ def test_keep_one_with_repeated_and_null_ids(spark):
     a, b, c = "a b c d e f g h", "k l m n o p q r", "s t u v w x y z"
     rows = [(3, a), (5, a + " i"), (5, a.upper()), (5, b), (6, c), (6, c), (6, c.upper()), (8, None), (8, None), (8, "")]
     rows += [(None, x) for x in ("only null", "Only null", "only null", "alone")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    df = spark.createDataFrame([(*x, 1, "g", 2) for x in rows], "doc_id long, text string, __id long, __row string, __gone int").repartition(3)
     kept = keep_one(df)
     assert kept.columns == df.columns
     got = sorted(((r.doc_id, r.text and r.text.lower()) for r in kept.collect()), key=str)

@@ -46,11 +46,14 @@ def keep_one(docs: DataFrame, percent: int = 75, size: int = 5, id_col: str = "d
     stays = (F.struct("doc_id", "row").eqNullSafe(F.col("head"))).alias("stays")
     judged = units.join(member, ["key", "none"]).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), stays)
     judged = staged(judged.groupBy("__id", "__row").agg(F.max("stays").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "judged")
-    own, text = F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`"))
-    same = own.eqNullSafe(F.col("__id")) & (text == F.col("__row"))
-    out = docs.join(judged.select("__id", "__row"), same, "left_anti")
+    rows, own, text = docs.alias("docs"), F.col(f"docs.`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"docs.`{text_col}`"))
+
+    def same(side: str):  # columns of docs may have any name
+        return own.eqNullSafe(F.col(f"{side}.__id")) & (text == F.col(f"{side}.__row"))
+
+    out = rows.join(judged.select("__id", "__row").alias("judged"), same("judged"), "left_anti")
     repeated = judged.where("stays").select("__id", "__row")
     if repeated.isEmpty():
         return out
-    once = docs.join(repeated, same, "left_semi").groupBy(own, text).agg(F.first(F.struct("*")).alias("__kept"))
+    once = rows.join(repeated.alias("repeated"), same("repeated"), "left_semi").groupBy(own.alias("__id"), text.alias("__row")).agg(F.first(F.struct("*")).alias("__kept"))
     return out.unionByName(once.select("__kept.*"))

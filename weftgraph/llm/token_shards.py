@@ -1,7 +1,7 @@
 """Token-ID output in training order.
 
-Texts become sequences of at most `stride` token ids, padded to it. Every sequence gets a dense number, and a keyed
-Feistel permutation with cycle-walking turns the number into its global slot in training order. Partitions are ranges of
+Texts become sequences of at most `stride` token ids, padded to it. Every sequence gets a dense number, in the order of ids
+and text hashes, however the input is split, and a keyed Feistel permutation with cycle-walking turns the number into its global slot in training order. Partitions are ranges of
 slots; each writes one shard of fixed-stride rows, so slot s is at byte (s % slots_per_shard) * stride * width of its
 shard, and a reader resumes at any slot.
 """
@@ -25,9 +25,9 @@ from .shared import small_batches, staged
 from .words import mix
 
 U = np.uint64
-#: Rows of the block table that may be sent to every executor; beyond them it is joined by a shuffle. 16 bytes each.
-BROADCAST_ROWS = 1 << 20
 ROUNDS = 6
+#: Documents of one range of the numbering, about, and ranges at most (a number for each comes to the driver).
+RANGE, MOST_RANGES = 1 << 17, 1 << 16
 #: Bytes of text of one block, which is one row of the table of tokens.
 BLOCK_BYTES = 2 << 20
 
@@ -64,11 +64,18 @@ def sequences(docs: DataFrame, rank_path: str, pattern: str, stride: int = 256,
     spark = docs.sparkSession
     small_batches(spark)
     width = "<u2" if pad < 1 << 16 else "<u4"
-    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    text = F.col(f"`{text_col}`")
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, known = bpe._encoder(rank_path, pattern), {}
-        for block in bpe._blocks(batches, pattern, BLOCK_BYTES):
+        one, known, hashes = bpe._encoder(rank_path, pattern), {}, []
+
+        def read() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hashes.extend(batch.column(2).to_pylist())
+                yield batch
+
+        for number, block in enumerate(bpe._blocks(read(), pattern, BLOCK_BYTES)):
             found = []
             for x in bpe._cut(*block.spelt(np.arange(len(block.length)))):
                 if (y := known.get(x)) is None:
@@ -82,34 +89,39 @@ def sequences(docs: DataFrame, rank_path: str, pattern: str, stride: int = 256,
             first = np.concatenate([[0], np.cumsum(block.counts.astype(np.int64))])
             upto = np.concatenate([[0], np.cumsum(size[block.code])])[first]
             n = np.diff(upto)
-            count = int((-(-n // stride)).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64()), pa.array([block.ids.to_pylist()], pa.list_(pa.int64())), pa.array([pack(n.astype(np.uint32), tokens)], pa.binary())], names=["n", "ids", "tokens"])
+            own, hashes[: block.rows] = hashes[: block.rows], []
+            name = TaskContext.get().partitionId() << 32 | number
+            cols = {"block": pa.array([name], pa.int64()), "ids": pa.array([block.ids.to_pylist()], pa.list_(pa.int64())), "hashes": pa.array([own], pa.list_(pa.int64())), "many": pa.array([-(-n // stride)], pa.list_(pa.int64())), "tokens": pa.array([pack(n.astype(np.uint32), tokens)], pa.binary())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    blocks = docs.mapInArrow(tokenize, "n bigint, ids array<bigint>, tokens binary").withColumn("block", F.monotonically_increasing_id())
+    blocks = docs.mapInArrow(tokenize, "block bigint, ids array<bigint>, hashes array<bigint>, many array<bigint>, tokens binary")
     blocks = staged(blocks, "tokens")  # from here on a block's number is fixed
-    # numbers of the blocks' first sequences: sums of 1024 runs of blocks come to the driver, running sums are made inside a run
-    sizes = blocks.select("block", "n", F.pmod(F.xxhash64("block"), F.lit(1024)).cast("int").alias("run"))
-    runs = sorted((r["run"], r["n"]) for r in sizes.groupBy("run").agg(F.sum("n").alias("n")).collect())
+    # every document with tokens, sorted by id and hash in ranges; rows that are equal in both are equal in all that follows
+    each = blocks.select("block", F.posexplode(F.arrays_zip("ids", "hashes", "many")).alias("pos", "d")).select("block", "pos", "d.*").where("many > 0")
+    order = ["ids", "hashes", "block", "pos"]
+    ranges = int(np.clip(each.count() // RANGE + 1, 1, MOST_RANGES))
+    each = staged(each.repartitionByRange(ranges, *order).withColumn("run", F.spark_partition_id()), "order")
     total, before = 0, []
-    for run, n in runs:
+    for run, n in sorted((r["run"], r["n"]) for r in each.groupBy("run").agg(F.sum("many").alias("n")).collect()):
         before.append((run, total))
         total += n
     base = spark.createDataFrame(before, "run int, before bigint")
-    inside = Window.partitionBy("run").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = sizes.join(F.broadcast(base), "run").select("block", (F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("base"))
-    if sizes.count() <= BROADCAST_ROWS:
-        numbered = F.broadcast(numbered)
+    inside = Window.partitionBy("run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = each.join(F.broadcast(base), "run").select("block", "pos", (F.col("before") + F.coalesce(F.sum("many").over(inside), F.lit(0))).alias("base"))
+    numbered = numbered.groupBy("block").agg(F.collect_list(F.struct("pos", "base")).alias("bases"))  # a block has BLOCK_ROWS documents at most
     shards = -(-total // slots_per_shard) or 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, blob, start in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for ids, blob, bases in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 n, tokens = unpack(blob.as_py())
                 n = n.astype(np.int64)
                 many = -(-n // stride)
                 doc = np.repeat(np.arange(len(n)), many)
                 seq = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
-                slot = permute(start + np.arange(len(doc)), total, key).astype(np.int64)
+                start = np.zeros(len(n), np.int64)
+                start[[x["pos"] for x in bases]] = [x["base"] for x in bases]
+                slot = permute(start[doc] + seq, total, key).astype(np.int64)
                 size = np.minimum(stride, n[doc] - seq * stride)
                 at = (np.cumsum(n) - n)[doc] + seq * stride
                 for lo in range(0, len(doc), 4096):
@@ -120,7 +132,7 @@ def sequences(docs: DataFrame, rank_path: str, pattern: str, stride: int = 256,
                     flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(stride * rows.itemsize), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(slot[cut]), pa.array([ids[d] for d in doc[cut]], pa.int64()), pa.array(seq[cut]), pa.array(size[cut]), flat], names=["slot", "doc_id", "seq", "n_tokens", "tokens"])
 
-    rows = blocks.join(numbered, "block").select("ids", "tokens", "base").mapInArrow(place, "slot bigint, doc_id bigint, seq bigint, n_tokens bigint, tokens binary")
+    rows = blocks.join(numbered, "block").select("ids", "tokens", "bases").mapInArrow(place, "slot bigint, doc_id bigint, seq bigint, n_tokens bigint, tokens binary")
     shard = F.floor(F.col("slot") / slots_per_shard).cast("int")
     rows = rows.select("slot", shard.alias("shard"), (F.pmod("slot", F.lit(slots_per_shard)) * stride * np.dtype(width).itemsize).alias("offset"), "doc_id", "seq", "n_tokens", "tokens")
     return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
