@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, licenses, line_dedup, ngram_join, quality, token_shards, toxicity, url_filter
+from . import bpe, decontaminate, html_text, licenses, line_dedup, ngram_join, oracles, quality, token_shards, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": url_filter.ORACLE}
+    return {"op2_url_filter": url_filter.ORACLE, **oracles.SQL}
