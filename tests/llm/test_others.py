@@ -39,6 +39,34 @@ def test_every_pair_of_templates_in_one_region():
             assert {x[0] for x in licenses.judge_region(text)} == {a, b}, (one, two)
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", []),
+    ("This library is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 1.", []),
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU General Public License version 3.0", ["GPL-3.0"]),
+    ("Licensed under the Apache License, Version 1.1.", []),
+    ("Licensed under the MIT-0 License.", []),
+    ("Licensed under CC BY 3.0.", []),
+    ("Licensed under CC BY-NC-SA 4.0.", []),
+    ("Licensed under the BSD 3-Clause Clear License.", []),
+    ("licensed UNDER the\n mit   license", ["MIT"]),
+])
+def test_names_and_versions_are_exact(text, want):
+    assert [x[0] for x in licenses.judge_region(f"What comes before. {text} What comes after.")] == want
+
+
+def test_licence_ties_and_a_few_changed_words():
+    long = licenses.TEMPLATES["MIT"][2]
+    changed = long.replace("restriction", "limits").replace("furnished", "given")
+    found = licenses.judge_region(f"Before. {changed} After.")
+    assert [x[0] for x in found] == ["MIT"] and sorted(found[0][3]) == ["+limits", "-restriction"]
+    twice = "Licensed under CC BY 4.0. Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0."
+    assert [x[0] for x in licenses.judge_region(twice)] == [x[0] for x in licenses.judge_region(twice)]
+    assert {x[0] for x in licenses.judge_region(twice)} == {"CC-BY-4.0", "CC-BY-SA-4.0"}
+
+
 # toxicity
 
 
@@ -77,6 +105,27 @@ def test_toxicity_held_out_and_counterfactual(spark):
     assert change[0] < 0.02 < change[1] or change[0] < 0.2 * change[1]
 
 
+def test_false_positives_on_neutral_mentions(spark):
+    """One group is named in most toxic rows and in few others; neutral sentences that name it must not be rejected for that."""
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(400)]
+    text = lambda extra: " ".join(r.sample(w := [r.choice(vocab) for _ in range(r.randint(4, 14))] + extra, k=len(w)))
+    rows = []
+    for i in range(3000):
+        toxic = r.random() < 0.3
+        named = [r.choice(["muslims"] * 9 + ["jews"])] if toxic and r.random() < 0.7 else [r.choice(["christians", "hindus", "buddhists"])] if r.random() < 0.2 else []
+        mean = [r.choice(["idiots", "scum", "vermin"])] if toxic and r.random() < 0.85 else []
+        rows.append((i, text(named + mean), int(toxic)))
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    neutral = spark.createDataFrame([(i, text(["muslims"])) for i in range(400)], "doc_id long, text string")
+    rude = spark.createDataFrame([(i, text([r.choice(["idiots", "scum", "vermin"]), r.choice(["hindus", "muslims"])])) for i in range(400)], "doc_id long, text string")
+    rate = lambda m, df: toxicity.score(df, m).where("score >= 0.5").count() / 400
+    fair, plain = toxicity.learn(docs, labels), toxicity.learn(docs, labels, swap=0.0)
+    assert rate(plain, neutral) > 0.9 and rate(fair, neutral) < 0.05
+    assert rate(fair, rude) > 0.95
+
+
 def test_toxicity_without_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
@@ -127,6 +176,57 @@ def test_embedded_elements_do_not_take_the_page(inside):
         assert all(p in found for p in (P1, P2, P3)), (page, found)
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p title=don't>" + P1 + "</p><p title=\"it's\">" + P2 + "</p>", f"{P1} {P2}"),
+    ("<article><p a=\"1>2\" b='c>d'>" + P1 + "</p><p>a &lt; b</p></article>", f"{P1} a < b"),
+    ("<article><p>" + P1 + "</ p><p>" + P2 + "</p></article>", f"{P1} {P2}"),
+    ("<p>" * 300 + "deep in it", "deep in it"),
+    ("no tag at all, &eacute;\n\tjust text", "no tag at all, é just text"),
+    ("<main><h1>T</h1><DIV CLASS=Body><P>" + P1 + "<P>" + P2 + "</DIV></main>", f"T {P1} {P2}"),
+])
+def test_odd_pages(source, want):
+    assert html_text.extract(source, html_text.train()) == want
+
+
+HAND_MADE = [
+    ("""<!doctype html><html lang=en><head><meta charset=utf-8><title>Tides</title><style>p{margin:0}</style></head><body class="home">
+<header class="site-header"><a href="/">The Shore Log</a><nav><a href="/t">Tides</a> <a href="/b">Boats</a></nav></header>
+<main id="content"><article><h1>How the tide turns</h1>
+<p>Twice a day the water comes back, and nobody on the quay looks up from their work when it does.</p>
+<p>The moon pulls at one side of the sea, the sun at another, and <em>both</em> are late.</p>
+<blockquote><p>We set the clocks by it once, said the harbour master.</p></blockquote>
+<p>Low water on Friday is at six.</p></article></main>
+<aside class="sidebar"><h3>Related</h3><ul><li><a href="/1">Storm glass</a></li><li><a href="/2">Knots</a></li></ul></aside>
+<div id="comments"><h3>2 comments</h3><div class="comment"><p>Lovely piece, thank you for writing it.</p></div><div class="comment"><p>Low water is at seven!</p></div></div>
+<footer><p>&copy; The Shore Log. All rights kept.</p></footer></body></html>""",
+     "How the tide turns Twice a day the water comes back, and nobody on the quay looks up from their work when it does. The moon pulls at one side of the sea, the sun at another, and both are late. We set the clocks by it once, said the harbour master. Low water on Friday is at six."),
+    ("""<html><body><div id="wrapper"><div class="topbar"><a href="#">Log in</a> | <a href="#">Sign up</a></div>
+<div class="cookie-notice"><p>We use cookies to make this site work better for you.</p><a href="#">OK</a></div>
+<div class="post"><h2>Bread for beginners</h2><div class="entry"><p>Flour, water, salt and time are all that a loaf needs.</p>
+<ol><li>Mix them in the evening.</li><li>Fold the dough before you sleep.</li><li>Bake it hot.</li></ol>
+<p>It will be better the second time.</p></div></div>
+<div class="advert"><p>Buy the new oven now, half price until Sunday.</p></div>
+<form action="/s"><label>Your mail</label><input name=m><button>Send</button></form>
+<div class="footer">Made by hand. <a href="/p">Privacy</a></div></div></body></html>""",
+     "Bread for beginners Flour, water, salt and time are all that a loaf needs. Mix them in the evening. Fold the dough before you sleep. Bake it hot. It will be better the second time."),
+]
+
+
+@pytest.mark.parametrize("n", range(len(HAND_MADE)))
+def test_pages_written_by_hand(n):
+    source, want = HAND_MADE[n]
+    assert html_text.extract(source, html_text.train()) == want
+
+
+@pytest.mark.parametrize("source", ["<a " * 1_700_000 + '"', "<a b='" * 800_000, "<div>" * 250_000 + "x" + "</div>" * 250_000, "<p>" * 400_000, "<svg><style>" * 200_000, "<math><mi>" * 150_000 + "</p>" * 150_000, "<button>" * 600_000, "<!--" * 1_000_000, "&amp;" * 1_000_000, "<li><td><dd>" * 100_000])
+def test_hostile_pages_take_linear_time(source):
+    import time
+
+    model, began = html_text.train(), time.process_time()
+    html_text.extract(source, model)
+    assert time.process_time() - began < 10
+
+
 def test_math_and_fallback_text():
     model = html_text.train()
     page = f"<article><p>{P1} Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, so. {P2}</p><object data='x'><p>{P3}</p></object><p>{P2}</p></article>"
@@ -182,5 +282,7 @@ def test_shards_round_trip(spark, monkeypatch):
     tok = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=_ranks(RANKS), special_tokens={})
     want = sorted((str(i), tuple(tok.encode_ordinary(t)[k : k + 16]), k // 16) for i, t in rows if t for k in range(0, len(tok.encode_ordinary(t)), 16))
     assert sorted((str(x.doc_id), tuple(np.frombuffer(bytes(x.tokens), "<u2")[: x.n_tokens].tolist()), x.seq) for x in table.values()) == want
+    other = token_shards.sequences(df.repartition(9), RANKS, public_tokenizers.PATTERN, stride=16, slots_per_shard=32).collect()
+    assert {x.slot: (x.doc_id, x.seq, bytes(x.tokens)) for x in other} == {s: (x.doc_id, x.seq, bytes(x.tokens)) for s, x in table.items()}
     assert token_shards.sequences(df.where("false"), RANKS, public_tokenizers.PATTERN).count() == 0
     assert re.match(r"[0-9a-f]{64}$", manifest[0]["sha256"])

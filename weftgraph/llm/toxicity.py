@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,9 @@ from .words import LETTERS, Words, byte_hash, pieces
 U = np.uint64
 #: Labelled rows that learning reads at most.
 SAMPLE = 10_000
-#: Features of the classifier at most, and the least number of toxic rows that a feature is in.
-FEATURES, LEAST_ROWS = 4096, 3
+#: Features of the classifier at most, the least number of toxic rows that a feature is in, and features tried at most,
+#: those in most toxic rows first. All three bound the model, which is fitted on the driver; no text goes unscored.
+FEATURES, LEAST_ROWS, TRIED = 4096, 3, 1 << 17
 #: A feature counts if its share of toxic rows is so many standard deviations from that of all rows; over 100,000 are tried.
 DEVIATIONS = 5.0
 #: Weight of the ridge penalty and of the counterfactual penalty.
@@ -147,7 +149,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(count, pa.int64())], names=["feature", "n"])
 
     counted = rows.where("toxic > 0").select("text").mapInArrow(toxic_features, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    wide = counted.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "feature").limit(1 << 17).select("feature").toArrow()
+    wide = counted.where(F.col("n") >= LEAST_ROWS).orderBy(F.desc("n"), "feature").limit(TRIED).select("feature").toArrow()
     candidates = np.unique(wide.column(0).to_numpy().view(np.uint64))
     shared = docs.sparkSession.sparkContext.broadcast((candidates, groups))
 
@@ -246,14 +248,14 @@ def _fit(row, col, y, n, swaps, swap) -> tuple[np.ndarray, float]:
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """(row, score) for every row: all columns in `row`. Null and empty texts get the score of no features."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{text_col}`").alias("text"))
+    rows, column = docs.select(F.struct("*").alias("row")), docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = rows.select("row", F.lit(0.0).alias("score")).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [shared.value.score(data, offsets) for _, _, data, offsets in pieces(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.concatenate(out) if out else np.empty(0))], names=["row", "score"])
+            out = [shared.value.score(data, offsets) for _, _, data, offsets in pieces(pc.struct_field(batch.column(0), [column]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], names=["row", "score"])
 
     return rows.mapInArrow(judge, schema)
 
