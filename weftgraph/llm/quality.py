@@ -74,7 +74,7 @@ def _repeated(words: Column) -> Column:
         )
 
     # a run is compared by a 64-bit hash of its words' hashes, inside one text only
-    runs = _let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - WINDOW + 1), lambda i: F.xxhash64(F.slice(h, i, WINDOW))))
+    runs = _let(F.transform(words, lambda x: F.xxhash64(x)), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
     found = _let(runs, lambda r: F.when(F.size(F.array_distinct(r)) == F.size(r), 0).otherwise(covered(places(r))))
     return F.when(F.size(words) <= WINDOW, 0).otherwise(found)
 
