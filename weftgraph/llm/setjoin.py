@@ -34,8 +34,8 @@ FLUSH = 1 << 19
 COLD = 64
 #: Counters: one for so many bytes of input files, a power of two between these. A byte each in every Python worker.
 BYTES_PER_COUNTER, LEAST_BITS, MOST_BITS = 32, 16, 26
-#: Units of one block of the product.
-CELL = 512
+#: Units of one block of the product; a cell has two blocks.
+CELL = 128
 RANGES = 64
 
 

@@ -63,9 +63,17 @@ def merged(parts: DataFrame, merge: Callable[[int, list[bytes], bool], bytes], t
     return sorted((r["part"], bytes(r["blob"])) for r in rows.select("part", "blob").collect())
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Documents vary from empty to megabytes; Python workers get few rows at a time so their memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
+    """Documents vary from empty to megabytes; Python workers get batches of about `size` bytes, so their memory is bounded.
+
+    Sets spark.sql.execution.arrow.maxBytesPerBatch of the session, which is read when a query runs, unless it is lower.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(name, "64m").lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(old[-1:], 0)
+    now = int(old.rstrip("kmg")) << unit
+    if now <= 0 or now > size:
+        spark.conf.set(name, str(size))
 
 
 def give_back() -> None:
