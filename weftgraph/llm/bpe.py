@@ -1,6 +1,6 @@
 """Byte-level BPE: every distinct pre-token of the corpus is encoded once.
 
-Documents are taken in blocks of many texts, and one scan writes both sides of a block: its distinct pre-tokens, packed by
+Documents are taken in blocks of many texts, and one scan gives both sides of a block: its distinct pre-tokens, packed by
 hash range, and its positions (each document as numbers of the block's pre-tokens). A range holds the pre-tokens of all
 blocks, encodes each distinct one once and sends the ids back to the blocks, where they meet the positions. Decoding joins
 ids with the token-byte table, which every worker holds whole: a vocabulary has a fixed size (some 50,000 short entries).
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .pretoken import PATTERN, distinct, gather, split
 from .setjoin import pack, unpack
-from .shared import block_count, give_back, small_batches, staged
+from .shared import block_count, give_back, small_batches
 from .words import PIECE, pieces
 
 #: Bytes of text, or rows, after which a block ends. Only numbers and the distinct pre-tokens of a block are held.
@@ -138,6 +138,9 @@ def _batch(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
 
+SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
+
+
 def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for every row; ids: little-endian 32-bit numbers.
 
@@ -158,17 +161,21 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
             order = np.argsort(part, kind="stable")
             cut = np.flatnonzero(np.diff(part[order].astype(np.int64), prepend=-1))
             groups = np.split(order, cut[1:]) if len(order) else []
-            # numbered by task: the table is written before it is read, so a number never changes
+            # numbered by task: both sides of a block come from one task
             name = TaskContext.get().partitionId() << 32 | n
+            ranges = [int(part[g[0]]) for g in groups]
             yield _batch(
+                key=pa.array([*ranges, -1 - name], pa.int64()),
                 block=pa.array([name] * (len(groups) + 1), pa.int64()),
-                part=pa.array([*[int(part[g[0]]) for g in groups], None], pa.int32()),
+                part=pa.array([*ranges, None], pa.int32()),
                 words=pa.array([*[pack(*block.spelt(g)) for g in groups], None], pa.binary()),
                 docs=pa.array([*[None] * len(groups), pack(part.astype(np.uint32), block.counts, block.code)], pa.binary()),
                 doc_ids=pa.array([*[None] * len(groups), block.ids.to_pylist()], pa.list_(pa.int64())),
             )
 
     def encode_words(key: tuple, table: pa.Table) -> pa.Table:
+        if key[0].as_py() < 0:
+            return pa.table({"block": pa.array([], pa.int64()), "part": pa.array([], pa.int32()), "ids": pa.array([], pa.binary())})
         one, known, out = _encoder(rank_path, pattern), {}, []
         for blob in table.column("words"):
             found = []
@@ -177,15 +184,15 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                     y = known[x] = one(x)
                 found.append(y)
             out.append(pack(np.array([len(x) for x in found], np.uint32), np.array([y for x in found for y in x], np.uint32)))
-        return pa.table({"block": table.column("block"), "part": table.column("part"), "ids": pa.array(out, pa.binary()), "docs": pa.nulls(len(out), pa.binary()), "doc_ids": pa.nulls(len(out), pa.list_(pa.int64()))})
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "ids": pa.array(out, pa.binary())})
 
-    def assemble(key: tuple, table: pa.Table) -> pa.Table:
+    def assemble(key: tuple, block: pa.Table, coded: pa.Table) -> pa.Table:
+        if key[0].as_py() >= 0:  # pre-tokens on their way to encode_words
+            return pa.Table.from_batches([], schema=SCHEMA if keep_ids else SCHEMA.remove(4))
         table_bytes = _token_bytes(rank_path)
-        parts_ = table.column("part").to_pylist()
-        own_row = parts_.index(None)
-        part, lengths, positions = unpack(table.column("docs")[own_row].as_py())
-        doc_ids = table.column("doc_ids")[own_row].as_py()
-        ids = {p: x for p, x in zip(parts_, table.column("ids"), strict=True) if p is not None}
+        part, lengths, positions = unpack(block.column("docs")[0].as_py())
+        doc_ids = block.column("doc_ids")[0].as_py()
+        ids = dict(zip(coded.column("part").to_pylist(), coded.column("ids"), strict=True))
         said, spelt, packed, count = [""] * len(part), [b""] * len(part), [b""] * len(part), np.zeros(len(part), np.int64)
         for p in np.unique(part).tolist():
             counts, flat = unpack(ids[p].as_py())
@@ -211,11 +218,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         cols = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())}
         return pa.table(cols | ({"ids": pa.array(out["ids"], pa.binary())} if keep_ids else {}))
 
-    row = "block bigint, part int, ids binary, docs binary, doc_ids array<bigint>"
-    sides = staged(docs.mapInArrow(both_sides, "block bigint, part int, words binary, docs binary, doc_ids array<bigint>"), "blocks")
-    coded = sides.where("part is not null").select("block", "part", "words").groupBy("part").applyInArrow(encode_words, row)
-    both = coded.unionByName(sides.where("part is null").select("block", "part", F.lit(None).cast("binary").alias("ids"), "docs", "doc_ids"))
-    return both.groupBy("block").applyInArrow(assemble, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    sides = docs.mapInArrow(both_sides, "key bigint, block bigint, part int, words binary, docs binary, doc_ids array<bigint>")
+    # one exchange holds both sides of all blocks; Spark reuses it, because both of its readers take it as it is
+    dealt = sides.repartition(parts, "key")
+    coded = dealt.groupBy("key").applyInArrow(encode_words, "block bigint, part int, ids binary").select((-1 - F.col("block")).alias("key"), "part", "ids")
+    return dealt.groupBy("key").cogroup(coded.groupBy("key")).applyInArrow(assemble, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
 
 
 def decode(encoded: DataFrame, rank_path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
