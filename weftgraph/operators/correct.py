@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from weftgraph.functions import kmers as K
 
 from . import graph as G
-from .durable import keep
+from .durable import forget, keep
 
 SHORT_PERIOD, RADIUS = 6, 3
 
@@ -48,7 +48,7 @@ def correct(inc: DataFrame, ends: DataFrame, k: int, nodes: DataFrame | None = N
     """
     inc = keep(inc.select("node", "edge", "side", "w", "neighbor", "hash", "occ"), "incidence")
     all_edges = _distinct_edges(inc)
-    maybe = suspects(inc, ends, k, nodes)
+    maybe = keep(suspects(inc, ends, k, nodes), "suspects")
     if hash_rules:
         hashes = all_edges.join(maybe, "edge", "left_semi").select("hash").distinct()
         shared = all_edges.join(hashes, "hash", "left_semi")
@@ -56,13 +56,14 @@ def correct(inc: DataFrame, ends: DataFrame, k: int, nodes: DataFrame | None = N
         members = shared.join(crowded, "hash", "left_semi")
     else:
         members = all_edges.join(maybe, "edge", "left_semi")
-    members = keep(members.select("edge", "hash", "occ", F.col("occ").alias("ab"), F.lit(True).alias("open")), "members")
+    members = table = keep(members.select("edge", "hash", "occ", F.col("occ").alias("ab"), F.lit(True).alias("open")), "members")
     # only nodes at a suspect edge are ever looked at again
     touched = inc.join(members.select("edge"), "edge", "left_semi").select("node").distinct()
     local = keep(inc.join(touched, "node", "left_semi").join(ends, "node", "left").select("node", "edge", "side", "w", "occ", F.coalesce("left_ends", F.lit(0)).alias("le"), F.coalesce("right_ends", F.lit(0)).alias("re")), "local")
     while True:
         new = keep(_hash_round(_flow_round(local, members), hash_rules), "members")
-        members = new.drop("moved")
+        forget(table)
+        table, members = new, new.drop("moved")
         if new.where("moved").isEmpty():
             break
     done = members.select("edge", "ab", "open")

@@ -90,9 +90,8 @@ def end_nodes(ends: DataFrame) -> DataFrame:
 
 def ball(seeds: DataFrame, inc: DataFrame, depth: int) -> DataFrame:
     """(node, d): nodes up to `depth` steps from the seeds; seeds are there even if isolated."""
-    seen = seeds.select("node", F.lit(0).alias("d")).distinct()
-    step = inc.select("node", "neighbor").where("node <> neighbor").distinct()
-    front = seen
+    front = seen = keep(seeds.select("node", F.lit(0).alias("d")).distinct(), "seeds")
+    step = inc.select("node", "neighbor").where("node <> neighbor")
     for d in range(1, depth + 1):
         new = front.join(step, "node").select(F.col("neighbor").alias("node")).distinct().join(seen, "node", "left_anti").select("node", F.lit(d).alias("d"))
         front = keep(new, "front")
