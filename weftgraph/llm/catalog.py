@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, licenses, line_dedup, ngram_join, oracles, quality, token_shards, toxicity, url_filter
+from . import bpe, decontaminate, html_text, licenses, line_dedup, ngram_join, oracles, phrases, prefix_trie, quality, suffix_dedup, token_shards, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,21 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.numbered(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_url_filter, op3_toxicity, op4_decontamination, op5_quality_rules, op6_line_dedup, op7_token_shards, op8_ngram_jaccard, op9_html_text, op10_byte_bpe)
+    found = (op1_license_scan, op2_url_filter, op3_toxicity, op4_decontamination, op5_quality_rules, op6_line_dedup, op7_token_shards, op8_ngram_jaccard, op9_html_text, op10_byte_bpe, op11_suffix_dedup, op12_prefix_trie, op13_phrases)
     return {f.__name__: f for f in found}
 
 

@@ -1,4 +1,4 @@
-"""The contracts of operators 4, 5, 6 and 8 as brute force in SQL, for small tables."""
+"""The contracts of operators 4, 5, 6, 8, 12 and 13 as brute force in SQL, for small tables."""
 
 from __future__ import annotations
 
@@ -69,4 +69,36 @@ step AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid
 near(rid, label) USING KEY (rid) AS (SELECT rid, doc_id FROM d UNION SELECT step.y, min(near.label) FROM near JOIN step ON step.x = near.rid JOIN recurring.near AS known ON known.rid = step.y WHERE near.label < known.label GROUP BY step.y)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, label AS component_id FROM d LEFT JOIN n USING (rid) JOIN near USING (rid)"""
 
-SQL = {"op4_decontamination": CONTAMINATION, "op5_quality_rules": QUALITY, "op6_line_dedup": LINES, "op8_ngram_jaccard": NEAR}
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT FOR x IN string_split(c::VARCHAR, '')]), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
+TRIE = f"""
+WITH t AS MATERIALIZED (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS x,
+  len(regexp_extract_all(coalesce(text, ''), {_SPACED})) AS w FROM conversations WHERE conv_id IS NOT NULL),
+h AS MATERIALIZED (SELECT c, {_CRC} % 4 AS h, c - c % 20 AS host FROM (SELECT DISTINCT c FROM t)),
+r AS MATERIALIZED (SELECT h.c, 0 AS own, pos, x, w FROM h JOIN t ON t.c = host AND pos <= h UNION ALL SELECT c, 1, pos, x, w FROM t JOIN h USING (c) WHERE pos > h),
+p AS MATERIALIZED (SELECT c, w, row_number() OVER s AS d, md5(string_agg(x, '') OVER s) AS k FROM r WINDOW s AS (PARTITION BY c ORDER BY own, pos)),
+m AS MATERIALIZED (SELECT c, w, d, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), '') AS up FROM p UNION ALL SELECT c, 0, 0, '', NULL FROM h),
+ends AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(k, d) AS k FROM m GROUP BY c) GROUP BY k),
+n AS MATERIALIZED (SELECT k, any_value(d) AS d, any_value(up) AS up, any_value(w) AS w, min(c) AS c, count(*) AS n FROM m GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT m.k, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n - 1) * n.w)::BIGINT AS saved FROM n LEFT JOIN kids USING (k) JOIN m ON m.c = n.c AND m.d <= n.d GROUP BY m.k)
+SELECT n.c AS conv_id, n.d AS depth, parent.c AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n JOIN below USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k) LEFT JOIN n parent ON parent.k = n.up"""
+
+_SCORE = "(1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT"
+
+PHRASES = f"""
+WITH p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, 1 AS k, unnest(w) AS phrase FROM p
+  UNION ALL SELECT lang, 2, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM p
+  UNION ALL SELECT lang, 3, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) FROM p) GROUP BY ALL HAVING count(*) >= 10),
+c AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT c.lang, c.phrase, c.k, cut, a, l.f AS l, r.f AS r FROM (SELECT *, unnest(range(1, k)) AS cut FROM c) c
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:cut], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+scored AS (SELECT lang, phrase, k, a, l, r, {_SCORE} AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY {_SCORE}, cut) = 1),
+over AS (SELECT lang, phrase, max(a) AS whole FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT scored.* FROM scored LEFT JOIN over USING (lang, phrase) WHERE whole IS NULL OR 100 * whole < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+SQL = {"op4_decontamination": CONTAMINATION, "op5_quality_rules": QUALITY, "op6_line_dedup": LINES, "op8_ngram_jaccard": NEAR, "op12_prefix_trie": TRIE, "op13_phrases": PHRASES}

@@ -22,20 +22,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return keep(df, name)
 
 
+#: From this size on, the planner's figure says only that it has none.
+UNKNOWN = 1 << 60
+
+
 def input_bytes(df: DataFrame) -> int:
     """Size of the tables under df as the planner knows it, without running a job. Only the leaves are added up: above a
-    join, the planner multiplies."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
-    except Exception:  # noqa: BLE001  no statistics: assume a medium input
-        return 1 << 30
+    join, the planner multiplies. Where a leaf has no statistics, one job adds up the texts of df."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) < UNKNOWN:
+        return sum(sizes)
+    texts = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)).cast("bigint") for n, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(F.coalesce(F.sum(sum(texts, F.lit(8 * len(df.columns)).cast("bigint"))), F.lit(0))).first()[0])
 
 
-def block_count(df: DataFrame, each: int = 8 << 20, least: int = 16, most: int = 1 << 17) -> int:
-    """How many blocks an input needs at `each` bytes a block; a power of two."""
+def block_count(df: DataFrame, each: int = 4 << 20, least: int = 16) -> int:
+    """How many blocks an input needs at `each` bytes a block; a power of two, with no upper bound."""
     n, size = least, input_bytes(df)
-    while n < most and n * each < size:
+    while n * each < size:
         n *= 2
     return n
 
