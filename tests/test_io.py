@@ -14,7 +14,7 @@ from weftgraph.functions import kmers as K
 from weftgraph.operators import graph as G
 from weftgraph.operators import reads as R
 from weftgraph.operators import tables as T
-from weftgraph.sources import dot, fastq, store
+from weftgraph.sources import bzip, dot, fastq, store
 from weftgraph.streaming import ingest
 
 #: A file of 125 reads, if there is one.
@@ -51,6 +51,86 @@ def test_fastq_files(spark, tmp_path, end):
         fastq.read_fastq(spark, f"{tmp_path}/nothing.fastq").count()
 
 
+@pytest.mark.parametrize("level", [1, 9])
+def test_bzip2_in_ranges(spark, tmp_path, level):
+    rows, text = made(20_000, seed=level)
+    data = text.encode()
+    # a stream of its own every 300 kB, as parallel packers write, and marks in the text that aren't blocks
+    packed = b"".join(bz2.compress(data[i : i + 300_000], level) for i in range(0, len(data), 300_000))
+    path = str(tmp_path / "a.fastq.bz2")
+    for content in (packed, bz2.compress(data, level)):
+        (tmp_path / "a.fastq.bz2").write_bytes(content)
+        for split in (len(content) // 3 + 1, 9_973):
+            parts = [list(fastq.records(path, a, min(len(content), a + split))) for a in range(0, len(content), split)]
+            assert [x for part in parts for x in part] == rows
+        assert level > 1 or sum(map(bool, parts)) > 3
+        got = fastq.read_fastq(spark, path, packed_split=40_000)
+        assert got.rdd.getNumPartitions() == -(-len(content) // 40_000)
+        assert sorted(tuple(x) for x in got.collect()) == sorted(rows)
+    (tmp_path / "a.fastq.bz2").write_bytes(bz2.compress(b""))
+    assert fastq.read_fastq(spark, path).count() == 0
+
+
+def test_bzip2_marks_at_every_bit():
+    packed = bz2.compress(os.urandom(3_000_000), 9)
+    marks = bzip._marks(packed, 0)
+    assert [m for _, m in marks] == [bzip.BLOCK] * (len(marks) - 1) + [bzip.END] and len(marks) == 5
+    for shift in range(8):
+        value = (1 << 9 | 1) << 48 | bzip.BLOCK
+        data = (value << 40 + shift).to_bytes(14, "big")
+        assert [m for m in bzip._marks(data, 7) if m[1] == bzip.BLOCK] == [(8 * 7 + 8 * 14 - 40 - shift - 48, bzip.BLOCK)]
+
+
+def _scanned(df):
+    """Rows that the scans of a table gave, once it was run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName().startswith("AdaptiveSparkPlan") else plan
+    text, total, waiting = plan.toString(), 0, [plan]
+    while waiting:
+        node = waiting.pop()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            waiting.append(node.plan())
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            total += node.metrics().apply("numOutputRows").value()
+        waiting += [node.children().apply(i) for i in range(node.children().size())]
+    return total, text
+
+
+def test_lookups_in_a_clustered_table_read_few_rows_and_shuffle_only_probes(spark, tmp_path):
+    table = spark.range(200_000).select((F.col("id") * 7919 % 1_000_003).alias("key"), (F.col("id") % 5 + 1).alias("cnt"))
+    store.save_clustered(table, f"{tmp_path}/c", buckets=4, rows_per_group=2000)
+    stored = store.open_clustered(spark, f"{tmp_path}/c")
+    known = {r.key: r.cnt for r in table.collect()}
+    for keys in ([], [5], list(range(0, 1000, 40)), list(range(0, 1_000_000, 50_021)) * 2 + [None]):
+        probes = spark.createDataFrame([(k,) for k in keys], "key long")
+        found = store.lookup(probes, stored)
+        assert sorted((str(k), known.get(k, 0)) for k in keys) == sorted((str(r.key), r.cnt) for r in found.collect())
+        read, _ = _scanned(found)
+        assert read <= 4000 * len(keys) and (len(keys) > 30 or read < 100_000)
+    many = spark.range(0, 1_000_000, 9).select(F.col("id").alias("key"))
+    found = store.lookup(many, stored)
+    _, plan = _scanned(found)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert found.agg(F.sum("cnt")).first()[0] == sum(known.get(k, 0) for k in range(0, 1_000_000, 9))
+    # another session knows the table from its folder
+    spark.sql(f"DROP TABLE {store._table_name(f'{tmp_path}/c')}")
+    assert store.open_clustered(spark, f"{tmp_path}/c").count() == 200_000
+    with pytest.raises(Exception, match="no null keys"):
+        store.save_clustered(spark.createDataFrame([(None, 1)], "key long, cnt long"), f"{tmp_path}/n")
+
+
+def test_clustered_tables_merge_without_a_shuffle(spark, tmp_path):
+    tables = [spark.range(i * 1000, 30_000 + i * 1000).select((F.col("id") * 7919 % 100_003).alias("key"), (F.col("id") % 5 + i).alias("cnt")) for i in range(3)]
+    for i, t in enumerate(tables):
+        store.save_clustered(t, f"{tmp_path}/{i}", buckets=8)
+    merged = store.merge(*[store.open_clustered(spark, f"{tmp_path}/{i}") for i in range(3)])
+    _, plan = _scanned(merged)
+    assert "Exchange" not in plan
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, T.merge(*tables).collect()))
+    assert merged.count() == merged.select("key").count() == merged.select("key").distinct().count() == 32_000 and merged.agg(F.sum("cnt")).first()[0] == sum(t.agg(F.sum("cnt")).first()[0] for t in tables)
+
+
 @pytest.mark.skipif(not os.path.exists(SAMPLE), reason="no sample file here")
 def test_sample_file(spark):
     k = 28

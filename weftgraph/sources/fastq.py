@@ -1,4 +1,4 @@
-"""FASTQ as a data source: plain files in byte ranges, gzip and bzip2 files whole; any number of files or patterns.
+"""FASTQ as a data source: plain and bzip2 files in byte ranges, gzip files whole; any number of files or patterns.
 
 spark.dataSource.register(FastqSource); spark.read.format("fastq").load("dir/*.fastq")
 Columns: name, seq, qual; paths are what pyarrow's file systems open.
@@ -7,15 +7,17 @@ Columns: name, seq, qual; paths are what pyarrow's file systems open.
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of a plain file for each partition; how much is read at once.
-SPLIT, CHUNK = 64 << 20, 8 << 20
+from .bzip import BlockStream
+
+#: Bytes of a plain file for each partition, and of a bzip2 file, which has some five times as many inside; how much is read at once.
+SPLIT, PACKED_SPLIT, CHUNK = 64 << 20, 16 << 20, 8 << 20
 SCHEMA = "name string, seq string, qual string"
 
 
@@ -76,65 +78,78 @@ class _Lines:
 
 
 def records(path: str, start: int = 0, stop: int | None = None) -> Iterator[tuple[str, str, str]]:
-    """(name, seq, qual) of the records that begin in [start, stop)."""
+    """(name, seq, qual) of the records that begin in [start, stop).
+
+    Of a bzip2 file, these are compressed bytes, and a record belongs to the range that has the block with the line end before
+    it. Its places are counted from the first block of the range, so there a record begins behind place 0.
+    """
     where, root = _open(path)
     codec = _codec(path)
-    raw = where.open_input_stream(root, compression=codec) if codec else where.open_input_file(root)
+    raw = where.open_input_stream(root, compression=codec) if codec == "gzip" else where.open_input_file(root)
     with raw:
-        if start:
-            raw.seek(start - 1)
-        lines = iter(_Lines(raw, start - 1 if start else 0))
-        held: list[tuple[int, bytes]] = []
-        if start:
-            next(lines, None)  # the rest of the line that holds the byte before the range
-        synced = start == 0
-        for at, line in lines:
-            if synced and not held and not line:
-                continue
-            held.append((at, line))
-            if not synced and len(held) < 8:
-                continue
-            if not synced:
-                for i in range(4):
-                    if _is_record([x for _, x in held[i : i + 4]]):
-                        held = held[i:]
-                        synced = True
-                        break
-                else:
-                    if any(x.startswith(b"@") for _, x in held[:4]):
-                        held = held[1:]
-                    else:
-                        held = held[4:]
-                    continue
-            while len(held) >= 4:
-                if stop is not None and held[0][0] >= stop:
-                    return
-                four, held = held[:4], held[4:]
-                yield tuple(x.decode("latin-1") for x in (four[0][1][1:], four[1][1], four[3][1]))  # type: ignore[misc]
+        if codec == "bz2":
+            stream = BlockStream(raw, start, stop)
+            yield from _records(stream, 0, bool(start), lambda at: stream.limit is not None and at > stream.limit)
+        else:
+            if start:
+                raw.seek(start - 1)
+            yield from _records(raw, start - 1 if start else 0, bool(start), lambda at: stop is not None and at >= stop)
+
+
+def _records(stream, first: int, inside: bool, past: Callable[[int], bool]) -> Iterator[tuple[str, str, str]]:
+    """Records of a stream from place `first` until one begins `past` its end. inside: the line there may have begun before,
+    as may the record."""
+    lines = iter(_Lines(stream, first))
+    held: list[tuple[int, bytes]] = []
+    if inside:
+        next(lines, None)  # the rest of the line that holds the byte before the range
+    synced = not inside
+    for at, line in lines:
+        if synced and not held and not line:
+            continue
+        held.append((at, line))
+        if not synced and len(held) < 8:
+            continue
         if not synced:
-            for i in range(len(held)):
+            for i in range(4):
                 if _is_record([x for _, x in held[i : i + 4]]):
                     held = held[i:]
+                    synced = True
                     break
             else:
+                if any(x.startswith(b"@") for _, x in held[:4]):
+                    held = held[1:]
+                else:
+                    held = held[4:]
+                continue
+        while len(held) >= 4:
+            if past(held[0][0]):
                 return
-        while len(held) >= 4 and (stop is None or held[0][0] < stop):
             four, held = held[:4], held[4:]
             yield tuple(x.decode("latin-1") for x in (four[0][1][1:], four[1][1], four[3][1]))  # type: ignore[misc]
+    if not synced:
+        for i in range(len(held)):
+            if _is_record([x for _, x in held[i : i + 4]]):
+                held = held[i:]
+                break
+        else:
+            return
+    while len(held) >= 4 and not past(held[0][0]):
+        four, held = held[:4], held[4:]
+        yield tuple(x.decode("latin-1") for x in (four[0][1][1:], four[1][1], four[3][1]))  # type: ignore[misc]
 
 
 class FastqReader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = [p for p in options.get("path", "").split(",") if p]
         self.split = int(options.get("split", SPLIT))
+        self.packed_split = int(options.get("packed_split", PACKED_SPLIT))
 
     def partitions(self) -> list[Split]:
         out = []
         for path, size in files(self.paths):
-            if _codec(path):
-                out.append(Split(path, 0, None))
-            else:
-                out += [Split(path, a, min(size, a + self.split)) for a in range(0, max(size, 1), self.split)]
+            each = {"gzip": max(size, 1), "bz2": self.packed_split}.get(_codec(path), self.split)
+            out += [Split(path, a, min(size, a + each) if _codec(path) != "gzip" else None) for a in range(0, max(size, 1), each)]
         return out
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
@@ -166,7 +181,7 @@ class FastqSource(DataSource):
         return FastqReader(self.options)
 
 
-def read_fastq(spark: SparkSession, *paths: str, split: int = SPLIT) -> DataFrame:
+def read_fastq(spark: SparkSession, *paths: str, split: int = SPLIT, packed_split: int = PACKED_SPLIT) -> DataFrame:
     """reads(name, seq, qual) of all files, directories or patterns."""
     spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("split", split).load(",".join(paths))
+    return spark.read.format("fastq").option("split", split).option("packed_split", packed_split).load(",".join(paths))
