@@ -2,18 +2,21 @@
 
 Edges near a node out of balance, or near a node of short period, might be wrong, as might all that share a hash with
 them. Every round looks at all nodes at once and settles edges by three rules; edges of one hash share its count, which
-settles more (whole graphs only). Proposals for one edge combine by their minimum. Each round is one small table.
+settles more (whole graphs only). Proposals for one edge combine by their minimum. A round reads only the edges that are open
+and those that were just settled: what is settled moves into sums that nodes and hashes carry along, so rounds get smaller.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import kmers as K
 
 from . import graph as G
-from .durable import forget, keep
+from .durable import keep
 
 SHORT_PERIOD, RADIUS = 6, 3
 
@@ -56,44 +59,64 @@ def correct(inc: DataFrame, ends: DataFrame, k: int, nodes: DataFrame | None = N
         members = shared.join(crowded, "hash", "left_semi")
     else:
         members = all_edges.join(maybe, "edge", "left_semi")
-    members = table = keep(members.select("edge", "hash", "occ", F.col("occ").alias("ab"), F.lit(True).alias("open")), "members")
-    # only nodes at a suspect edge are ever looked at again
-    touched = inc.join(members.select("edge"), "edge", "left_semi").select("node").distinct()
-    local = keep(inc.join(touched, "node", "left_semi").join(ends, "node", "left").select("node", "edge", "side", "w", "occ", F.coalesce("left_ends", F.lit(0)).alias("le"), F.coalesce("right_ends", F.lit(0)).alias("re")), "local")
+    members = members.select("edge", "hash")
+    table = keep(_opened(inc, members, ends), "open")
+    done = []
     while True:
-        new = keep(_hash_round(_flow_round(local, members), hash_rules), "members")
-        forget(table)
-        table, members = new, new.drop("moved")
-        if new.where("moved").isEmpty():
+        # a round costs three shuffles of the edges that are still open, and of those that the last round settled
+        seen = Observation()
+        table = keep(_hash_round(_flow_round(table), hash_rules).observe(seen, F.count_if("moved").alias("moved")), "open")
+        done.append(table)
+        if not seen.get["moved"]:
             break
-    done = members.select("edge", "ab", "open")
+    settled = reduce(lambda x, y: x.unionByName(y), [t.where("not open").select("edge", "ab", "open") for t in done] + [table.where("open").select("edge", "ab", "open")])
     cnt = F.coalesce("ab", "occ")
-    return all_edges.join(done, "edge", "left").select("edge", "occ", cnt.alias("cnt"), (F.col("occ") - cnt).alias("amount"), (F.coalesce("open", F.lit(False)) & (cnt > 0)).alias("unresolved"))
+    return all_edges.join(settled, "edge", "left").select("edge", "occ", cnt.alias("cnt"), (F.col("occ") - cnt).alias("amount"), (F.coalesce("open", F.lit(False)) & (cnt > 0)).alias("unresolved"))
+
+
+#: What an edge carries of each of its nodes: `left` and `right` are the flow on each side that is settled, less the read ends.
+END = ["node", "side", "w", "left", "right", "no_left_ends", "no_right_ends"]
+#: What an edge carries of its own: of its hash, how much and how many edges are settled.
+OWN = ["edge", "hash", "occ", "ab", "open", "spent", "settled"]
+
+
+def _opened(inc: DataFrame, members: DataFrame, ends: DataFrame) -> DataFrame:
+    """A row for each edge that might be wrong, with its nodes; all other edges at these nodes are in the nodes' sums."""
+    marked = inc.select("node", "edge", "side", "w", "hash", "occ").join(members.select("edge", F.lit(True).alias("open")), "edge", "left").withColumn("open", F.coalesce("open", F.lit(False)))
+    fixed = lambda s: F.coalesce(F.sum(F.when((F.col("side") == s) & ~F.col("open"), F.col("w") * F.col("occ"))), F.lit(0))
+    nodes = marked.groupBy("node").agg(fixed("L").alias("left"), fixed("R").alias("right"), F.max("open").alias("any")).where("any").join(ends, "node", "left").na.fill(0, ["left_ends", "right_ends"])
+    nodes = nodes.select("node", (F.col("left") - F.col("left_ends")).alias("left"), (F.col("right") - F.col("right_ends")).alias("right"), (F.col("left_ends") == 0).alias("no_left_ends"), (F.col("right_ends") == 0).alias("no_right_ends"))
+    rows = marked.where("open").join(nodes, "node")
+    zero = F.lit(0).cast("bigint")
+    return rows.groupBy("edge").agg(F.first("hash").alias("hash"), F.first("occ").alias("occ"), F.collect_list(F.struct(*END)).alias("ends")).select("edge", "hash", "occ", F.col("occ").alias("ab"), F.lit(True).alias("open"), zero.alias("spent"), zero.alias("settled"), "ends")
 
 
-def _flow_round(local: DataFrame, members: DataFrame) -> DataFrame:
-    state = members.select("edge", F.col("ab").alias("now"), "open")
-    rows = local.join(state, "edge", "left").select("node", "edge", "side", "w", "le", "re", F.coalesce("now", "occ").alias("ab"), F.coalesce("open", F.lit(False)).alias("open"))
-    rows = rows.withColumn("doubt", F.col("open") & (F.col("ab") > 0))
-    flow = lambda s, e: F.coalesce(F.sum(F.when(F.col("side") == s, F.col("w") * F.col("ab"))), F.lit(0)) - F.first(e)
+def _flow_round(edges: DataFrame) -> DataFrame:
+    """Edges still open, after every node at once has made its proposals; edges that the last round settled move into the sums of
+    their nodes and are gone."""
+    rows = edges.select(*OWN, F.explode("ends").alias("x")).select(*OWN, "x.*").withColumn("doubt", F.col("open") & (F.col("ab") > 0))
+    side = lambda s, also=True: F.coalesce(F.sum(F.when((F.col("side") == s) & also, F.col("w") * F.col("ab"))), F.lit(0))
     doubts = lambda s: F.count_if(F.col("doubt") & (F.col("side") == s))
     per_node = rows.groupBy("node").agg(
-        flow("L", "le").alias("lv"),
-        flow("R", "re").alias("rv"),
+        *[F.first(c).alias(c) for c in ("left", "right", "no_left_ends", "no_right_ends")],
+        side("L").alias("own_l"),
+        side("R").alias("own_r"),
+        side("L", ~F.col("open")).alias("closed_l"),
+        side("R", ~F.col("open")).alias("closed_r"),
         doubts("L").alias("nl"),
         doubts("R").alias("nr"),
         F.count_if("doubt").alias("n"),
-        F.first("le").alias("l_ends"),
-        F.first("re").alias("r_ends"),
         # a node has eight edges at most
-        F.collect_list(F.struct("edge", "side", "w", "ab", "open", "doubt")).alias("e"),
+        F.collect_list(F.struct(*OWN, "side", "w", "doubt")).alias("e"),
     )
-    per_node = per_node.where("n > 0").withColumn("disc", F.col("rv") - F.col("lv"))
-    balanced = F.col("disc") == 0
-    right_empty = ~balanced & (F.col("lv") == 0) & (F.col("r_ends") == 0)
-    left_empty = ~balanced & ~right_empty & (F.col("rv") == 0) & (F.col("l_ends") == 0)
+    per_node = per_node.withColumns({"lv": F.col("left") + F.col("own_l"), "rv": F.col("right") + F.col("own_r")})
+    per_node = per_node.withColumns({"disc": F.col("rv") - F.col("lv"), "left": F.col("left") + F.col("closed_l"), "right": F.col("right") + F.col("closed_r")})
+    asked = F.col("n") > 0
+    balanced = asked & (F.col("disc") == 0)
+    right_empty = asked & ~balanced & (F.col("lv") == 0) & F.col("no_right_ends")
+    left_empty = asked & ~balanced & ~right_empty & (F.col("rv") == 0) & F.col("no_left_ends")
     single = ~balanced & ~right_empty & ~left_empty & (F.col("n") == 1)
-    each = per_node.select("*", F.explode("e").alias("x")).select("*", "x.*").where("open")
+    each = per_node.select("*", F.explode("e").alias("x")).drop("e").select("*", "x.*").where("open")
     implied = F.when(F.col("side") == "L", F.col("disc")).when(F.col("side") == "R", -F.col("disc")).otherwise(0)
     implied = F.floor(implied / F.col("w")).cast("bigint")
     target = (
@@ -101,21 +124,22 @@ def _flow_round(local: DataFrame, members: DataFrame) -> DataFrame:
         .when((right_empty & (F.col("side") == "R")) | (left_empty & (F.col("side") == "L")), F.lit(0))
         .when(single & F.col("doubt") & (implied < 0) & (F.col("ab") + implied >= 0), F.col("ab") + implied)
     )
-    proposals = each.select("edge", target.cast("bigint").alias("target")).where("target is not null").groupBy("edge").agg(F.min("target").alias("target"))
-    joined = members.join(proposals, "edge", "left")
-    return joined.select("edge", "hash", "occ", F.coalesce("target", "ab").alias("ab"), (F.col("open") & F.col("target").isNull()).alias("open"), F.col("target").isNotNull().alias("moved"))
+    proposed = each.withColumn("target", target.cast("bigint")).groupBy("edge").agg(*[F.first(c).alias(c) for c in OWN if c not in ("edge", "open")], F.min("target").alias("target"), F.collect_list(F.struct(*END)).alias("ends"))
+    moved = F.col("target").isNotNull()
+    return proposed.select("edge", "hash", "occ", F.coalesce("target", "ab").alias("ab"), (~moved).alias("open"), "spent", "settled", "ends", moved.alias("moved"))
 
 
-def _hash_round(members: DataFrame, hash_rules: bool) -> DataFrame:
+def _hash_round(edges: DataFrame, hash_rules: bool) -> DataFrame:
     if not hash_rules:
-        return members
-    spent = members.groupBy("hash").agg(F.coalesce(F.sum(F.when(~F.col("open"), F.col("ab"))), F.lit(0)).alias("spent"), F.count_if(~F.col("open")).alias("settled"))
-    budget = F.greatest(F.col("occ") - F.col("spent"), F.lit(0))
-    held = members.join(spent, "hash").withColumn("new", F.when(F.col("open") & (F.col("settled") > 0), F.least("ab", budget)).otherwise(F.col("ab"))).withColumn("budget", budget)
-    wanted = held.where("open").groupBy("hash").agg(F.sum("new").alias("wanted"))
-    held = held.join(wanted, "hash", "left")
-    closes = F.col("open") & (F.col("settled") > 0) & (F.col("wanted") == F.col("budget"))
-    return held.select("edge", "hash", "occ", F.col("new").alias("ab"), (F.col("open") & ~closes).alias("open"), (F.col("moved") | closes | (F.col("new") != F.col("ab"))).alias("moved"))
+        return edges
+    same = Window.partitionBy("hash")
+    closed = lambda x: F.coalesce(F.sum(F.when(~F.col("open"), x)).over(same), F.lit(0))
+    held = edges.withColumns({"spent": F.col("spent") + closed(F.col("ab")), "settled": F.col("settled") + closed(F.lit(1))})
+    bound = F.col("open") & (F.col("settled") > 0)
+    held = held.withColumn("budget", F.greatest(F.col("occ") - F.col("spent"), F.lit(0))).withColumn("new", F.when(bound, F.least("ab", "budget")).otherwise(F.col("ab")))
+    closes = bound & (F.sum(F.when(F.col("open"), F.col("new"))).over(same) == F.col("budget"))
+    held = held.withColumn("closes", closes)
+    return held.select("edge", "hash", "occ", F.col("new").alias("ab"), (F.col("open") & ~F.col("closes")).alias("open"), "spent", "settled", "ends", (F.col("moved") | F.col("closes") | (F.col("new") != F.col("ab"))).alias("moved"))
 
 
 def correct_with_high_probability(inc: DataFrame, edges: DataFrame, ends: DataFrame, k: int) -> DataFrame:

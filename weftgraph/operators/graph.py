@@ -6,12 +6,20 @@ tables are probed for the eight extensions of a node.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.functions import kmers as K
 
 from .durable import forget, keep
+from .reads import canonical_array, reverse_complement_array
+
+U = np.uint64
+_SIDES = np.array(["", "L", "R", "D"])
 
 
 def incidence(edges: DataFrame, k: int) -> DataFrame:
@@ -23,17 +31,33 @@ def incidence(edges: DataFrame, k: int) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, k: int) -> DataFrame:
-    """(node, edge): the distinct canonical edges that a node could have, eight at most."""
-    n = F.col("node")
-    eight = F.array_distinct(F.array(*[K.packed_canonical(e, k) for b in range(4) for e in (K.left_extension(n, b, k), K.right_extension(n, b))]))
-    return nodes.select("node", F.explode(eight).alias("edge"))
+    """(node, edge, side, w, neighbor): the distinct canonical edges that a node could have, eight at most, as incidence has them.
+
+    Whole batches at a time in arrays: as column expressions, eight reverse complements a row and what follows take a second to
+    plan each time, and walks plan one for each level.
+    """
+    low = U((1 << (2 * (k - 1))) - 1)
+
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            every = [canonical_array(e, k) for b in range(4) for e in (node | U(b << (2 * (k - 1))), (node << U(2)) & U((1 << (2 * k)) - 1) | U(b))]
+            edge = np.sort(np.stack(every, axis=1), axis=1)
+            new = np.ones(edge.shape, bool)
+            new[:, 1:] = edge[:, 1:] != edge[:, :-1]
+            node, edge = np.repeat(node, new.sum(axis=1)), edge[new]
+            head, tail, back = edge >> U(2), edge & low, reverse_complement_array(node, k - 1)
+            side = ((tail == node) | (head == back)) + 2 * ((head == node) | (tail == back))
+            l, r = canonical_array(head, k - 1), canonical_array(tail, k - 1)
+            cols = [pa.array(x.view(np.int64)) for x in (node, edge, np.where(l == node, r, l))]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(_SIDES[side]), pa.array(1 + (l == r), pa.int32())], names=["node", "edge", "neighbor", "side", "w"])
+
+    return nodes.select(F.col("node").cast("bigint")).mapInArrow(extend, "node bigint, edge bigint, neighbor bigint, side string, w int").select("node", "edge", "side", "w", "neighbor")
 
 
 def probe(nodes: DataFrame, sketch: DataFrame, k: int, hash_of) -> DataFrame:
     """(node, edge, side, w, neighbor, hash, occ) of the edges that a lossy table shows at these nodes."""
-    rows = candidates(nodes, k).withColumn("hash", hash_of(F.col("edge"))).join(sketch.select("hash", F.col("cnt").alias("occ")), "hash")
-    l, r = K.left_node(F.col("edge"), k), K.right_node(F.col("edge"), k)
-    return rows.select("node", "edge", K.side(F.col("node"), F.col("edge"), k).alias("side"), F.when(l == r, 2).otherwise(1).alias("w"), F.when(F.col("node") == l, r).otherwise(l).alias("neighbor"), "hash", "occ")
+    return candidates(nodes, k).withColumn("hash", hash_of(F.col("edge"))).join(sketch.select("hash", F.col("cnt").alias("occ")), "hash").select("node", "edge", "side", "w", "neighbor", "hash", "occ")
 
 
 def abundance(edges: DataFrame, corrections: DataFrame) -> DataFrame:
@@ -178,11 +202,16 @@ def reachable_in_sketch(sketch: DataFrame, ends: DataFrame, k: int, hash_of, kno
     front = seen = keep(starts if known is None else starts.unionByName(known.select("node")).distinct(), "seen")
     found, rounds = None, 0
     while True:
-        rows = keep(probe(front, sketch, k, hash_of), "probed")
-        found = rows if found is None else found.unionByName(rows)
-        front = keep(rows.select(F.col("neighbor").alias("node")).distinct().join(seen, "node", "left_anti"), "front")
-        if front.isEmpty():
+        # a round is one job; a node that was walked to has the edge it was reached by, so it is among the rows found
+        count = Observation()
+        rows = keep(probe(front, sketch, k, hash_of).observe(count, F.count(F.lit(1)).alias("n")), "probed")
+        if rounds and not count.get["n"]:
+            forget(rows)
             return found
-        seen, rounds = seen.unionByName(front), rounds + 1
+        found = rows if found is None else found.unionByName(rows)
+        if rounds:
+            seen = seen.unionByName(rows.select("node").distinct())
+        front = rows.select(F.col("neighbor").alias("node")).distinct().join(seen, "node", "left_anti")
+        rounds += 1
         if rounds % 16 == 0:  # plans stay short
             seen, found = keep(seen, "seen"), keep(found, "found")
