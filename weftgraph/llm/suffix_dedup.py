@@ -19,6 +19,7 @@ step 2 only choose; a window goes if 96-bit hashes of whole strings are equal.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -63,57 +64,117 @@ def _hash(data: np.ndarray, at: np.ndarray, n: int, lane: int = 0) -> np.ndarray
     return h ^ (h >> U(29))
 
 
-def _in_parts(f: Callable[[np.ndarray], np.ndarray], at: np.ndarray, size: int = 1 << 17) -> np.ndarray:
+def _in_parts(f: Callable[[np.ndarray], np.ndarray], at: np.ndarray, size: int = 1 << 16) -> np.ndarray:
     return np.concatenate([f(at[i : i + size]) for i in range(0, max(1, len(at)), size)])
 
 
-def _keys(data: np.ndarray, at: np.ndarray, n: int, bits: int = 0) -> np.ndarray:
-    """Keys of the n bytes at each place: 96 bits as (high, low), or only SAMPLED of the high ones behind the `bits` of a bucket."""
-    out = np.empty(len(at), [("hi", np.uint64), ("lo", np.uint32)])
-    out["hi"] = _in_parts(lambda x: _hash(data, x, n), at)
-    if bits:
-        out["hi"] &= ~U((1 << max(0, 64 - SAMPLED - bits)) - 1)
-        out["lo"] = 0
-    else:
-        out["lo"] = (_in_parts(lambda x: _hash(data, x, n, 1), at) >> U(32)).astype(np.uint32)
+def _every(data: np.ndarray, n: int, lane: int, size: int = 1 << 15) -> np.ndarray:
+    """64-bit hash of the n bytes at every place, n >= 8: hashes of stretches of 8 bytes, then of 16, 32 and so on from two halves."""
+    factor, other = (U(x) for x in _LANES[lane])
+    out = np.empty(max(0, len(data) - n + 1), np.uint64)
+
+    def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * factor
+        x ^= x >> U(31)
+        x += b
+        x *= other
+        x ^= x >> U(32)
+        return x
+
+    for lo in range(0, len(out), size):
+        part = np.ascontiguousarray(data[lo : lo + size + n - 1])
+        h, m = np.ndarray((len(part) - 7,), "<u8", part, strides=(1,)).copy(), 8
+        while 2 * m <= n:
+            h, m = both(h[:-m], h[m:]), 2 * m
+        out[lo : lo + size] = both(h[: len(h) - (n - m)], h[n - m :])
     return out
 
 
-def _order(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys["hi"], kind="stable")
-    hi, lo = keys["hi"][order], keys["lo"][order]
-    if ((hi[1:] == hi[:-1]) & (lo[1:] != lo[:-1])).any():
-        return np.lexsort((keys["lo"], keys["hi"]))
-    return order
+@dataclass
+class _Keys:
+    """Keys of strings: hi, and lo for another 32 bits, or nothing."""
+
+    hi: np.ndarray
+    lo: np.ndarray | None
+
+    def __len__(self) -> int:
+        return len(self.hi)
+
+    def __getitem__(self, at) -> _Keys:
+        return _Keys(self.hi[at], None if self.lo is None else self.lo[at])
+
+    def order(self) -> np.ndarray:
+        order = np.argsort(self.hi)
+        if self.lo is not None:
+            hi, lo = self.hi[order], self.lo[order]
+            if ((hi[1:] == hi[:-1]) & (lo[1:] != lo[:-1])).any():
+                return np.lexsort((self.lo, self.hi))
+        return order
+
+    def new(self) -> np.ndarray:
+        """Which differ from the one before; of keys in order."""
+        out = np.ones(len(self), bool)
+        out[1:] = self.hi[1:] != self.hi[:-1]
+        if self.lo is not None:
+            out[1:] |= self.lo[1:] != self.lo[:-1]
+        return out
+
+    def packed(self, more: np.ndarray | None = None) -> bytes:
+        """Keys in order, not none, and a byte more for each: steps from key to key in as few bytes as the largest takes, and no
+        compression, since hashes have none to gain."""
+        used = int(np.bitwise_or.reduce(self.hi))
+        shift = max(0, (used & -used).bit_length() - 1)
+        step = np.diff(self.hi) >> U(shift)
+        width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+        head = np.array([len(self), shift, width, self.lo is not None, more is not None], np.int64)
+        body = [head.tobytes(), self.hi[:1].tobytes(), np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()]
+        return b"".join([*body, b"" if self.lo is None else self.lo.tobytes(), b"" if more is None else more.astype(np.uint8).tobytes()])
+
+    @classmethod
+    def of(cls, blob: bytes) -> tuple[_Keys, np.ndarray | None]:
+        n, shift, width, wide, more = np.frombuffer(blob, np.int64, 5).tolist()
+        at = 48
+        step = np.zeros((n, 8), np.uint8)
+        step[1:, :width] = np.frombuffer(blob, np.uint8, (n - 1) * width, at).reshape(n - 1, width)
+        at += (n - 1) * width
+        hi = step.view(np.uint64).reshape(-1) << U(shift)
+        hi[0] = np.frombuffer(blob, np.uint64, 1, 40)[0]
+        lo = np.frombuffer(blob, np.uint32, n, at) if wide else None
+        return cls(np.cumsum(hi, dtype=np.uint64), lo), np.frombuffer(blob, np.uint8, n, at + 4 * n * wide) if more else None
+
+    @classmethod
+    def together(cls, parts: list[_Keys]) -> _Keys:
+        wide = any(p.lo is not None for p in parts)
+        none = [np.empty(0, np.uint32)]
+        return cls(np.concatenate([np.empty(0, np.uint64), *(p.hi for p in parts)]), np.concatenate([*none, *(p.lo for p in parts if p.lo is not None)]) if wide else None)
 
 
-def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys, first place of each, rank of every place)"""
-    order = _order(keys)
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[order][1:] != keys[order][:-1]
-    rank = np.empty(len(keys), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return keys[order[new]], order[new], rank
+def _sample_keys(data: np.ndarray, at: np.ndarray, n: int, bits: int) -> _Keys:
+    """Keys of the n bytes at each place: SAMPLED bits behind the `bits` of a bucket."""
+    return _Keys(_in_parts(lambda x: _hash(data, x, n), at) & ~U((1 << max(0, 64 - SAMPLED - bits)) - 1), None)
 
 
-def _packed(keys: np.ndarray, *more: np.ndarray) -> bytes:
-    return pack(np.diff(keys["hi"], prepend=U(0)), keys["lo"], *more)
+def _wide_keys(data: np.ndarray, at: np.ndarray, n: int, dense: bool = False) -> _Keys:
+    """96-bit keys of the n bytes at each place. dense: hash all places, as most are asked for; another key than otherwise."""
+    if n < 8 or not dense:
+        hi, lo = (_in_parts(lambda x, lane=lane: _hash(data, x, n, lane), at) for lane in (0, 1))
+    else:
+        hi, lo = (_every(data, n, lane)[at] for lane in (0, 1))
+    return _Keys(hi, (lo >> U(32)).astype(np.uint32))
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, list[np.ndarray]]:
-    step, lo, *more = unpack(blob)
-    keys = np.empty(len(step), [("hi", np.uint64), ("lo", np.uint32)])
-    keys["hi"], keys["lo"] = np.cumsum(step, dtype=np.uint64), lo
-    return keys, more
+def _distinct(keys: _Keys) -> _Keys:
+    keys = keys[keys.order()]
+    return keys[keys.new()]
 
 
-def _sent(block: int, keys: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+def _sent(block: int, keys: _Keys, bits: int) -> Iterator[pa.RecordBatch]:
     """A row for each bucket: (bucket, block, keys). keys ascend and are distinct."""
-    cut = np.append(np.flatnonzero(np.diff((keys["hi"] >> U(64 - bits)).astype(np.int64), prepend=-1)), len(keys))
     if len(keys):
-        blobs = [_packed(keys[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        bucket = (keys["hi"][cut[:-1]] >> U(64 - bits)).astype(np.int64)
+        first = np.searchsorted(keys.hi, np.arange(1 << bits, dtype=np.uint64) << U(64 - bits))
+        last = np.append(first[1:], len(keys))
+        bucket = np.flatnonzero(first < last)
+        blobs = [keys[first[i] : last[i]].packed() for i in bucket]
         yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(blobs), block)), pa.array(blobs, pa.binary())], names=["bucket", "block", "keys"])
 
 
@@ -126,49 +187,67 @@ def repeated(sent: DataFrame) -> DataFrame:
 
     def sort(key: tuple, table: pa.Table) -> pa.Table:
         block = table.column("block").to_numpy()
-        parts = [_unpacked(x.as_py())[0] for x in table.column("keys")]
+        parts = [_Keys.of(x.as_py())[0] for x in table.column("keys")]
         size = [len(p) for p in parts]
-        keys, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), size)
+        keys, row = _Keys.together(parts), np.repeat(np.arange(len(parts), dtype=np.int32), size)
         del parts
-        order = _order(keys)
-        # stable within equal keys only by row, so the least block of each is looked for
-        same = keys[order][1:] == keys[order][:-1]
-        again = np.append(False, same) | np.append(same, False)
-        order, first = order[again], ~np.append(False, same)[again]
-        group = np.cumsum(first) - 1
-        least = np.minimum.reduceat(block[row[order]], np.flatnonzero(first)) if len(order) else np.empty(0, np.int64)
-        leads = np.empty(len(keys), np.uint8)
-        leads[order] = block[row[order]] == least[group]
-        order.sort()
+        order = keys.order()
+        new = keys[order].new()
+        again = ~new | ~np.append(new[1:], True)
+        order, first = order[again], np.flatnonzero(new[again])
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        least = np.minimum.reduceat(block[row[order]], first) if len(order) else np.empty(0, np.int64)
+        leads = (block[row[order]] == least[group]).astype(np.uint8)
+        # back to the rows, in each by key, as they came
+        back = np.argsort(order)
+        order, leads = order[back], leads[back]
         cut = np.searchsorted(row[order], np.arange(len(size) + 1))
         some = np.flatnonzero(np.diff(cut))
-        blobs = [_packed(keys[order[cut[i] : cut[i + 1]]], leads[order[cut[i] : cut[i + 1]]]) for i in some]
+        blobs = [keys[order[cut[i] : cut[i + 1]]].packed(leads[cut[i] : cut[i + 1]]) for i in some]
         return pa.table({"block": pa.array(block[some], pa.int64()), "found": pa.array(blobs, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(sort, "block bigint, found binary")
 
 
-def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _told(table: pa.Table) -> tuple[_Keys, np.ndarray]:
     """(keys, leads) of what buckets said about a block, in order."""
-    parts = [_unpacked(x.as_py()) for x in table.column("found")]
-    if not parts:
-        return np.empty(0, [("hi", np.uint64), ("lo", np.uint32)]), np.empty(0, bool)
-    keys, leads = np.concatenate([p[0] for p in parts]), np.concatenate([p[1][0] for p in parts]).astype(bool)
-    order = _order(keys)
+    parts = [_Keys.of(x.as_py()) for x in table.column("found")]
+    keys, leads = _Keys.together([p[0] for p in parts]), np.concatenate([np.empty(0, np.uint8), *(p[1] for p in parts)]).astype(bool)
+    order = keys.order()
     return keys[order], leads[order]
 
 
-def _find(keys: np.ndarray, told: np.ndarray) -> np.ndarray:
-    """Where each key is in `told`, -1 if nowhere."""
+def _find(keys: _Keys, told: _Keys) -> np.ndarray:
+    """Where each key is in `told`, -1 if nowhere; both ascend."""
     out = np.full(len(keys), -1)
     if len(told):
-        lo, hi = np.searchsorted(told["hi"], keys["hi"]), np.searchsorted(told["hi"], keys["hi"], "right")
-        for step in range(int((hi - lo).max(initial=0))):
-            at = np.minimum(lo + step, len(told) - 1)
-            out = np.where((lo + step < hi) & (told["lo"][at] == keys["lo"]), at, out)
+        lo = np.searchsorted(told.hi, keys.hi)
+        same = np.flatnonzero(told.hi[np.minimum(lo, len(told) - 1)] == keys.hi)
+        if told.lo is None or keys.lo is None:
+            out[same] = lo[same]
+            return out
+        at, left = lo[same], same
+        while len(left):  # more than once only where 64 bits agree and 32 don't
+            hit = told.lo[at] == keys.lo[left]
+            out[left[hit]] = at[hit]
+            at, left = at[~hit] + 1, left[~hit]
+            more = (at < len(told)) & (told.hi[np.minimum(at, len(told) - 1)] == keys.hi[left])
+            at, left = at[more], left[more]
     return out
 
 
+def _repeats(at: np.ndarray, keys: _Keys, told: _Keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of these places: (which come again in this block or, as told, in others; the first place of each such string; where it
+    is in `told`, or -1)."""
+    order = keys.order()
+    keys = keys[order]
+    first = np.flatnonzero(keys.new())
+    times = np.diff(np.append(first, len(order)))
+    where = _find(keys[first], told)
+    again = (times > 1) | (where >= 0)
+    return at[order[np.repeat(again, times)]], at[order[first[again]]], where[again]
+
+
 # blocks
 
 
@@ -304,18 +383,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         for batch in batches:
             for block, head, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 _, offsets, data = _opened(head, body)
-                keys = _keys(data, _sampled(offsets, v, places, short), short, bits)
-                yield from _sent(block, _ranks(keys)[0], bits)
+                yield from _sent(block, _distinct(_sample_keys(data, _sampled(offsets, v, places, short), short, bits)), bits)
                 give_back()
 
     def thin_out(left: pa.Table, right: pa.Table) -> pa.Table:
         block, head, body = (left.column(i)[0].as_py() for i in range(3))
         _, offsets, data = _opened(head, body)
         at = _sampled(offsets, v, places, short)
-        keys = _keys(data, at, short, bits)
-        distinct, _, rank = _ranks(keys)
-        again = (np.bincount(rank, minlength=len(distinct)) > 1) | (_find(distinct, _told(right)[0]) >= 0)
-        at = at[again[rank]] if len(at) else at
+        at = _repeats(at, _sample_keys(data, at, short, bits), _told(right)[0])[0]
         out = _parts(block, _thinned(offsets, data, at, v, length).packed() if len(at) else None)
         give_back()
         return out
@@ -324,18 +399,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         for batch in batches:
             for block, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 thin = _Thin.of(part)
-                yield from _sent(block, _ranks(_keys(thin.data, thin.fitting(thin.at, long), long))[0], bits)
+                yield from _sent(block, _distinct(_wide_keys(thin.data, thin.fitting(thin.at, long), long)), bits)
 
     def settle(left: pa.Table, right: pa.Table) -> pa.Table:
         thin = _Thin.of(left.column(1)[0].as_py())
         at = thin.fitting(thin.at, long)
-        distinct, first, rank = _ranks(_keys(thin.data, at, long))
         told, leads = _told(right)
-        where = _find(distinct, told)
-        again = (np.bincount(rank, minlength=len(distinct)) > 1) | (where >= 0)
-        mine = again & ((where < 0) | np.append(leads, False)[where])
-        for name, of in (("proven", at[again[rank]] if len(at) else at), ("led", at[first[mine]])):
-            setattr(thin, name, np.flatnonzero(_covered(of, of + v, len(thin.data))))
+        proven, first, where = _repeats(at, _wide_keys(thin.data, at, long), told)
+        led = first[(where < 0) | np.append(leads, False)[where]]
+        thin.proven, thin.led = (np.flatnonzero(_covered(x, x + v, len(thin.data))) for x in (proven, led))
         return _parts(left.column(0)[0].as_py(), thin.packed())
 
     def wanted(thin: _Thin) -> np.ndarray:
@@ -345,15 +417,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
         for batch in batches:
             for block, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 thin = _Thin.of(part)
-                yield from _sent(block, _ranks(_keys(thin.data, wanted(thin), length))[0], bits)
+                yield from _sent(block, _distinct(_wide_keys(thin.data, wanted(thin), length, True)), bits)
+                give_back()
 
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
         """For a block, the runs of bytes that go: text, start and end of each."""
         thin = _Thin.of(left.column(1)[0].as_py())
         at = wanted(thin)
-        distinct, _, rank = _ranks(_keys(thin.data, at, length))
-        again = (np.bincount(rank, minlength=len(distinct)) > 1) | (_find(distinct, _told(right)[0]) >= 0)
-        at = np.union1d(at[again[rank]] if len(at) else at, thin.proven)
+        at = np.union1d(_repeats(at, _wide_keys(thin.data, at, length, True), _told(right)[0])[0], thin.proven)
         if not len(at):
             return _parts(0, None)
         edges = thin.cut[:-1]
