@@ -35,12 +35,18 @@ def _at_exit(spark: SparkSession, path: str) -> None:
         pass
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the interpreter ends."""
+    path = f"{folder(spark)}/weft-{name}-{uuid.uuid4().hex}"
+    atexit.register(_at_exit, spark, path)
+    return path
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df and reads it again: the lineage ends, and lost executors cost nothing that was kept."""
     spark = df.sparkSession
-    path = f"{folder(spark)}/weft-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    atexit.register(_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out

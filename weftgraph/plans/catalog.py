@@ -14,8 +14,8 @@ from weftgraph.operators import evaluate as E
 from weftgraph.operators import graph as G
 from weftgraph.operators import reads as R
 from weftgraph.operators import tables as T
-from weftgraph.operators.durable import keep
-from weftgraph.sources import dot
+from weftgraph.operators.durable import keep, scratch
+from weftgraph.sources import dot, store
 
 from . import sql as S
 from .dna import reads
@@ -342,6 +342,32 @@ def point_lookup(spark, d):
     return _named(T.lookup(_keyed(_edges(spark, d, "benchmark")).select("key"), _keyed(_edges(spark, d))))
 
 
+def _clustered(table: DataFrame) -> DataFrame:
+    """The table as a clustered store in the shared folder, opened again."""
+    path = scratch(table.sparkSession, "store")
+    store.save_clustered(table, path, buckets=16)
+    return store.open_clustered(table.sparkSession, path)
+
+
+@_query(THREE + " SELECT edge, sum(cnt)::BIGINT AS cnt FROM (SELECT * FROM edges UNION ALL SELECT * FROM edges_b UNION ALL SELECT * FROM edges_c) GROUP BY edge")
+def stored_merge(spark, d):
+    """Three clustered tables, bucket by bucket."""
+    return _named(store.merge(*[_clustered(_keyed(_edges(spark, d, t))) for t in ("documents", "benchmark", "conversations")]))
+
+
+@_query(THREE + " SELECT edge, coalesce(e.cnt, 0) AS cnt FROM edges_b LEFT JOIN edges e USING (edge)")
+def stored_lookup(spark, d):
+    return _named(store.lookup(_keyed(_edges(spark, d, "benchmark")).select("key"), _clustered(_keyed(_edges(spark, d)))))
+
+
+@_query(THREE + " SELECT edge, cnt FROM edges SEMI JOIN (SELECT edge, cnt AS less FROM edges_b) b ON b.edge = edges.edge AND less >= cnt")
+def lost_edges(spark, d):
+    """False negatives of a table from which the counts of other texts were taken."""
+    exact = _edges(spark, d)
+    left = T.decrement(exact, _edges(spark, d, "benchmark"), key="edge")
+    return E.false_negatives(left, exact).select(_edge(), "cnt")
+
+
 @_query(THREE + " SELECT edge, greatest(cnt - coalesce(amount, 0), 0) AS cnt FROM edges LEFT JOIN (SELECT edge, cnt AS amount FROM edges_b) USING (edge)")
 def corrected_abundance(spark, d):
     """Counts less a table of corrections; here, those are the counts of other texts."""
