@@ -250,6 +250,23 @@ def test_correction_against_a_sequential_model(spark, k, bits, hash_rules):
     assert bits == 10 or any(c != lossy[e] for e, (c, _) in found.items())
 
 
+@pytest.mark.parametrize("k", [1, 33])
+def test_k_outside_64_bits_is_an_error(spark, k):
+    for count in (R.exact_counts, R.end_counts, R.read_nodes, R.occurrences):
+        with pytest.raises(ValueError, match="from 2 to 32"):
+            count(as_reads(spark, ["ACGT" * 20]), k)
+
+
+def test_counts_and_ends_of_32_bases(spark):
+    k, r = 32, random.Random(32)
+    seqs = ["".join(r.choice("ACGT") for _ in range(90)) for _ in range(5)] + ["G" * 40]
+    edges, ends, inc = build(spark, seqs, k)
+    want = Counter(canon(s[i : i + k]) for s in seqs for i in range(len(s) - k + 1))
+    unsigned = {(x.edge + (1 << 64)) % (1 << 64): x.cnt for x in edges.collect()}
+    assert unsigned == {number(e): c for e, c in want.items()}
+    assert {x[0] for x in G.invariant(inc, edges, ends).select("discrepancy").distinct().collect()} == {0}
+
+
 def test_probes(spark):
     p = E.random_probes(spark, 1000, 28, 3)
     assert p.count() == 1000 and p.where((F.col("edge") < 0) | (F.col("edge") >= 1 << 56)).count() == 0

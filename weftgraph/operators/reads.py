@@ -28,6 +28,12 @@ def fragments(reads: DataFrame, k: int = 1, id_col: str = "read_id", seq_col: st
     return reads.select(F.col(id_col).alias("read_id"), F.posexplode(runs).alias("frag", "seq")).where(F.length("seq") >= k)
 
 
+def _packs(k: int) -> None:
+    """k-mers are packed into 64 bits, and nodes have a base at least."""
+    if not 2 <= k <= 32:
+        raise ValueError(f"k must be from 2 to 32, not {k}")
+
+
 def reverse_complement_array(v: np.ndarray, k: int) -> np.ndarray:
     for m, s in ((0x3333333333333333, 2), (0x0F0F0F0F0F0F0F0F, 4), (0x00FF00FF00FF00FF, 8), (0x0000FFFF0000FFFF, 16), (0x00000000FFFFFFFF, 32)):
         v = ((v >> U(s)) & U(m)) | ((v & U(m)) << U(s))
@@ -103,6 +109,7 @@ def _long(x: np.ndarray) -> pa.Array:
 
 def occurrences(reads: DataFrame, k: int, n_policy: str = "split", id_col: str = "read_id", seq_col: str = "seq") -> DataFrame:
     """(read_id, pos, kmer, edge): every window with its place in the read, packed as read and canonical."""
+    _packs(k)
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,6 +125,7 @@ def occurrences(reads: DataFrame, k: int, n_policy: str = "split", id_col: str =
 
 def scan(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str = "seq") -> DataFrame:
     """(is_end, key, a, b), partly summed: counts a of canonical k-mers, and left and right ends a, b of canonical nodes."""
+    _packs(k)
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,6 +161,7 @@ def end_counts(reads: DataFrame, k: int, **options) -> DataFrame:
 def read_nodes(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str = "seq") -> DataFrame:
     """(node): the nodes of all fragments that have an end on a side of a node. Such a fragment is a way from there, so a
     traversal from read ends reaches them all."""
+    _packs(k)
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
