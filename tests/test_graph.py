@@ -325,6 +325,50 @@ def test_a_long_read_takes_no_more_rounds(spark, monkeypatch):
     assert len(kept) < 12 and edges.join(walked, "edge", "left_anti").count() == 0
 
 
+def test_levels_of_components_grow_as_the_log_of_a_chain(spark, monkeypatch):
+    n = 5000
+    order = list(range(n))
+    random.Random(3).shuffle(order)
+    kept, real = [], G.keep
+    monkeypatch.setattr(G, "keep", lambda df, name: kept.append(name) or real(df, name))
+    for chain in (order, sorted(order)):
+        chain = [*chain, n]
+        pairs = [(a, b) for x, y in zip(chain, chain[1:]) for a, b in ((x, y), (y, x))]
+        # a second component, a loop and a node alone
+        inc = spark.createDataFrame([*pairs, (-7, n + 9), (n + 9, -7), (n + 5, n + 5)], "node long, neighbor long")
+        kept.clear()
+        got = dict(map(tuple, G.components(inc).collect()))
+        assert got == {v: 0 for v in range(n + 1)} | {-7: -7, n + 9: -7, n + 5: n + 5}
+        assert kept.count("steps") <= 14 and len(kept) < 60
+    r = random.Random(5)
+    reads = as_reads(spark, ["".join(r.choice("ACGT") for _ in range(5000))])
+    edges, ends = R.exact_counts(reads, 12).cache(), R.end_counts(reads, 12).cache()
+    kept.clear()
+    inc = G.incidence(edges, 12).cache()
+    assert G.reachable_nodes(inc, ends).count() == inc.select("node").distinct().count() and len(kept) < 60
+
+
+def test_one_scan_gives_counts_ends_and_nodes(spark):
+    r = random.Random(12)
+    seqs = ["".join(r.choice("ACGTN" if i % 2 else "AACT") for _ in range(r.randint(0, 40))) for i in range(60)] + ["A" * 20, "ACACACACAC", None]
+    for k in (4, 5):
+        reads = as_reads(spark, seqs)
+        counts = R.counted(reads, k, nodes=True).cache()
+        pair = lambda df, *c: sorted(map(tuple, df.select(*c).collect()))
+        assert pair(R.edges_in(counts), "edge", "cnt") == pair(R.exact_counts(reads, k), "edge", "cnt")
+        assert pair(R.ends_in(counts), "node", "left_ends", "right_ends") == pair(R.end_counts(reads, k), "node", "left_ends", "right_ends")
+        known = set(pair(R.read_nodes(reads, k), "node"))
+        assert set(pair(R.nodes_in(counts), "node")) == known | set(pair(G.end_nodes(R.ends_in(counts)), "node"))
+        inc = G.incidence(R.edges_in(counts), k)
+        columns = "node", "left_value", "right_value", "discrepancy"
+        whole = G.invariant(inc, None, R.ends_in(counts))
+        plain = R.counted(reads, k)
+        assert pair(G.balance(plain, k), *columns) == pair(whole, *columns) == pair(G.invariant(inc.drop("cnt"), R.edges_in(counts), R.ends_in(counts)), *columns)
+        assert pair(G.side_abundance(inc), "node", "left", "right", "duplex") == pair(G.side_abundance(inc.drop("cnt"), R.edges_in(counts)), "node", "left", "right", "duplex")
+        plan = G.balance(plain, k)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
 def test_abundance_component_edges_and_balls(spark, tmp_path):
     from weftgraph.sources import dot
 

@@ -14,6 +14,7 @@ from weftgraph.functions import kmers as K
 from weftgraph.operators import graph as G
 from weftgraph.operators import reads as R
 from weftgraph.operators import tables as T
+from weftgraph.operators.steps import Steps
 from weftgraph.sources import bzip, dot, fastq, store
 from weftgraph.streaming import ingest
 
@@ -183,6 +184,45 @@ def test_incremental_and_streaming(spark, tmp_path):
     assert sorted(map(tuple, ingest.stored_counts(spark, f"{tmp_path}/kept").collect())) == whole
 
 
+def test_every_batch_equals_a_recount_and_a_repeated_one_changes_nothing(spark, tmp_path):
+    k, fan, n = 5, 3, 11
+    rows, _ = made(n * 6, 8)
+    reads = spark.createDataFrame([(i, s) for i, (_, s, _) in enumerate(rows)], "read_id long, seq string").cache()
+    path = f"{tmp_path}/kept"
+    assert ingest.stored_counts(spark, path).count() == 0
+    for number in range(n):
+        batch = reads.where(f"read_id div 6 = {number}")
+        ingest.add_batch(batch, number, k, path, fan)
+        opened = ingest.stored_counts(spark, path)
+        if number == 8:  # a part that was never finished, and one whose predecessors weren't deleted yet
+            R.scan(batch, k).write.parquet(f"{path}/span=0_20")
+            os.remove(f"{path}/span=0_20/_SUCCESS")
+        if number in (2, 7, 8):
+            before = os.listdir(path), sorted(map(tuple, opened.collect()))
+            ingest.add_batch(batch, number, k, path, fan)
+            assert sorted(map(tuple, ingest.stored_counts(spark, path).collect())) == before[1]
+        whole = R.counted(reads.where(f"read_id < {6 * (number + 1)}"), k)
+        got = sorted(map(tuple, opened.collect())) if number not in (2, 7, 8) else before[1]
+        assert got == sorted(map(tuple, whole.collect()))
+        assert len(ingest.live_parts(spark, path)) == sum(int(x) for x in (lambda v: [v % 3, v // 3 % 3, v // 9])(number + 1))
+        if number % 4 == 3:
+            now = ingest.stored_counts(spark, path)
+            assert G.balance(now, k).where("discrepancy <> 0").count() == 0
+            assert sorted(map(tuple, R.ends_in(now).collect())) == sorted(map(tuple, R.end_counts(reads.where(f"read_id < {6 * (number + 1)}"), k).collect()))
+    assert ingest.live_parts(spark, path) == [(0, 8), (9, 9), (10, 10)]
+    assert not os.path.exists(f"{path}/span=0_20") and not os.path.exists(f"{path}/span=0_0")
+
+
+def test_steps_tell_rows_and_seconds(spark):
+    steps = Steps(spark)
+    reads = steps.keep(spark.range(1000).select(F.col("id").alias("read_id"), F.lit("ACGTACGGT").alias("seq")), "reads")
+    R_counts = steps.keep(R.counted(reads, 5), "counted", "is_end")
+    got = steps.table().orderBy("step").collect()
+    assert [(x.step, x.name, x.n_rows) for x in got] == [(1, "reads", 1000), (2, "counted", R_counts.count())]
+    assert all(0 < x.seconds < 60 and x.rows_per_second > 0 for x in got)
+    assert Steps(spark).table().count() == 0
+
+
 def test_entry_without_the_training_data_operators(tmp_path):
     """The driver takes them away; everything else still imports."""
     for name in ("__spark_entry__.py", "weftgraph"):

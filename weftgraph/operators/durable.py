@@ -28,6 +28,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it isn't there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
 def _at_exit(spark: SparkSession, path: str) -> None:
     try:
         delete_path(spark, path)
@@ -42,11 +49,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df and reads it again: the lineage ends, and lost executors cost nothing that was kept."""
+def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes df and reads it again: the lineage ends, and lost executors cost nothing that was kept. by: columns of few values,
+    a folder for each, so that what reads one value reads no other's files."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out

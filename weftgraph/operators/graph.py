@@ -23,11 +23,12 @@ _SIDES = np.array(["", "L", "R", "D"])
 
 
 def incidence(edges: DataFrame, k: int) -> DataFrame:
-    """(node, edge, side, w, neighbor): a row for each node of an edge; side L, R or D, w 2 for a loop."""
-    ends = edges.select("edge", K.left_node(F.col("edge"), k).alias("l"), K.right_node(F.col("edge"), k).alias("r"))
-    rows = ends.select("edge", F.explode(F.array_distinct(F.array("l", "r"))).alias("node"), "l", "r")
+    """(node, edge, side, w, neighbor): a row for each node of an edge; side L, R or D, w 2 for a loop. cnt comes along if edges has it."""
+    own = ["edge", "cnt"] if "cnt" in edges.columns else ["edge"]
+    ends = edges.select(*own, K.left_node(F.col("edge"), k).alias("l"), K.right_node(F.col("edge"), k).alias("r"))
+    rows = ends.select(*own, F.explode(F.array_distinct(F.array("l", "r"))).alias("node"), "l", "r")
     other = F.when(F.col("node") == F.col("l"), F.col("r")).otherwise(F.col("l"))
-    return rows.select("node", "edge", K.side(F.col("node"), F.col("edge"), k).alias("side"), F.when(F.col("l") == F.col("r"), 2).otherwise(1).alias("w"), other.alias("neighbor"))
+    return rows.select("node", "edge", K.side(F.col("node"), F.col("edge"), k).alias("side"), F.when(F.col("l") == F.col("r"), 2).otherwise(1).alias("w"), other.alias("neighbor"), *own[1:])
 
 
 def candidates(nodes: DataFrame, k: int) -> DataFrame:
@@ -76,18 +77,37 @@ def degrees(inc: DataFrame) -> DataFrame:
     return inc.groupBy("node").agg(*by_side(inc, F.lit(1).cast("bigint")), F.count("*").alias("total"))
 
 
-def side_abundance(inc: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, left, right, duplex): counts of the edges on each side, a loop once."""
-    return inc.join(edges, "edge").groupBy("node").agg(*by_side(inc, F.col("cnt")))
+def _with_counts(inc: DataFrame, edges: DataFrame | None) -> DataFrame:
+    return inc if edges is None else inc.drop("cnt").join(edges.select("edge", "cnt"), "edge")
 
 
-def invariant(inc: DataFrame, edges: DataFrame, ends: DataFrame) -> DataFrame:
-    """(node, left_value, right_value, discrepancy): loops weigh 2, duplex edges nothing, ends come off."""
-    flow = inc.join(edges, "edge").groupBy("node").agg(*by_side(inc, F.col("w") * F.col("cnt")))
+def side_abundance(inc: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(node, left, right, duplex): counts of the edges on each side, a loop once. edges: counts other than those in inc."""
+    return _with_counts(inc, edges).groupBy("node").agg(*by_side(inc, F.col("cnt")))
+
+
+def invariant(inc: DataFrame, edges: DataFrame | None, ends: DataFrame) -> DataFrame:
+    """(node, left_value, right_value, discrepancy): loops weigh 2, duplex edges nothing, ends come off. edges: counts other
+    than those in inc, or None."""
+    flow = _with_counts(inc, edges).groupBy("node").agg(*by_side(inc, F.col("w") * F.col("cnt")))
     both = flow.join(ends, "node", "full").select("node", *[(F.coalesce(s, F.lit(0)) - F.coalesce(f"{s}_ends", F.lit(0))).alias(f"{s}_value") for s in ("left", "right")])
     return both.withColumn("discrepancy", F.col("right_value") - F.col("left_value"))
 
 
+def balance(counts: DataFrame, k: int) -> DataFrame:
+    """The invariant of an exact graph straight from its counted table (is_end, key, a, b): each row goes to its nodes, edges with
+    their counts and ends with what comes off, and one sum by node does the rest. No join, and one scan of the reads."""
+    key, node, flow, zero = F.col("key"), F.col("node"), F.col("w") * F.col("a"), F.lit(0).cast("bigint")
+    # the nodes of a key are worked out before the rows are spread, and sides after: nested, reverse complements grow without bound
+    placed = counts.select("is_end", "key", "a", "b", K.left_node(key, k).alias("l"), K.right_node(key, k).alias("r"))
+    nodes = F.when(F.col("is_end"), F.array("key")).otherwise(F.array_distinct(F.array("l", "r")))
+    rows = placed.select("is_end", "key", "a", "b", F.explode(nodes).alias("node"), F.when(F.col("l") == F.col("r"), 2).otherwise(1).alias("w"))
+    rows = rows.select("is_end", "node", "a", "b", "w", K.side(node, key, k).alias("side"))
+    left, right = (F.when(F.col("is_end"), -F.col(end)).when(F.col("side") == s, flow).otherwise(zero) for s, end in (("L", "a"), ("R", "b")))
+    values = rows.groupBy("node").agg(F.sum(left).alias("left_value"), F.sum(right).alias("right_value"))
+    return values.withColumn("discrepancy", F.col("right_value") - F.col("left_value"))
+
+
 def neighbors(inc: DataFrame) -> DataFrame:
     """(node, side, neighbor), distinct"""
     return inc.select("node", "side", "neighbor").distinct()
@@ -128,22 +148,56 @@ def edges_of(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("__left")), K.left_node(F.col("edge"), k) == F.col("__left"), "left_semi")
 
 
-def components(inc: DataFrame) -> DataFrame:
-    """(node, component): the least packed node of the component, by propagation with pointer jumping."""
-    step = keep(inc.select("node", "neighbor").where("node <> neighbor").distinct(), "steps")
-    table = keep(inc.select("node").distinct().select("node", F.col("node").alias("component")), "labels")
+def _kept_and_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    count = Observation()
+    out = keep(df.observe(count, F.count(F.lit(1)).alias("n")), name)
+    return out, count.get["n"]
+
+
+def _roots(up: DataFrame) -> DataFrame:
+    """(v, root) of a forest (v, up) whose roots point to themselves, by pointer jumping: each round halves what is left of the depth."""
     while True:
-        labels = table.select("node", "component")
-        seen = step.join(labels.select(F.col("node").alias("neighbor"), "component"), "neighbor").groupBy("node").agg(F.min("component").alias("seen"))
-        new = labels.join(seen, "node", "left").select("node", F.least("component", F.coalesce("seen", "component")).alias("new"), F.col("component").alias("old"))
-        # a giant component is one label on many rows of the left side, which Spark splits; the right side has a row for each node
-        over = labels.select(F.col("node").alias("new"), F.col("component").alias("over"))
-        new = keep(new.join(over, "new").select("node", F.least("new", "over").alias("component"), (F.least("new", "over") != F.col("old")).alias("moved")), "labels")
-        forget(table)
-        table = new
-        if new.where("moved").isEmpty():
-            forget(step)
-            return new.select("node", "component")
+        count = Observation()
+        over = up.select(F.col("v").alias("up"), F.col("up").alias("over"))
+        new = keep(up.select("v", "up").join(over, "up").select("v", F.col("over").alias("up"), (F.col("over") != F.col("up")).alias("moved")).observe(count, F.count_if("moved").alias("n")), "jumped")
+        forget(up)
+        if not count.get["n"]:
+            return new.select("v", F.col("up").alias("root"))
+        up = new
+
+
+def components(inc: DataFrame) -> DataFrame:
+    """(node, component): the least packed node of the component.
+
+    Levels of contraction: every node points to the neighbour of least hash, unless its own is less; the trees this makes become
+    the nodes of the next level, with the edges between them. Of a chain, whatever the order of its nodes, some third is left at
+    each level, so levels grow as the log of its length, and what they read shrinks.
+    """
+    edges, n = _kept_and_counted(inc.select("node", "neighbor").where("node <> neighbor").distinct().select(F.col("node").alias("a"), F.col("neighbor").alias("b")), "steps")
+    levels = []
+    while n:
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(levels)), c).alias("rank"), F.col(c).alias("v"))  # noqa: B023, E731
+        least = edges.groupBy("a").agg(F.min(rank("b")).alias("near"))
+        up = keep(least.select(F.col("a").alias("v"), F.least("near", rank("a"))["v"].alias("up")), "up")
+        roots = _roots(up)
+        levels.append(roots)
+        # a giant tree is one label on many rows of the left side, which Spark splits; the right side has a row for each node
+        ends = {c: roots.select(F.col("v").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab"}
+        moved = edges.join(ends["a"], "a").join(ends["b"], "b").where("a_root <> b_root").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
+        next_edges, n = _kept_and_counted(moved.distinct(), "steps")
+        forget(edges)
+        edges = next_edges
+    forget(edges)
+    nodes = inc.select("node").distinct()
+    if not levels:
+        return nodes.select("node", F.col("node").alias("component"))
+    top = levels.pop()
+    while levels:
+        top = levels.pop().join(top.select(F.col("v").alias("root"), F.col("root").alias("above")), "root", "left").select("v", F.coalesce("above", "root").alias("root"))
+    found = nodes.join(top.withColumnRenamed("v", "node"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    found = keep(found, "labels")
+    least = found.groupBy("root").agg(F.min("node").alias("component"))
+    return found.join(least, "root").select("node", "component")
 
 
 def reachable_nodes(inc: DataFrame, ends: DataFrame, known: DataFrame | None = None) -> DataFrame:

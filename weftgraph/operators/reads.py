@@ -99,6 +99,17 @@ def _ends(value: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return node, left & ~right, right & ~left, np.concatenate([first, last, inner, inner])
 
 
+def _nodes_of_hanging_fragments(value: np.ndarray, valid: np.ndarray, where: np.ndarray, k: int) -> np.ndarray:
+    """Distinct canonical nodes of the fragments that have one of the k-mers `where`, at which a read ends."""
+    if not len(value):
+        return value
+    run = np.cumsum(valid & ~np.append(False, valid[:-1]))
+    hangs = np.zeros(int(run.max(initial=0)) + 1, bool)
+    hangs[run[where]] = True
+    on = value[valid & hangs[run]]
+    return np.unique(canonical_array(np.concatenate([on >> U(2), on & U((1 << (2 * (k - 1))) - 1)]), k - 1))
+
+
 def _batch(**cols: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
@@ -123,8 +134,11 @@ def occurrences(reads: DataFrame, k: int, n_policy: str = "split", id_col: str =
     return reads.select(F.col(id_col).cast("bigint").alias("read_id"), F.col(seq_col).alias("seq")).mapInArrow(roll, "read_id bigint, pos bigint, kmer bigint, edge bigint")
 
 
-def scan(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str = "seq") -> DataFrame:
-    """(is_end, key, a, b), partly summed: counts a of canonical k-mers, and left and right ends a, b of canonical nodes."""
+def scan(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str = "seq", nodes: bool = False) -> DataFrame:
+    """(is_end, key, a, b), partly summed: counts a of canonical k-mers, and left and right ends a, b of canonical nodes.
+
+    With `nodes`, the node rows are those of read_nodes, with 0 where no read ends: the same scan gives all three.
+    """
     _packs(k)
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +146,12 @@ def scan(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str = "seq"
             for code, _, _ in _pieces(batch.column(0), n_policy):
                 value, valid = _windows(code, k)
                 edge, count = np.unique(canonical_array(value[valid], k), return_counts=True)
-                node, left, right, _ = _ends(value, valid, k)
+                node, left, right, where = _ends(value, valid, k)
+                if nodes:
+                    node, left, right, where = (x[left | right] for x in (node, left, right, where))
+                    more = _nodes_of_hanging_fragments(value, valid, where, k)
+                    none = np.zeros(len(more), bool)
+                    node, left, right = np.concatenate([node, more]), np.append(left, none), np.append(right, none)
                 at, back = np.unique(node, return_inverse=True)
                 back = back.reshape(-1)
                 lefts, rights = (np.bincount(back, x, len(at)).astype(np.int64) for x in (left, right))
@@ -146,6 +165,26 @@ def scan(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str = "seq"
     return reads.select(F.col(seq_col).alias("seq")).mapInArrow(roll, "is_end boolean, key bigint, a bigint, b bigint")
 
 
+def counted(reads: DataFrame, k: int, **options) -> DataFrame:
+    """(is_end, key, a, b) of scan, one row for each key: one scan and one shuffle. edges_in, ends_in and nodes_in read it."""
+    return scan(reads, k, **options).groupBy("is_end", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def edges_in(counts: DataFrame) -> DataFrame:
+    """edges(edge, cnt) of a counted table"""
+    return counts.where("not is_end").select(F.col("key").alias("edge"), F.col("a").alias("cnt"))
+
+
+def ends_in(counts: DataFrame) -> DataFrame:
+    """ends(node, left_ends, right_ends) of a counted table"""
+    return counts.where("is_end and a + b > 0").select(F.col("key").alias("node"), F.col("a").alias("left_ends"), F.col("b").alias("right_ends"))
+
+
+def nodes_in(counts: DataFrame) -> DataFrame:
+    """(node) of read_nodes, of a table counted with nodes=True"""
+    return counts.where("is_end").select(F.col("key").alias("node"))
+
+
 def exact_counts(reads: DataFrame, k: int, **options) -> DataFrame:
     """edges(edge, cnt)"""
     found = scan(reads, k, **options).where("not is_end")
@@ -168,11 +207,7 @@ def read_nodes(reads: DataFrame, k: int, n_policy: str = "split", seq_col: str =
             for code, _, _ in _pieces(batch.column(0), n_policy):
                 value, valid = _windows(code, k)
                 _, left, right, where = _ends(value, valid, k)
-                run = np.cumsum(valid & ~np.append(False, valid[:-1])) if len(valid) else np.empty(0, np.int64)
-                hangs = np.zeros(int(run.max(initial=0)) + 1, bool)
-                hangs[run[where[left | right]]] = True
-                on = value[valid & hangs[run]] if len(value) else value
-                yield _batch(node=_long(np.unique(canonical_array(np.concatenate([on >> U(2), on & U((1 << (2 * (k - 1))) - 1)]), k - 1))))
+                yield _batch(node=_long(_nodes_of_hanging_fragments(value, valid, where[left | right], k)))
 
     return reads.select(F.col(seq_col).alias("seq")).mapInArrow(roll, "node bigint").distinct()
 

@@ -15,6 +15,7 @@ from weftgraph.operators import graph as G
 from weftgraph.operators import reads as R
 from weftgraph.operators import tables as T
 from weftgraph.operators.durable import keep, scratch
+from weftgraph.operators.steps import Steps
 from weftgraph.sources import dot, store
 
 from . import sql as S
@@ -49,6 +50,11 @@ def _edges(spark: SparkSession, d: str, table: str = "documents", k: int = EXACT
     return R.exact_counts(reads(spark, d, table), k)
 
 
+def _counted(spark: SparkSession, d: str, k: int = EXACT) -> DataFrame:
+    """Counts, ends and nodes of all reads in one scan, on disk apart."""
+    return keep(R.counted(reads(spark, d), k, nodes=True), "counted", "is_end")
+
+
 def _ends(spark: SparkSession, d: str, k: int = EXACT) -> DataFrame:
     return R.end_counts(reads(spark, d), k)
 
@@ -100,12 +106,12 @@ def occurrences(spark, d):
     return R.occurrences(reads(spark, d), EXACT).groupBy("read_id").agg(F.count("*").alias("n_kmers"), F.count_distinct("edge").alias("n_edges"), F.count_if(F.col("edge") == F.col("kmer")).alias("n_forward"))
 
 
-@_query("WITH " + S.kmers(EXACT) + S.ends(EXACT) + " SELECT * FROM ends")
+@_query(EDGES + S.ends(EXACT) + " SELECT * FROM ends")
 def read_ends(spark, d):
     return _ends(spark, d).select(_node(), "left_ends", "right_ends")
 
 
-@_query("WITH " + S.kmers(EXACT) + S.ends(EXACT) + " SELECT DISTINCT node FROM ends")
+@_query(EDGES + S.ends(EXACT) + " SELECT DISTINCT node FROM ends")
 def end_nodes(spark, d):
     return G.end_nodes(_ends(spark, d)).select(_node())
 
@@ -211,8 +217,7 @@ def leaf_edges(spark, d):
 
 @_query(INC + " SELECT node, coalesce(sum(cnt) FILTER (side = 'L'), 0)::BIGINT AS \"left\", coalesce(sum(cnt) FILTER (side = 'R'), 0)::BIGINT AS \"right\", coalesce(sum(cnt) FILTER (side = 'D'), 0)::BIGINT AS duplex FROM inc GROUP BY node")
 def side_abundance(spark, d):
-    edges = _edges(spark, d)
-    return G.side_abundance(G.incidence(edges, EXACT), edges).select(_node(), "left", "right", "duplex")
+    return G.side_abundance(_inc(spark, d)).select(_node(), "left", "right", "duplex")
 
 
 FLOW = """, flow AS (SELECT node, coalesce(sum(w * cnt) FILTER (side = 'L'), 0)::BIGINT AS lv, coalesce(sum(w * cnt) FILTER (side = 'R'), 0)::BIGINT AS rv FROM inc GROUP BY node),
@@ -221,8 +226,18 @@ inv AS (SELECT node, lv - coalesce(left_ends, 0) AS left_value, rv - coalesce(ri
 
 @_query(ALL + FLOW + " SELECT node, left_value, right_value, right_value - left_value AS discrepancy FROM inv")
 def invariant(spark, d):
-    edges = _edges(spark, d)
-    return G.invariant(G.incidence(edges, EXACT), edges, _ends(spark, d)).select(_node(), "left_value", "right_value", "discrepancy")
+    return G.balance(R.counted(reads(spark, d), EXACT), EXACT).select(_node(), "left_value", "right_value", "discrepancy")
+
+
+@_query(ALL + " SELECT 1 AS step, 'counted' AS name, (SELECT count(*) FROM edges) + (SELECT count(*) FROM (SELECT DISTINCT node FROM marked)) AS n_rows UNION ALL SELECT 2, 'incidence', count(*) FROM inc UNION ALL SELECT 3, 'degrees', count(DISTINCT node) FROM inc UNION ALL SELECT 4, 'balance', count(DISTINCT node) FROM inc")
+def build_steps(spark, d):
+    """Rows of each table of a graph, as noted while it was written; Steps.table has the seconds too."""
+    steps = Steps(spark)
+    counts = steps.keep(R.counted(reads(spark, d), EXACT), "counted", "is_end")
+    inc = steps.keep(G.incidence(R.edges_in(counts), EXACT), "incidence")
+    steps.keep(G.degrees(inc), "degrees")
+    steps.keep(G.balance(counts, EXACT), "balance")
+    return steps.table().select("step", "name", "n_rows")
 
 
 @_query(INC + " SELECT DISTINCT node, side, neighbor FROM inc")
@@ -253,14 +268,15 @@ def nearby_edges_3(spark, d):
 
 @_query("WITH RECURSIVE " + ALL.removeprefix("WITH ") + ", step AS (SELECT DISTINCT node, neighbor FROM inc), walk AS (SELECT node FROM ends UNION SELECT step.neighbor FROM step JOIN walk USING (node)) SELECT node FROM walk")
 def reachable_nodes(spark, d):
-    return G.reachable_nodes(keep(_inc(spark, d), "incidence"), _ends(spark, d), R.read_nodes(reads(spark, d), EXACT)).select(_node())
+    counts = _counted(spark, d)
+    return G.reachable_nodes(G.incidence(R.edges_in(counts), EXACT), R.ends_in(counts), R.nodes_in(counts)).select(_node())
 
 
 @_query("WITH RECURSIVE " + ALL.removeprefix("WITH ") + ", step AS (SELECT DISTINCT node, neighbor FROM inc), walk AS (SELECT node FROM ends UNION SELECT step.neighbor FROM step JOIN walk USING (node)) SELECT edge, cnt FROM ends2 WHERE l IN (SELECT node FROM walk)")
 def reachable_edges(spark, d):
-    edges = keep(_edges(spark, d), "edges")
-    known = R.read_nodes(reads(spark, d), EXACT)
-    return G.edges_of(G.reachable_nodes(G.incidence(edges, EXACT), _ends(spark, d), known), edges, EXACT).select(_edge(), "cnt")
+    counts = _counted(spark, d)
+    edges = R.edges_in(counts)
+    return G.edges_of(G.reachable_nodes(G.incidence(edges, EXACT), R.ends_in(counts), R.nodes_in(counts)), edges, EXACT).select(_edge(), "cnt")
 
 
 @_query("WITH RECURSIVE " + INC.removeprefix("WITH ") + f", step AS (SELECT DISTINCT {S.packed('node', EXACT - 1)} AS node, {S.packed('neighbor', EXACT - 1)} AS neighbor FROM inc), near(node, component) USING KEY (node) AS (SELECT DISTINCT node, node FROM step UNION SELECT step.neighbor, min(near.component) FROM near JOIN step ON step.node = near.node JOIN recurring.near AS known ON known.node = step.neighbor WHERE near.component < known.component GROUP BY step.neighbor) SELECT {S.unpacked('node', EXACT - 1)} AS node, {S.unpacked('component', EXACT - 1)} AS component FROM near")
@@ -388,11 +404,10 @@ def sketch_count(spark, d):
 
 def _lossy(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(exact edges, ends, reachable incidence of the lossy table)"""
-    counted = keep(R.scan(reads(spark, d), LOSSY).groupBy("is_end", "key").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "counted")
-    exact = counted.where("not is_end").select(F.col("key").alias("edge"), F.col("a").alias("cnt"))
-    ends = counted.where("is_end and a + b > 0").select(F.col("key").alias("node"), F.col("a").alias("left_ends"), F.col("b").alias("right_ends"))
+    counts = _counted(spark, d, LOSSY)
+    exact, ends = R.edges_in(counts), R.ends_in(counts)
     sketch = keep(R.sketch_counts(exact, _hash), "sketch")
-    return exact, ends, G.reachable_in_sketch(sketch, ends, LOSSY, _hash, R.read_nodes(reads(spark, d), LOSSY))
+    return exact, ends, G.reachable_in_sketch(sketch, ends, LOSSY, _hash, R.nodes_in(counts))
 
 
 def _found(inc: DataFrame) -> DataFrame:
@@ -458,9 +473,10 @@ _SHORT = " OR ".join(f"left(edge, {EXACT - p}) = right(edge, {EXACT - p})" for p
 
 @_query(WHP + f" SELECT edge FROM ends2 WHERE l NOT IN (SELECT node FROM b3) AND NOT ({_SHORT})")
 def whp_correct(spark, d):
-    edges = keep(_edges(spark, d), "edges")
+    counts = _counted(spark, d)
+    edges = R.edges_in(counts)
     inc = keep(G.incidence(edges, EXACT), "incidence")
-    return C.correct_with_high_probability(inc, edges, _ends(spark, d), EXACT).select(_edge())
+    return C.correct_with_high_probability(inc, edges, R.ends_in(counts), EXACT).select(_edge())
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,9 @@ kmers{tag} AS (SELECT *, {canon('kmer')} AS edge FROM raw{tag})"""
 
 
 def edges(k: int, table: str = "documents", tag: str = "") -> str:
-    return kmers(k, table, tag) + f",\nedges{tag} AS (SELECT edge, count(*) AS cnt FROM kmers{tag} GROUP BY edge)"
+    """raw, as in kmers, and edges(edge, cnt): windows are counted as read, then once more by their canonical form."""
+    windows = kmers(k, table, tag).rpartition(",\nkmers")[0]
+    return windows + f",\nseen{tag} AS (SELECT kmer, count(*) AS n FROM raw{tag} GROUP BY kmer),\nedges{tag} AS (SELECT {canon('kmer')} AS edge, sum(n)::BIGINT AS cnt FROM seen{tag} GROUP BY 1)"
 
 
 def incidence(k: int) -> str:
@@ -63,13 +65,13 @@ def ends(k: int) -> str:
     left, right = f"left(kmer, {n})", f"right(kmer, {n})"
     return f""",
 marks AS (
-  SELECT {left} AS nd, edge FROM kmers WHERE pos = 0
-  UNION ALL SELECT {right}, edge FROM kmers WHERE pos = n - {k}
-  UNION ALL SELECT {right}, edge FROM kmers WHERE pos < n - {k} AND {duplex(right)}
-  UNION ALL SELECT {left}, edge FROM kmers WHERE pos > 0 AND {duplex(left)}),
-marked AS (SELECT {canon('nd')} AS node, edge FROM marks),
-sided AS (SELECT node, (right(edge, {n}) = node OR left(edge, {n}) = {rc('node')}) AS isl, (left(edge, {n}) = node OR right(edge, {n}) = {rc('node')}) AS isr FROM marked),
-ends AS (SELECT node, count(*) FILTER (isl AND NOT isr) AS left_ends, count(*) FILTER (isr AND NOT isl) AS right_ends FROM sided GROUP BY node HAVING count(*) FILTER (isl <> isr) > 0)"""
+  SELECT {left} AS nd, kmer, n FROM seen WHERE {duplex(left)}
+  UNION ALL SELECT {right}, kmer, n FROM seen WHERE {duplex(right)}
+  UNION ALL SELECT {left}, kmer, 1 FROM raw WHERE pos = 0 AND NOT {duplex(left)}
+  UNION ALL SELECT {right}, kmer, 1 FROM raw WHERE pos = n - {k} AND NOT {duplex(right)}),
+marked AS (SELECT {canon('nd')} AS node, {canon('kmer')} AS edge, n FROM marks),
+sided AS (SELECT node, n, (right(edge, {n}) = node OR left(edge, {n}) = {rc('node')}) AS isl, (left(edge, {n}) = node OR right(edge, {n}) = {rc('node')}) AS isr FROM marked),
+ends AS (SELECT node, coalesce(sum(n) FILTER (isl AND NOT isr), 0)::BIGINT AS left_ends, coalesce(sum(n) FILTER (isr AND NOT isl), 0)::BIGINT AS right_ends FROM sided GROUP BY node HAVING count(*) FILTER (isl <> isr) > 0)"""
 
 
 def low(v: str, n: int, bits: int) -> str:
