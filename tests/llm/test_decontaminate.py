@@ -60,6 +60,15 @@ def test_against_brute_force(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_repeated_items_are_taken_once(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 2000)
+    docs, items = case(3)
+    sent, real = [], decontaminate.Windows.__init__
+    monkeypatch.setattr(decontaminate.Windows, "__init__", lambda self, rows, window: sent.append(len(rows)) or real(self, rows, window))
+    assert run(spark, docs, items * 5 + [(None, items[7][1])] * 2) == brute(docs, items + [("", items[7][1])])
+    assert sum(sent) == len({(i, t) for i, t in items if t is not None}) + 1
+
+
 def test_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 900)
     docs, items = case(2)

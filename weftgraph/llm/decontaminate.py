@@ -232,12 +232,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     """(row, result) for every row of docs: row is the whole row, result what was found in it.
 
     Null and empty texts have no words and aren't contaminated. Items without words have no window; a null item id
-    counts as the empty string; items with one id are one item. Repeated rows each come back. A text of any length is
+    counts as the empty string; items with one id are one item, and repeated items are taken once. Repeated rows each come back. A text of any length is
     judged as a whole.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{item_text}`").alias("text")).where("text is not null")
+    items = benchmark.select(F.coalesce(F.col(f"`{item_col}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{item_text}`").alias("text")).where("text is not null").distinct()
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = -(-int(total) // (block_bytes or BLOCK_BYTES)) or 1
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))

@@ -21,6 +21,8 @@ from .words import LETTERS, Words, byte_hash, pieces
 U = np.uint64
 #: Labelled rows that learning reads at most.
 SAMPLE = 10_000
+#: Bias of a model whose labelled rows taught it nothing: every text scores 0.047.
+NOT_TAUGHT = -3.0
 #: Features of the classifier at most, the least number of toxic rows that a feature is in, and features tried at most,
 #: those in most toxic rows first. All three bound the model, which is fitted on the driver; no text goes unscored.
 FEATURES, LEAST_ROWS, TRIED = 4096, 3, 1 << 17
@@ -56,7 +58,8 @@ IDENTITY = (
 class Model:
     """Score = logistic(bias + sum of weights of the features that a text has).
 
-    Where the labelled rows gave it nothing to tell texts apart by (`judges` is false), no score is evidence of anything.
+    Where the labelled rows gave it nothing to tell texts apart by (`judges` is false), no score is evidence of anything, and none
+    reaches 0.5.
     """
 
     features: np.ndarray
@@ -171,7 +174,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float
     y = (got.column(0).to_numpy() > 0).astype(float)
     cols = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in got.column(1)]
     if not len(y) or y.min() == y.max():
-        return Model(np.empty(0, np.uint64), np.empty(0), -3.0 if len(y) and y.max() == 0 else 0.0)
+        return Model(np.empty(0, np.uint64), np.empty(0), NOT_TAUGHT)
     row = np.repeat(np.arange(len(y)), [len(c) for c in cols])
     col = np.concatenate(cols)
     # how far a feature's share of toxic rows is from that of all rows, in standard deviations
@@ -182,6 +185,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap: float
     best = best[np.abs(z[best]) > DEVIATIONS]
     identity = np.unique(np.concatenate(list(term_features.values())))
     chosen = np.unique(np.concatenate([candidates[best], np.intersect1d(identity, candidates)]))
+    if not len(chosen):
+        return Model(np.empty(0, np.uint64), np.empty(0), NOT_TAUGHT)
     place = np.full(len(candidates), -1)
     inside = np.isin(candidates, chosen)
     place[inside] = np.searchsorted(chosen, candidates[inside])
