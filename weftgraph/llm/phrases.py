@@ -96,6 +96,7 @@ def _filter(level: DataFrame) -> _Filter:
     """The filter of a level's table (lang, phrase, ...)."""
     n = level.count()
     bits = int(np.clip((16 * max(1, n) - 1).bit_length(), LEAST_BITS, MOST_BITS))
+    bits = max(bits, (8 * RANGES - 1).bit_length())  # each range fills whole bytes
     schema = pa.schema([("part", pa.int32()), ("blob", pa.binary())])
 
     def sent(sparse: _Sparse) -> Iterator[pa.RecordBatch]:
