@@ -6,10 +6,11 @@ import ctypes
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.operators.durable import forget, keep
+from weftgraph.operators.sizes import planned_bytes, small_batches
 
 __all__ = ["block_count", "columns", "forget", "give_back", "input_bytes", "merged", "small_batches", "staged"]
 
@@ -22,17 +23,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return keep(df, name)
 
 
-#: From this size on, the planner's figure says only that it has none.
-UNKNOWN = 1 << 60
-
-
 def input_bytes(df: DataFrame) -> int:
-    """Size of the tables under df as the planner knows it, without running a job. Only the leaves are added up: above a
-    join, the planner multiplies. Where a leaf has no statistics, one job adds up the texts of df."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    if max(sizes, default=0) < UNKNOWN:
-        return sum(sizes)
+    """Size of the tables under df as the planner knows it, without running a job. Where a leaf has no statistics, one job adds
+    up the texts of df."""
+    size = planned_bytes(df)
+    if size is not None:
+        return size
     texts = [F.coalesce(F.octet_length(f"`{n}`"), F.lit(0)).cast("bigint") for n, kind in df.dtypes if kind in ("string", "binary")]
     return int(df.agg(F.coalesce(F.sum(sum(texts, F.lit(8 * len(df.columns)).cast("bigint"))), F.lit(0))).first()[0])
 
@@ -68,19 +64,6 @@ def merged(parts: DataFrame, merge: Callable[[int, list[bytes], bool], bytes], t
     return sorted((r["part"], bytes(r["blob"])) for r in rows.select("part", "blob").collect())
 
 
-def small_batches(spark: SparkSession, size: int = 2 << 20) -> None:
-    """Documents vary from empty to megabytes; Python workers get batches of about `size` bytes, so their memory is bounded.
-
-    Sets spark.sql.execution.arrow.maxBytesPerBatch of the session, which is read when a query runs, unless it is lower.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    old = spark.conf.get(name, "64m").lower().rstrip("b")
-    unit = {"k": 10, "m": 20, "g": 30}.get(old[-1:], 0)
-    now = int(old.rstrip("kmg")) << unit
-    if now <= 0 or now > size:
-        spark.conf.set(name, str(size))
-
-
 def give_back() -> None:
     """Returns freed memory of this Python worker to the system, where its allocators can."""
     pa.default_memory_pool().release_unused()
