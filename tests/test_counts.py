@@ -52,3 +52,46 @@ def test_stretches_that_come_again_are_sent_once(spark):
     windows = lambda rows: rows.agg(F.sum(F.octet_length("n"))).first()[0]
     assert windows(R.stretches(reads, 28, 16)) <= 1.1 * windows(R.stretches(once, 28, 16))
     assert {r["cnt"] for r in R.exact_counts(reads, 28).collect()} == {50}
+
+
+@pytest.mark.parametrize("k", [9, 31])
+@pytest.mark.parametrize("repeated", [False, True])
+def test_occurrences_are_counted_where_a_read_is(spark, monkeypatch, k, repeated):
+    dealt = []
+    real = R.keep
+    monkeypatch.setattr(R, "keep", lambda df, *how: dealt.append(df.count()) or real(df, *how))
+    seqs = [s for s in some_reads(6) if s is not None]
+    ids = [(None if i % 7 == 0 else i % 11) if repeated else i for i in range(len(seqs))]
+    windows, forward = {}, Counter()
+    for i, s in zip(ids, seqs, strict=True):
+        for j in range(len(s) - k + 1):
+            x = s[j : j + k]
+            if not set(x) - set("ACGT"):
+                windows.setdefault(i, []).append(canon(x))
+                forward[i] += number(canon(x)) == number(x)
+    reads = spark.createDataFrame(list(zip(ids, seqs, strict=True)) + [(99, None), (100, "ACG")], "read_id long, seq string").repartition(3)
+    found = {r[0]: tuple(r)[1:] for r in R.occurrence_counts(reads, k).select("read_id", "n_kmers", "n_edges", "n_forward").collect()}
+    assert found == {i: (len(w), len(set(w)), forward[i]) for i, w in windows.items()}
+    # a row for each id comes together, and none for each window
+    assert dealt == [len(windows)]
+
+
+def test_a_piece_and_a_task_hold_little(spark, monkeypatch):
+    """Rows were sent for each batch, of 10,000 reads, and pieces had 4 million bases."""
+    assert R.PIECE <= 1 << 20 and R.HELD <= 1 << 20
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    r = random.Random(9)
+    seqs = ["".join(r.choice("ACGT") for _ in range(300)) for _ in range(200)] * 10
+    reads = spark.createDataFrame([(i, s) for i, s in enumerate(seqs)], "read_id long, seq string").coalesce(1)
+    monkeypatch.setattr(R, "PIECE", 20_000)
+    scanned = R.scan(reads, 5)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 2 << 20
+    edges = scanned.where("not is_end")
+    # one row for each k-mer and task, not one for each piece
+    assert edges.count() == edges.select("key").distinct().count() == len(counted_by_hand(seqs[:200], 5))
+    monkeypatch.setattr(R, "HELD", 100)
+    for k in (5, 14):
+        got = Counter()
+        for key, a in R.scan(reads.limit(200), k).where("not is_end").select("key", "a").collect():
+            got[key] += a
+        assert got == {number(e): c for e, c in counted_by_hand(seqs[:200], k).items()}
