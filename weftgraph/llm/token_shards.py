@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,10 @@ U = np.uint64
 ROUNDS = 6
 #: Documents of one range of the numbering, about, and ranges at most (a number for each comes to the driver).
 RANGE, MOST_RANGES = 1 << 17, 1 << 16
-#: Bytes of text of one block, which is one row of the table of tokens.
-BLOCK_BYTES = 2 << 20
+#: Tokens of one row of the table of tokens, about; texts stay whole.
+ROW_TOKENS = 1 << 19
+#: Pre-tokens that a task remembers.
+REMEMBERED = 1 << 18
 
 
 def permute(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -68,31 +71,42 @@ def sequences(docs: DataFrame, rank_path: str, pattern: str, stride: int = 256,
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("hash"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, known, hashes = bpe._encoder(rank_path, pattern), {}, []
+        one, hashes, number = bpe._encoder(rank_path, pattern), [], 0
+
+        class Known(dict):
+            def __missing__(self, x: bytes) -> list[int]:
+                y = one(x)
+                if len(self) < REMEMBERED:
+                    self[x] = y
+                return y
+
+        known = Known()
 
         def read() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hashes.extend(batch.column(2).to_pylist())
                 yield batch
 
-        for number, block in enumerate(bpe._blocks(read(), pattern, BLOCK_BYTES)):
-            found = []
-            for x in bpe._cut(*block.spelt(np.arange(len(block.length)))):
-                if (y := known.get(x)) is None:
-                    y = one(x)
-                    if len(known) < 1 << 18:  # what is remembered is bounded
-                        known[x] = y
-                found.append(y)
-            size = np.array([len(y) for y in found], np.int64)
-            flat = np.array([i for y in found for i in y], np.uint32)
-            tokens = bpe.gather(flat, (np.cumsum(size) - size)[block.code], size[block.code]) if len(block.code) else np.empty(0, np.uint32)
+        # pre-tokens are told apart over a large block, so that fewer come again; what leaves it are rows of few texts
+        for block in bpe._blocks(read(), pattern):
+            found = list(map(known.__getitem__, bpe._cut(*block.spelt(np.arange(len(block.length))))))
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))
+            del found
+            start = np.cumsum(size) - size
             first = np.concatenate([[0], np.cumsum(block.counts.astype(np.int64))])
             upto = np.concatenate([[0], np.cumsum(size[block.code])])[first]
-            n = np.diff(upto)
-            own, hashes[: block.rows] = hashes[: block.rows], []
-            name = TaskContext.get().partitionId() << 32 | number
-            cols = {"block": pa.array([name], pa.int64()), "ids": pa.array([block.ids.to_pylist()], pa.list_(pa.int64())), "hashes": pa.array([own], pa.list_(pa.int64())), "many": pa.array([-(-n // stride)], pa.list_(pa.int64())), "tokens": pa.array([pack(n.astype(np.uint32), tokens)], pa.binary())}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            n, ids = np.diff(upto), block.ids.to_pylist()
+            lo = 0
+            while lo < block.rows:
+                hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + ROW_TOKENS, "right")) - 1)
+                code = block.code[first[lo] : first[hi]]
+                tokens = bpe.gather(flat, start[code], size[code]) if len(code) else np.empty(0, np.uint32)
+                name, part = TaskContext.get().partitionId() << 32 | number, n[lo:hi]
+                cols = {"block": pa.array([name], pa.int64()), "ids": pa.array([ids[lo:hi]], pa.list_(pa.int64())), "hashes": pa.array([hashes[lo:hi]], pa.list_(pa.int64())), "many": pa.array([-(-part // stride)], pa.list_(pa.int64())), "tokens": pa.array([pack(part.astype(np.uint32), tokens)], pa.binary())}
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+                lo, number = hi, number + 1
+            hashes[: block.rows] = []
 
     blocks = docs.mapInArrow(tokenize, "block bigint, ids array<bigint>, hashes array<bigint>, many array<bigint>, tokens binary")
     blocks = staged(blocks, "tokens")  # from here on a block's number is fixed
