@@ -72,3 +72,25 @@ def test_scores_are_exact_beyond_64_bits(spark):
     df = spark.createDataFrame(rows, "a bigint, l bigint, r bigint")
     got = [r[0] for r in df.select(phrases._floor_score(df.a, df.l, df.r)).collect()]
     assert got == [1000000 * a * a // (l * r) for a, l, r in rows]
+
+
+def test_a_worker_holds_and_sends_little():
+    """4 MB of text were counted at once, and all their phrases sent in one batch."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    docs = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))), mapInArrow=lambda f, schema: f)
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randint(0, 9999)}" for _ in range(300)) for _ in range(3000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 1000), pa.array(texts[i : i + 1000])], names=["lang", "text"]) for i in range(0, 3000, 1000)]
+    for size in (1, 2, 3):
+        count = phrases._grams(docs, size, SimpleNamespace(has=lambda keys: np.ones(len(keys), bool)))
+        tracemalloc.start()
+        sent = [b.num_rows for b in count(iter(batches))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(sent) >= 9999 and max(sent) <= 1 << 15
+        assert peak < 40 << 20

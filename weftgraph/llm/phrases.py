@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from .setjoin import RANGES, _pack_counts, _Sparse, pack, unpack
 from .shared import forget, give_back, input_bytes, merged, small_batches, staged
-from .words import byte_hash, mix
+from .words import byte_hash, mix, pieces
 
 U = np.uint64
-#: Text that is counted at once in a worker.
-CHUNK = 4 << 20
+#: Text that is counted at once in a worker, and rows of counts that are sent at once; a longer text is counted alone.
+CHUNK, SENT = 1 << 20, 1 << 15
 #: Bits of the broadcast filter: 16 for each phrase, a power of two, 64 MB at most.
 LEAST_BITS, MOST_BITS = 16, 29
 
@@ -53,10 +53,13 @@ class _Text:
         edge[1:] &= ~word[:-1]
         edge[inner] = word[inner]
         self.start = np.flatnonzero(edge)
-        size = np.diff(np.append(np.cumsum(word)[self.start] - 1, word.sum())) if len(self.start) else np.empty(0, np.int64)
+        edge = word.copy()
+        edge[:-1] &= ~word[1:]
+        edge[inner - 1] = word[inner - 1]
+        size = np.flatnonzero(edge) + 1 - self.start
         text = np.searchsorted(cut, self.start, "right") - 1
         self.lang = langs.indices.to_numpy(zero_copy_only=False)[text].astype(np.int64)
-        piece = np.cumsum(_BREAK[data])[self.start] if len(self.start) else self.start
+        piece = np.searchsorted(np.flatnonzero(_BREAK[data]), self.start)
         self.follows = np.zeros(len(self.start), bool)
         self.follows[1:] = (text[1:] == text[:-1]) & (piece[1:] == piece[:-1])
         ends = np.append(0, np.cumsum(size)).astype(np.int64)
@@ -161,22 +164,13 @@ def _grams(docs: DataFrame, size: int, known: _Filter | None) -> DataFrame:
         return pa.RecordBatch.from_arrays([t.langs.take(pa.array(t.lang[firsts])).cast(pa.string()), phrase.cast(pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "n"])
 
     def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total = [], 0
-
-        def flush() -> pa.RecordBatch:
-            nonlocal held, total
-            langs, texts = (pa.chunked_array([b.column(i) for b in held]).combine_chunks() for i in (0, 1))
-            held, total = [], 0
-            return count(langs, texts.fill_null(""))
-
         for batch in batches:
-            held.append(batch)
-            total += batch.column(1).nbytes
-            if total > CHUNK:
-                yield flush()
+            for lo, hi, _, _ in pieces(batch.column(1), CHUNK):
+                counts = count(batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo).fill_null(""))
+                for at in range(0, counts.num_rows, SENT):
+                    yield counts.slice(at, SENT)
+                del counts
                 give_back()
-        if held:
-            yield flush()
 
     return docs.mapInArrow(roll, "lang string, phrase string, n bigint")
 
