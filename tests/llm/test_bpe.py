@@ -85,3 +85,71 @@ def test_many_empty_and_repeated_rows(spark):
     same = spark.range(3000).selectExpr("1L as doc_id", "'the same row again' as text").repartition(6)
     got = bpe.encode(same, RANKS, public_tokenizers.PATTERN, keep_ids=False).groupBy("doc_id", "n_tokens").count().collect()
     assert [tuple(r) for r in got] == [(1, 4, 3000)]
+
+
+def steps_of(monkeypatch):
+    """The three functions that encode() gives to Spark: blocks, encoding of a range, assembly of a block."""
+    from types import SimpleNamespace
+
+    steps = []
+    table = SimpleNamespace(sparkSession=None)
+    for name in ("select", "repartition", "groupBy", "cogroup"):
+        setattr(table, name, lambda *a: table)
+    for name in ("mapInArrow", "applyInArrow"):
+        setattr(table, name, lambda f, schema: steps.append(f) or table)
+    column = type("Column", (), {"alias": lambda self, x: self, "__neg__": lambda self: self, "__rsub__": lambda self, x: self})()
+    monkeypatch.setattr(bpe, "F", SimpleNamespace(col=lambda name: column))
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(bpe, "small_batches", lambda spark: None)
+    monkeypatch.setattr(bpe, "block_count", lambda docs: 16)
+    bpe.encode(table, RANKS, public_tokenizers.PATTERN)
+    return steps
+
+
+def encoded(steps, docs, cost=lambda f: f()):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    blocks, words, assemble = steps
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(i, min(i + 100, len(docs)))), pa.array(docs[i : i + 100])], names=["doc_id", "text"]) for i in range(0, len(docs), 100)]
+    sides = pa.Table.from_batches(list(blocks(iter(batches))))
+    coded = pa.concat_tables([words((pa.scalar(p),), sides.filter(pc.equal(sides["key"], p))) for p in range(16)])
+    out = []
+    for key in [k for k in sides["key"].to_pylist() if k < 0]:
+        both = sides.filter(pc.equal(sides["key"], key)), coded.filter(pc.equal(coded["block"], -1 - key))
+        out.append(cost(lambda key=key, both=both: assemble((pa.scalar(key),), *both)))
+    return pa.concat_tables(out)
+
+
+def test_spellings_and_rows_in_small_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    monkeypatch.setattr(bpe, "FRESH", 40)
+    monkeypatch.setattr(bpe, "SPELT", 7)
+    docs = [*texts(300, 11), "", None, "long text of many words " * 40, "", "x"]
+    tok = library()
+    for doc, row in zip(docs, encoded(steps_of(monkeypatch), docs).to_pylist(), strict=True):
+        ids = tok.encode_ordinary(doc or "")
+        assert row["n_tokens"] == len(ids) and row["ids"] == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert row["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert row["decoded_sha256"] == hashlib.sha256((doc or "").encode()).hexdigest()
+
+
+def test_assembly_holds_numbers_not_objects(monkeypatch):
+    """Each pre-token of a block had its ids, digits and bytes as Python objects."""
+    import tracemalloc
+
+    r = random.Random(12)
+    docs = [" ".join(f"{r.choice('abcdefgh')}{r.randint(0, 1 << 40):x}" for _ in range(100)) for _ in range(1000)]
+    peaks = []
+
+    def cost(f):
+        tracemalloc.start()
+        out = f()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        return out
+
+    bpe._token_bytes(RANKS)
+    encoded(steps_of(monkeypatch), docs[:1])
+    encoded(steps_of(monkeypatch), docs, cost)
+    assert max(peaks) < 11 << 20

@@ -27,6 +27,8 @@ from .words import PIECE, pieces
 
 #: Bytes of text, or rows, after which a block ends. Only numbers and the distinct pre-tokens of a block are held.
 BLOCK_BYTES, BLOCK_ROWS = 20 << 20, 1 << 16
+#: Spellings of a block's pieces that are held before they are told apart, and tokens that are spelt at once.
+FRESH, SPELT = 1 << 17, 1 << 14
 
 
 @lru_cache(maxsize=2)
@@ -46,6 +48,20 @@ def _token_bytes(path: str) -> dict[int, bytes]:
     return {i: b for b, i in _ranks(path).items()}
 
 
+def _flat(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, length) of all parts"""
+    length = np.fromiter(map(len, parts), np.int64, len(parts))
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum(length) - length, length
+
+
+@lru_cache(maxsize=2)
+def _spellings(path: str) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of every id, its digits with a comma behind and the bytes it stands for, as _flat gives them."""
+    table = _token_bytes(path)
+    ids = range(max(table) + 1)
+    return _flat([b"%d," % i for i in ids]), _flat([table.get(i, b"") for i in ids])
+
+
 def _stretches(text: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
     """Byte ranges of about PIECE bytes that cover the rows; a long row is cut where a space follows something else.
 
@@ -70,8 +86,11 @@ class _Block:
     """Consecutive rows: their ids, distinct pre-tokens, and each row as numbers of those."""
 
     def __init__(self, pattern: str):
-        self.pattern, self.size, self.rows = pattern, 0, 0
-        self.held: list[tuple[np.ndarray, ...]] = []
+        self.pattern, self.size, self.rows, self.fresh = pattern, 0, 0, 0
+        # the spellings told apart so far, and after them those of each piece since
+        self.held: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0, np.uint8))]
+        self.codes: list[np.ndarray] = []
+        self.rows_of: list[np.ndarray] = []
         self.all_ids: list[pa.Array] = []
 
     def add(self, ids: pa.Array, text: np.ndarray, offsets: np.ndarray) -> None:
@@ -82,32 +101,47 @@ class _Block:
             cut = np.clip(offsets[a : b + 2], lo, hi) - lo
             start, end, first = split(text[lo:hi], cut, self.pattern)
             word, length, _, code = distinct(text[lo:hi], start, end)
-            self.held.append((length, gather(text[lo:hi], word, length), code))
+            self.held.append((length, gather(text[lo:hi], word, length)))
+            self.codes.append(code)
             counts[a : b + 1] += np.diff(first)
+            self.fresh += len(length)
+            if self.fresh > FRESH:
+                self._tell_apart()
         self.all_ids.append(ids)
-        self.held.append((np.empty(0, np.int64), np.empty(0, np.uint8), np.empty(0, np.uint32), counts))
+        self.rows_of.append(counts)
         self.size, self.rows = self.size + len(text), self.rows + len(ids)
 
-    def close(self) -> _Block:
-        length, self.text = (np.concatenate([x[i] for x in self.held]) for i in (0, 1))
-        end = np.cumsum(length)
-        word, length_of, h, merged = distinct(self.text, end - length, end)
-        self.counts = np.concatenate([x[3] for x in self.held if len(x) > 3]).astype(np.uint32)
-        found = [x[2] for x in self.held]
+    def _tell_apart(self) -> None:
+        """One spelling for each pre-token: those told apart before keep their numbers, as numbers go by first appearance."""
         at = np.cumsum([0] + [len(x[0]) for x in self.held])
-        self.held = []
-        often = np.zeros(len(word), np.int64)
-        for x, lo, hi in zip(found, at[:-1], at[1:], strict=True):
-            often[: len(word)] += np.bincount(merged[lo:hi][x], minlength=len(word)) if len(x) else 0
+        length, text = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        new = len(self.held) - 1
+        self.held, self.fresh = [], 0
+        end = np.cumsum(length)
+        word, length, self.hash, number = distinct(text, end - length, end)
+        for i in range(new):
+            x = self.codes[i - new]
+            self.codes[i - new] = number[at[i + 1] : at[i + 2]][x] if len(x) else x
+        self.held.append((length, gather(text, word, length)))
+        del text, end, word, number
+        give_back()
+
+    def close(self) -> _Block:
+        self._tell_apart()
+        ((length, self.text),) = self.held
+        often = np.zeros(len(length), np.int64)
+        for x in self.codes:
+            often += np.bincount(x, minlength=len(length))
         # frequent pre-tokens get small numbers, which pack well
         order = np.argsort(-often, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order))
-        self.word, self.length, self.hash, self.code = word[order], length_of[order], h[order], np.empty(sum(map(len, found)), np.uint32)
+        self.word, self.length, self.hash = (np.cumsum(length) - length)[order], length[order], self.hash[order]
+        self.counts, self.code = np.concatenate(self.rows_of).astype(np.uint32), np.empty(sum(map(len, self.codes)), np.uint32)
         to = 0
-        for i, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            x, found[i] = found[i], None
-            self.code[to : to + len(x)] = rank[merged[lo:hi]][x] if len(x) else x
+        for i, x in enumerate(self.codes):
+            self.code[to : to + len(x)] = rank[x]
+            self.codes[i] = None
             to += len(x)
         self.ids = pa.chunked_array(self.all_ids).combine_chunks()
         return self
@@ -189,34 +223,44 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     def assemble(key: tuple, block: pa.Table, coded: pa.Table) -> pa.Table:
         if key[0].as_py() >= 0:  # pre-tokens on their way to encode_words
             return pa.Table.from_batches([], schema=SCHEMA if keep_ids else SCHEMA.remove(4))
-        table_bytes = _token_bytes(rank_path)
+        said, spelt = _spellings(rank_path)
         part, lengths, positions = unpack(block.column("docs")[0].as_py())
         doc_ids = block.column("doc_ids")[0].as_py()
-        ids = dict(zip(coded.column("part").to_pylist(), coded.column("ids"), strict=True))
-        said, spelt, packed, count = [""] * len(part), [b""] * len(part), [b""] * len(part), np.zeros(len(part), np.int64)
-        for p in np.unique(part).tolist():
-            counts, flat = unpack(ids[p].as_py())
-            at = np.concatenate([[0], np.cumsum(counts.astype(np.int64))]).tolist()
+        flat, start, count, held = [], np.zeros(len(part), np.int64), np.zeros(len(part), np.int64), 0
+        for p, blob in zip(coded.column("part").to_pylist(), coded.column("ids"), strict=True):
+            counts, ids = unpack(blob.as_py())
             mine = np.flatnonzero(part == p)
-            count[mine] = counts
-            flat = flat.tolist()
-            for i, a, b in zip(mine.tolist(), at[:-1], at[1:], strict=True):
-                x = flat[a:b]
-                said[i] = ",".join(map(str, x))
-                spelt[i] = b"".join([table_bytes[j] for j in x])
-                if keep_ids:
-                    packed[i] = np.array(x, "<u4").tobytes()
-        out: dict[str, list] = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-        at = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))]).tolist()
-        for a, b in zip(at[:-1], at[1:], strict=True):
-            own = positions[a:b].tolist()
-            out["n_tokens"].append(int(count[own].sum()) if own else 0)
-            out["ids_sha256"].append(hashlib.sha256(",".join([said[i] for i in own]).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(b"".join([spelt[i] for i in own])).hexdigest())
+            count[mine], start[mine] = counts, held + np.cumsum(counts, dtype=np.int64) - counts
+            flat.append(ids)
+            held += len(ids)
+        flat = np.concatenate(flat) if flat else np.empty(0, np.uint32)
+        row_end = np.cumsum(lengths, dtype=np.int64)
+        n_tokens, known = np.zeros(len(lengths), np.int64), 0
+        tokens = np.empty(sum(int(count[positions[lo : lo + SPELT]].sum()) for lo in range(0, len(positions), SPELT)) if keep_ids else 0, "<u4")
+        of_ids, of_bytes = [hashlib.sha256() for _ in lengths], [hashlib.sha256() for _ in lengths]
+        for lo in range(0, len(positions), SPELT):
+            own = positions[lo : lo + SPELT]
+            ids, upto = gather(flat, start[own], count[own]), np.append(0, np.cumsum(count[own]))
+            first = int(np.searchsorted(row_end, lo, "right"))
+            last = int(np.searchsorted(row_end, lo + len(own) - 1, "right"))
+            cut = np.append(upto[np.clip(row_end[first : last + 1] - lengths[first : last + 1] - lo, 0, None)], len(ids))
+            n_tokens[first : last + 1] += np.diff(cut)
+            for (data, at, size), hashes in ((said, of_ids), (spelt, of_bytes)):
+                text = gather(data, at[ids], size[ids])
+                ends = np.append(0, np.cumsum(size[ids]))[cut]
+                for i, a, b, over in zip(range(first, last + 1), ends[:-1].tolist(), ends[1:].tolist(), row_end[first : last + 1].tolist(), strict=True):
+                    # no comma behind the last id of a row
+                    hashes[i].update(text[a : b - 1 if hashes is of_ids and b > a and over <= lo + len(own) else b])
             if keep_ids:
-                out["ids"].append(b"".join([packed[i] for i in own]))
-        cols = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(out["n_tokens"], pa.int64()), "ids_sha256": pa.array(out["ids_sha256"], pa.string()), "decoded_sha256": pa.array(out["decoded_sha256"], pa.string())}
-        return pa.table(cols | ({"ids": pa.array(out["ids"], pa.binary())} if keep_ids else {}))
+                tokens[known : known + len(ids)] = ids
+                known += len(ids)
+        cols = {"doc_id": pa.array(doc_ids, pa.int64()), "n_tokens": pa.array(n_tokens), "ids_sha256": pa.array([h.hexdigest() for h in of_ids]), "decoded_sha256": pa.array([h.hexdigest() for h in of_bytes])}
+        if keep_ids:
+            ends = 4 * np.append(0, np.cumsum(n_tokens))
+            cols["ids"] = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), pa.py_buffer(tokens)]).cast(pa.binary())
+        del positions, flat, tokens
+        give_back()
+        return pa.table(cols)
 
     sides = docs.mapInArrow(both_sides, "key bigint, block bigint, part int, words binary, docs binary, doc_ids array<bigint>")
     # one exchange holds both sides of all blocks; Spark reuses it, because both of its readers take it as it is

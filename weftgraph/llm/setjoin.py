@@ -59,8 +59,12 @@ class Rule:
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as byte planes, compressed: sorted or small numbers take few bytes."""
     head = np.array([len(arrays)] + [x for a in arrays for x in (len(a), a.dtype.itemsize)], np.int64).tobytes()
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() if len(a) else b"" for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(head + body)
+    coder = zstandard.ZstdCompressor(level=1).compressobj(size=len(head) + sum(a.nbytes for a in arrays))
+    out = [coder.compress(head)]
+    for a in arrays:
+        planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize)
+        out += [coder.compress(np.ascontiguousarray(planes[:, i])) for i in range(planes.shape[1] if len(a) else 0)]
+    return b"".join([*out, coder.flush()])
 
 
 def unpack(blob: bytes) -> list[np.ndarray]:
