@@ -385,3 +385,24 @@ def test_abundance_component_edges_and_balls(spark, tmp_path):
     dot.write_dot_balls(f"{tmp_path}/b", ball, k)
     lines = [x.value for x in spark.read.text(f"{tmp_path}/b/seed={canon('TGGA')}").collect()]
     assert lines[0] == f"digraph {canon('TGGA')} {{" and lines[-1] == "}" and len(lines) == 5
+
+
+def test_a_walk_spells_few_nodes_at_once(spark):
+    """A batch of any size was spelt at once, eight edges a node."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    nodes = SimpleNamespace(select=lambda c: SimpleNamespace(mapInArrow=lambda f, schema: SimpleNamespace(select=lambda *c: f)))
+    spell = G.candidates(nodes, 10)
+    of = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi))], names=["node"])
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in spell(iter([of(0, 1 << 17)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    one = pa.Table.from_batches(spell(iter([of(0, 20_000)])))
+    assert one.equals(pa.Table.from_batches([b for lo in range(0, 20_000, 1000) for b in spell(iter([of(lo, lo + 1000)]))]))
+    assert rows > 7 << 17
