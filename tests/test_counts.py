@@ -1,7 +1,9 @@
 """How k-mers travel and are counted: stretches of reads, sums of tasks, sums of reads."""
 
 import random
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -95,3 +97,57 @@ def test_a_piece_and_a_task_hold_little(spark, monkeypatch):
         for key, a in R.scan(reads.limit(200), k).where("not is_end").select("key", "a").collect():
             got[key] += a
         assert got == {number(e): c for e, c in counted_by_hand(seqs[:200], k).items()}
+
+
+def in_worker(make, seqs):
+    """The batches that the worker's function of make(reads) gives for one batch of reads."""
+    conf = SimpleNamespace(get=lambda *x: "2m", set=lambda *x: None)
+    kept = []
+    plan = SimpleNamespace(distinct=lambda: None, groupBy=lambda *c: None)
+    make(SimpleNamespace(sparkSession=SimpleNamespace(conf=conf), select=lambda *c: SimpleNamespace(mapInArrow=lambda f, schema: kept.append(f) or plan)))
+    return kept[0](iter([pa.RecordBatch.from_arrays([pa.array(seqs, pa.string())], names=["seq"])]))
+
+
+def worker_peak(make, text):
+    """Bytes that Python allocates for one read, beside the read."""
+    batches = in_worker(make, [text])
+    tracemalloc.start()
+    assert sum(b.num_rows for b in batches)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+@pytest.mark.parametrize("options", [{"nodes": True}, {"only": "edges"}, {"only": "ends"}])
+def test_a_long_read_is_scanned_in_pieces(spark, options):
+    """One read was one piece, however long."""
+    text = "".join(random.Random(10).choices("ACGT", k=1 << 20)) * 6
+    assert worker_peak(lambda reads: R.scan(reads, 10, **options), text) < 100 << 20
+
+
+@pytest.mark.parametrize("k", [2, 9, 10])
+def test_cut_reads_have_the_windows_ends_and_nodes_of_whole_ones(spark, monkeypatch, k):
+    """A fragment may hang by an end in any of its pieces, or by none: palindromes and repeated bases at its ends, or all along."""
+    hard = ["ACGT" * 30, "ACGT" * 30 + "C", "G" + "TGCA" * 25, "AT" * 50 + "N" + "AT" * 40 + "A", "A" * 90, "A" * 60 + "C" + "A" * 60, "CG" * 20 + "A" * 50 + "CG" * 20, "GNNNC" * 20]
+    seqs = some_reads(11)[:6] + hard
+
+    def scanned(policy, **options):
+        out = Counter()
+        for b in in_worker(lambda reads: R.scan(reads, k, n_policy=policy, **options), seqs):
+            for is_end, key, left, right in zip(*b.to_pydict().values(), strict=True):
+                out[is_end, key, "a"] += left
+                out[is_end, key, "b"] += right
+        return dict(out)
+
+    def nodes(policy):
+        return [{x for b in in_worker(lambda reads: R.read_nodes(reads, k, n_policy=policy), [s]) for x in b.column(0).to_pylist()} for s in seqs]
+
+    def found():
+        return [x for p in ("split", "as_a") for x in (nodes(p), scanned(p, nodes=True), scanned(p), scanned(p, only="edges"), scanned(p, only="ends"))]
+
+    whole = found()
+    if k == 9:
+        assert [bool(x) for x in whole[0][-8:]] == [False, True, True, False, False, True, True, False]
+    for piece in (3, 25):
+        monkeypatch.setattr(R, "PIECE", piece)
+        assert found() == whole
