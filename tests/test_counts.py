@@ -151,3 +151,16 @@ def test_cut_reads_have_the_windows_ends_and_nodes_of_whole_ones(spark, monkeypa
     for piece in (3, 25):
         monkeypatch.setattr(R, "PIECE", piece)
         assert found() == whole
+
+
+@pytest.mark.parametrize("k", [9, 28])
+def test_counts_of_a_long_read_are_made_in_pieces(spark, monkeypatch, k):
+    """Counts alone took one read as one piece too, as sums and as stretches."""
+    make = (lambda reads: R.scan(reads, k, only="edges")) if k < R.STRETCHED else (lambda reads: R.stretches(reads, k, 16))
+    text = "".join(random.Random(12).choices("ACGT", k=1 << 20)) * 10
+    assert worker_peak(make, text) < 150 << 20
+    seqs = some_reads(13)
+    monkeypatch.setattr(R, "PIECE", 30)
+    reads = spark.createDataFrame(list(enumerate(seqs)), "read_id long, seq string").coalesce(2)
+    found = {r["edge"]: r["cnt"] for r in R.exact_counts(reads, k).collect()}
+    assert found == {number(e): c for e, c in counted_by_hand([s for s in seqs if s], k).items()}
